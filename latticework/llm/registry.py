@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import minhash
+from latticework.llm import minhash, mixing, quality_rules
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -38,5 +38,80 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(low.c,
 from documents d left join n using (doc_id) left join low on low.a = d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_minhash_dedup": op5_minhash_dedup}
-ORACLE_SQL: dict[str, str] = {"op5_minhash_dedup": OP5_SQL}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
+_FENCES = ", ".join(
+    f"quantile_disc({c}, 0.25) {'- ' + repr(quality_rules.REACH) + f' * greatest(quantile_disc({c}, 0.75) - quantile_disc({c}, 0.25), {least})' if low else '- 1e308'} as lo_{c}, "
+    f"quantile_disc({c}, 0.75) + {quality_rules.REACH!r} * greatest(quantile_disc({c}, 0.75) - quantile_disc({c}, 0.25), {least}) as hi_{c}"
+    for c, (least, low) in quality_rules.STATS.items()
+)
+_PICK = ", ".join(
+    f"case when g.n >= {quality_rules.LEAST_ROWS} then g.{e}_{c} when l.n >= {quality_rules.LEAST_ROWS} then l.{e}_{c} else a.{e}_{c} end as {e}_{c}"
+    for c in quality_rules.STATS for e in ("lo", "hi")
+)
+_INSIDE = " and ".join(f"s.{c} between t.lo_{c} and t.hi_{c}" for c in quality_rules.STATS)
+#: The sketches are exact up to SKETCH_K rows of a group; beyond that the fences differ from these by the sketches' rank error.
+OP3_VERDICTS = rf"""
+w as (
+  select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents
+), win as (
+  select doc_id, unnest(range(1, len(w) - 1)) as p, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) as x from w where len(w) >= 3
+), twice as (select doc_id, p from win qualify count(*) over (partition by doc_id, x) >= 2),
+rep as (select doc_id, count(distinct p + d) as n from twice, (values (0), (1), (2)) v(d) group by 1),
+c as (
+  select w.doc_id, lang, source, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols, cast(length(regexp_replace(text, '[^A-Z]+', '', 'g')) as bigint) as n_upper,
+    cast(len(lines) as bigint) as n_lines, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(rep.n, 0) as bigint) as n_repeat_words
+  from w left join rep using (doc_id)
+), s as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, word_chars / greatest(n_words, 1) as mean_chars,
+    n_symbols / greatest(word_chars, 1) as symbol_share, n_dup_lines / greatest(n_lines, 1) as dup_share,
+    n_repeat_words / greatest(n_words, 1) as repeat_share, n_upper / greatest(word_chars, 1) as upper_share from c
+), g as (select lang, source, count(*) as n, {_FENCES} from s group by lang, source),
+l as (select lang, count(*) as n, {_FENCES} from s group by lang),
+a as (select {_FENCES} from s),
+t as (select g.lang, g.source, {_PICK} from g left join l on g.lang is not distinct from l.lang cross join a),
+verdicts as (
+  select s.doc_id, s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, s.base_failed, (not s.base_failed and {_INSIDE}) as kept
+  from s join t on s.lang is not distinct from t.lang and s.source is not distinct from t.source
+)"""
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_source(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_MIX = r"""
+z as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+    md5('17|' || coalesce(cast(doc_id as varchar), '')) as key from documents
+), s as (select source, cast(sum(size) as bigint) as n, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from z group by source),
+o as (
+  select *, 3 * n as cap, sum(w) over o as w_left, coalesce(sum(3 * n) over (order by 3 * n / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as gone,
+    (select sum(n) from s) as total from s window o as (order by 3 * n / w, source nulls last rows between current row and unbounded following)
+), f as (select *, cap * w_left < w * (total - gone) as full_ from o),
+r as (select coalesce(max(total), 0) - coalesce(sum(cap) filter (full_), 0) as rest, sum(w) filter (not full_) as w_rest from f),
+goal as (select source, n as source_size, case when full_ then cast(cap as double) else cast(rest * w as double) / cast(w_rest as double) end as target from f, r),
+quota as (select *, cast(floor(target) as bigint) // greatest(source_size, 1) as passes, cast(floor(target) as bigint) % greatest(source_size, 1) as rest from goal),
+placed as (
+  select z.*, quota.source_size, quota.target, quota.passes, quota.rest,
+    coalesce(sum(size) over (partition by z.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
+  from z join quota on z.source is not distinct from quota.source
+), mix as (
+  select doc_id, source, size, source_size, target, cast(passes + (2 * before + size <= 2 * rest)::int as bigint) as times,
+    cast((passes + (2 * before + size <= 2 * rest)::int) * size as bigint) as taken from placed
+)"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
+    "op5_minhash_dedup": op5_minhash_dedup,
+    "op10_source_mixing": op10_source_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": f"with {OP3_VERDICTS} select * from verdicts",
+    "op5_minhash_dedup": OP5_SQL,
+    "op10_source_mixing": f"with {OP10_MIX} select doc_id, size, source_size, target, taken from mix",
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import minhash, mixing, quality_rules
+from latticework.llm import minhash, mixing, quality_rules, secret_scan
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -80,6 +80,45 @@ verdicts as (
 )"""
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
+# The rules as expressions of DuckDB: kind, expression, group and least length.
+_ASSIGN = "((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\\x20*[:=]\\x20*[\"'']?)([A-Za-z0-9+/_.=-]+)"
+_OP6_RULES = (
+    ("assign", _ASSIGN, 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 34),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    ("google", "AIza[A-Za-z0-9_-]+", 0, 39),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+)
+_OP6_SPANS = " union all ".join(
+    f"""select doc_id, {k} as k, '{kind}' as kind, unnest(range(1, len(m) + 1)) as i, m, p, g from (
+      select doc_id, regexp_extract_all(text, '{x}', 0) as m, regexp_extract_all(text, '{x}', {group}) as g, string_split_regex(text, '{x}') as p
+      from (select doc_id, coalesce(text, '') as text from documents))"""
+    for k, (kind, x, group, _) in enumerate(_OP6_RULES)
+)
+_OP6_PASS = " or ".join(f"kind = '{kind}' and length(g[i]) >= {n}" for kind, _, _, n in _OP6_RULES if n)
+OP6_SQL = rf"""
+with m as ({_OP6_SPANS}),
+s as (
+  select doc_id, k, kind, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) as a, length(m[i]) as n
+  from m where {_OP6_PASS} or kind = 'pem'
+    or kind = 'jwt' and regexp_full_match(m[i], 'eyJ[A-Za-z0-9_-]{{5,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}')
+), j as (select doc_id, k, a, kind || ':' || cast(a as bigint) || ':' || cast(a + n as bigint) as x from s),
+d as (
+  select doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+    string_agg(x, ',' order by a, k) filter (k < 3) as base, string_agg(x, ',' order by a, k) as spans from j group by 1
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from documents left join d using (doc_id)
+"""
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -108,10 +147,12 @@ placed as (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": f"with {OP3_VERDICTS} select * from verdicts",
     "op5_minhash_dedup": OP5_SQL,
+    "op6_secret_scan": OP6_SQL,
     "op10_source_mixing": f"with {OP10_MIX} select doc_id, size, source_size, target, taken from mix",
 }

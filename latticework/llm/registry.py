@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from latticework.llm import minhash, mixing, quality_rules, secret_scan
+from latticework.llm import decontaminate, minhash, mixing, quality_rules, secret_scan, span_dedup
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -15,16 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shingle_sql(table: str, key: str) -> str:
+    """Distinct (key, sh): the 5-word shingles of a table's lowered texts; under five words the whole sequence."""
+    return rf"""
+  select distinct {key}, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as sh
+  from (select {key}, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') as w from {table})"""
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 OP5_SQL = rf"""
-with recursive w as (
-  select doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') as w from documents
-), s as (
-  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
-    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as sh from w
+with recursive s as ({shingle_sql("documents", "doc_id")}
 ), n as (select doc_id, count(*) as n from s group by 1),
 pairs as (
   select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2
@@ -119,6 +124,53 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 """
 
 
+def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = span_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_sentences", F.size("removed").cast("long").alias("n_removed"), "n_removed_words", "first_docs")
+
+
+OP4_SQL = rf"""
+with t as (
+  select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, regexp_extract_all(text, '[\x20\x09-\x0D]+') as s,
+    regexp_matches(text, '^[\x20\x09-\x0D]')::int as lead from (select doc_id, coalesce(text, '') as text from documents)
+), x as (select doc_id, k, w[k] as word, coalesce(s[k + lead], '') as after, case when k = 1 and lead = 1 then s[1] else '' end as before
+  from (select *, unnest(range(1, len(w) + 1)) as k from t)),
+y as (select *, coalesce(regexp_matches(lag(word) over o, '[.!?]$') or contains(lag(after) over o, chr(10)), true)::int as fresh from x window o as (partition by doc_id order by k)),
+z as (select *, sum(fresh) over (partition by doc_id order by k) as sentence from y),
+p as (select *, (row_number() over (partition by doc_id, sentence order by k) - 1) % {span_dedup.MAX_SENTENCE} = 0 as opens from z),
+q as (select *, sum(opens::int) over (partition by doc_id order by k) - 1 as u from p),
+unit as (select doc_id, u, min(k) - 1 as a, max(k) as b, string_agg(before || word || after, '' order by k) as raw from q group by 1, 2),
+n as (select doc_id, max(u) as last from unit group by 1),
+fwd as (select e.doc_id, e.u as i, greatest(min(f.u), e.u + 1) as j from unit e join unit f on e.doc_id = f.doc_id and f.b >= e.a + {span_dedup.MIN_WORDS} and f.u >= e.u group by 1, 2),
+bwd as (select e.doc_id, least(max(f.u), e.u - 1) as i, e.u as j from unit e join unit f on e.doc_id = f.doc_id and f.a <= e.b - {span_dedup.MIN_WORDS} and f.u <= e.u group by e.doc_id, e.u),
+run as (select r.* from (select * from fwd union select * from bwd) r join n using (doc_id) where i >= 0 and j <= last),
+said as (select run.*, array_to_string(t.w[(c.a + 1):d.b], ' ') as x from run join t using (doc_id)
+  join unit c on c.doc_id = run.doc_id and c.u = i join unit d on d.doc_id = run.doc_id and d.u = j),
+again as (select *, first_value(doc_id) over v as first_doc, row_number() over v as nth from said window v as (partition by x order by doc_id, i)),
+gone as (select distinct a.doc_id, u.u from again a join unit u on u.doc_id = a.doc_id and u.u between a.i and a.j where nth > 1),
+kept as (
+  select doc_id, count(*) as n_sentences, count(g.u) as n_removed, coalesce(sum(b - a) filter (g.u is not null), 0) as n_removed_words,
+    coalesce(string_agg(raw, '' order by unit.u) filter (g.u is null), '') as text
+  from unit left join gone g using (doc_id, u) group by 1
+), firsts as (select doc_id, list_sort(list(distinct first_doc)) as f from again where nth > 1 group by 1)
+select t.doc_id, coalesce(kept.text, t.text) as text, coalesce(n_sentences, 0) as n_sentences, coalesce(n_removed, 0) as n_removed,
+  cast(coalesce(n_removed_words, 0) as bigint) as n_removed_words, coalesce(firsts.f, []) as first_docs
+from t left join kept using (doc_id) left join firsts using (doc_id)
+"""
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = f"""
+with s as ({shingle_sql("documents", "doc_id")}), b as ({shingle_sql("benchmark", "item_id")}),
+n as (select item_id, count(*) as item_shingles from b group by 1)
+select doc_id, item_id, item_shingles, count(*) as common, count(*) / item_shingles as containment
+from s join b using (sh) join n using (item_id) group by doc_id, item_id, item_shingles having 100 * count(*) >= {decontaminate.CONTAINED} * item_shingles
+"""
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -146,13 +198,17 @@ placed as (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_span_dedup": op4_span_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op8_decontamination": op8_decontamination,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": f"with {OP3_VERDICTS} select * from verdicts",
+    "op4_span_dedup": OP4_SQL,
     "op5_minhash_dedup": OP5_SQL,
     "op6_secret_scan": OP6_SQL,
+    "op8_decontamination": OP8_SQL,
     "op10_source_mixing": f"with {OP10_MIX} select doc_id, size, source_size, target, taken from mix",
 }

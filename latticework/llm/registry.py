@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import decontaminate, minhash, mixing, quality_rules, secret_scan, span_dedup
+from latticework.llm import decontaminate, minhash, mixing, quality_model, quality_rules, secret_scan, span_dedup
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -171,6 +171,17 @@ from s join b using (sh) join n using (item_id) group by doc_id, item_id, item_s
 """
 
 
+def _held_out(parts: int, part: int):
+    """Whether crc32(doc_id as text) leaves this rest; a null doc_id is held out by none."""
+    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % parts == part, F.lit(False))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(~_held_out(4, 2)).select("doc_id", F.col("quality").alias("label"))
+    out = quality_model.quality_scores(_table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -202,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op8_decontamination": op8_decontamination,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import decontaminate, minhash, mixing, quality_model, quality_rules, secret_scan, span_dedup
+from latticework.llm import decontaminate, minhash, mixing, quality_model, quality_rules, secret_scan, span_dedup, toxicity
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -176,6 +176,12 @@ def _held_out(parts: int, part: int):
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % parts == part, F.lit(False))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(~_held_out(5, 0)).select("doc_id", F.col("toxic").alias("label"))
+    out = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").where(~_held_out(4, 2)).select("doc_id", F.col("quality").alias("label"))
     out = quality_model.quality_scores(_table(spark, sf_dir, "documents"), labels)
@@ -208,6 +214,7 @@ placed as (
 )"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_span_dedup": op4_span_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import decontaminate, minhash, mixing, quality_model, quality_rules, secret_scan, span_dedup, toxicity
+from latticework.llm import decontaminate, line_dedup, minhash, mixing, quality_model, quality_rules, secret_scan, span_dedup, toxicity
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -171,6 +171,34 @@ from s join b using (sh) join n using (item_id) group by doc_id, item_id, item_s
 """
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
+def line_dedup_sql(table: str) -> str:
+    """CTEs up to ``deduped`` (doc_id, text, n_lines, n_removed, removed). Lines within reach share one of the shorter's segments."""
+    t, least = line_dedup.EDITS, line_dedup.LEAST_CHARS
+    return rf"""
+lines as (
+  select doc_id, line_no, line, regexp_matches(line, '[^\x20\x09-\x0D]') as inked from (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as line_no from {table})
+), near as materialized (select distinct line, length(line) as n from lines where inked and length(line) >= {least}),
+near_links as materialized (
+  select a.line as a, b.line as b from near a join near b on b.n between a.n and a.n + {t} and a.line <> b.line
+  where (contains(b.line, left(a.line, a.n // 3)) or contains(b.line, right(a.line, (a.n + 2) // 3)) or contains(b.line, substring(a.line, a.n // 3 + 1, (a.n + 1) // 3)))
+    and levenshtein(a.line, b.line) <= {t}
+), near_both as materialized (select a, b from near_links union select b, a from near_links),
+near_reach(a, b) as (select a, b from near_both union select r.a, e.b from near_reach r join near_both e on r.b = e.a),
+near_low as (select a as line, least(a, min(b)) as cls from near_reach group by 1, a),
+placed as (select lines.*, case when inked then coalesce(cls, line) end as cls from lines left join near_low using (line)),
+judged as (select *, inked and row_number() over (partition by cls order by doc_id, line_no) > 1 as gone from placed),
+deduped as (
+  select doc_id, coalesce(string_agg(line, chr(10) order by line_no) filter (not gone), '') as text, count(*) filter (inked) as n_lines,
+    count(*) filter (gone) as n_removed, coalesce(list(cast(line_no as integer) order by line_no) filter (gone), []) as removed from judged group by 1
+)"""
+
+
 def _held_out(parts: int, part: int):
     """Whether crc32(doc_id as text) leaves this rest; a null doc_id is held out by none."""
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % parts == part, F.lit(False))
@@ -214,6 +242,7 @@ placed as (
 )"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_span_dedup": op4_span_dedup,
@@ -224,6 +253,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": f"with recursive {line_dedup_sql('documents')} select * from deduped",
     "op3_quality_rules": f"with {OP3_VERDICTS} select * from verdicts",
     "op4_span_dedup": OP4_SQL,
     "op5_minhash_dedup": OP5_SQL,

@@ -14,6 +14,8 @@ EDITS = 2
 LEAST_CHARS = 30
 #: Equal blocks of so many code points are stripped from both ends before verification.
 BLOCK = 16
+#: Counts of these characters, modulo 16, go with a line's keys: an edit moves two of them by one at most.
+COUNTED = " etaoinrshldgbw."
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -25,16 +27,20 @@ def segment(length: Column, i: int) -> tuple[Column, Column]:
     return (i * small + longer + 1).cast("int"), (small + F.when(k - i <= long_, 1).otherwise(0)).cast("int")
 
 
-def index_keys(line: Column, length: Column) -> Column:
+def piece(wide: Column, start: Column, size: Column) -> Column:
+    """Code points of a text in UTF-32, which is cut without a search for places."""
+    return F.substring(wide, 4 * start - 3, 4 * size)
+
+
+def index_keys(wide: Column, length: Column) -> Column:
     """Hashes of (length, segment number, segment): one for each segment of a line."""
     keys = []
     for i in range(EDITS + 1):
-        start, size = segment(length, i)
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start, size)))
+        keys.append(F.xxhash64(length, F.lit(i), piece(wide, *segment(length, i))))
     return F.array(*keys)
 
 
-def probe_keys(line: Column, length: Column) -> Column:
+def probe_keys(wide: Column, length: Column) -> Column:
     """Hashes with which a line asks for lines that are as long or up to EDITS shorter.
 
     For each shorter length and each of its segments these are the substrings of the segment's size at the places
@@ -48,10 +54,28 @@ def probe_keys(line: Column, length: Column) -> Column:
             start, size = segment(other, i)
             for move in range(max(-i, shorter - (EDITS - i)), min(i, shorter + (EDITS - i)) + 1):
                 fits = (other >= LEAST_CHARS) & (start + move >= 1) & (start + move + size - 1 <= length)
-                keys.append(F.when(fits, F.struct(F.xxhash64(other, F.lit(i), F.substring(line, start + move, size)).alias("key"), F.lit(shorter == 0).alias("even"))))
+                keys.append(F.when(fits, F.struct(F.xxhash64(other, F.lit(i), piece(wide, start + move, size)).alias("key"), F.lit(shorter == 0).alias("even"))))
     return F.array_compact(F.array(*keys))
 
 
+def tally(line: Column) -> Column:
+    """Counts of the COUNTED characters (of one byte each) modulo 16, four bits each in a long."""
+    packed = F.lit(0).cast("long")
+    for k, c in enumerate(COUNTED):
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        packed = packed.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)).cast("long"), 4 * k))
+    return packed
+
+
+def far_apart(a: str, b: str) -> str:
+    """SQL for tallies that EDITS edits cannot lead from one to the other."""
+    parts = []
+    for k in range(len(COUNTED)):
+        d = f"(((shiftrightunsigned({a}, {4 * k}) & 15) - (shiftrightunsigned({b}, {4 * k}) & 15)) & 15)"
+        parts.append(f"least({d}, 16 - {d})")
+    return f"{' + '.join(parts)} > {2 * EDITS}"
+
+
 def within_edits(a: Column, b: Column) -> Column:
     """Whether two texts are at most EDITS edits of code points apart, by a banded bit-parallel automaton.
 
@@ -121,11 +145,12 @@ def line_links(docs: DataFrame) -> DataFrame:
     every line within reach holds unchanged near its place; substrings of matching length and place are probed, and
     the candidates verified. All keys are compared, none is capped.
     """
-    lines = exploded(docs).select("h", "line").where(F.length("line") >= LEAST_CHARS).groupBy("h").agg(F.min("line").alias("line"))
-    length = F.length("line")
-    index = lines.select(F.col("h").alias("src"), F.explode(index_keys(F.col("line"), length)).alias("key"))
-    probe = lines.select(F.col("h").alias("dst"), F.explode(probe_keys(F.col("line"), length)).alias("k")).select("dst", "k.key", "k.even")
-    pairs = index.join(probe, "key").where("src <> dst and (not even or src < dst)").select("src", "dst").distinct()
+    lines = exploded(docs).select("h", "line", F.length("line").alias("n")).where(F.col("n") >= LEAST_CHARS).withColumn("s", tally(F.col("line")))
+    lines = lines.groupBy("h").agg(F.min("line").alias("line"), F.min("n").alias("n"), F.min("s").alias("s"))
+    wide = lines.select("h", "n", "s", F.encode("line", "UTF-32").alias("wide"))
+    index = wide.select(F.col("h").alias("src"), "s", F.explode(index_keys(F.col("wide"), F.col("n"))).alias("key"))
+    probe = wide.select(F.col("h").alias("dst"), F.col("s").alias("t"), F.explode(probe_keys(F.col("wide"), F.col("n"))).alias("k")).select("dst", "t", "k.key", "k.even")
+    pairs = index.join(probe, "key").where(f"src <> dst and (not even or src < dst) and not ({far_apart('s', 't')})").select("src", "dst").distinct()
     one, two = lines.select(F.col("h").alias("dst"), F.col("line").alias("b")), lines.select(F.col("h").alias("src"), F.col("line").alias("a"))
     both = pairs.join(one, "dst").join(two, "src")
     return both.where(within_edits(F.col("a"), F.col("b"))).select("src", "dst")

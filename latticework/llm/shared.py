@@ -27,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in at most two tasks for each core of the cluster, so that small results make few files."""
+    return df.coalesce(max(2, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -35,7 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/latticework/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    gathered(df).write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     del df
     spark.sparkContext._jvm.System.gc()
@@ -60,24 +65,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges(src, dst)`` by alternating large and small stars.
 
     Returns (id, component) for every id on an edge; component is the smallest id reachable.
-    Each round is written, nothing is collected but two sums; hubs are spread by joins that
+    Each round is written, nothing is collected but two counts; hubs are spread by joins that
     Spark can split. Self loops and repeated edges are allowed, null ends are ignored.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("src is not null and dst is not null and a > b").distinct()
-    e, before = written(e, name), None
+    e = written(e, name)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         large = written(large, name)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        ends = large.join(low, "a")
-        e = ends.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        e = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         e = written(e, name)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        rows, ids = e.agg(F.count("*"), F.count_distinct("a")).first()
+        if rows == ids and e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():  # stars whose centres are no one's leaf
             break
-        before = state
     roots = e.select(F.col("b").alias("id")).distinct()
     return written(e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component"))), name)

@@ -28,8 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def gathered(df: DataFrame) -> DataFrame:
-    """``df`` in at most two tasks for each core of the cluster, so that small results make few files."""
-    return df.coalesce(max(2, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    """``df`` in fewer tasks, so that small results make few files: two for each core of the cluster, or an eighth of the shuffle partitions if that is more."""
+    spark = df.sparkSession
+    return df.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

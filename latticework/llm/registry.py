@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import decontaminate, line_dedup, minhash, mixing, quality_model, quality_rules, secret_scan, span_dedup, toxicity
+from latticework.llm import decontaminate, line_dedup, lm_score, minhash, mixing, quality_model, quality_rules, secret_scan, span_dedup, toxicity
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -210,6 +210,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.language_scores(_table(spark, sf_dir, "documents"), _held_out(7, 2))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").where(~_held_out(4, 2)).select("doc_id", F.col("quality").alias("label"))
     out = quality_model.quality_scores(_table(spark, sf_dir, "documents"), labels)
@@ -248,6 +252,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_span_dedup": op4_span_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_source_mixing": op10_source_mixing,

@@ -13,13 +13,15 @@ from latticework.llm import textkernel as tk
 from latticework.llm.shared import mapped, written
 
 #: Training takes at most so many labelled documents of each class, those with the smallest hashed ids.
-MAX_TRAIN = 6000
+MAX_TRAIN = 2500
 #: A word is the bag of its whole form and its character n-grams, edges marked, in so many rows of the embedding.
 GRAMS, BUCKETS, DIM = (3, 4, 5, 6), 1 << 19, 8
 #: Words of a bag that the softmax sees at once; a document's score is its worst bag's.
 BAG = 6
 EPOCHS, SEED = 60, 3
 RATE, DECAY = 0.5, 1e-5
+#: Words whose subwords are found at a time.
+CHUNK = 20_000
 #: Distinct words whose scores a task keeps.
 CACHE = 1 << 20
 
@@ -82,12 +84,20 @@ class Model:
         return (self.e @ (self.w[:, 1] - self.w[:, 0]).astype(np.float32)).astype(np.float64)
 
     def train(self, data: np.ndarray, offs: np.ndarray, labels: np.ndarray) -> None:
-        starts, ends, word_offs = tk.words(data, offs)
+        parts = []
+        for a, b, part, part_offs in tk.slices(data, offs):
+            starts, ends, word_offs = tk.words(part, part_offs)
+            parts.append((starts + offs[a], ends + offs[a], np.diff(word_offs), tk.word_hashes(part, starts, ends)))
+        starts, ends, counts, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
         if not len(starts):
             return
-        _, first, word = distinct_words(tk.word_hashes(data, starts, ends))
-        rows, cuts = word_grams(data, starts[first], ends[first])
-        size = np.diff(cuts)
+        word_offs = np.concatenate(([0], np.cumsum(counts)))
+        _, first, word = distinct_words(hashes)
+        word = word.astype(np.int32)
+        grams = [word_grams(data, starts[x], ends[x]) for x in np.split(first, range(CHUNK, len(first), CHUNK))]
+        rows, size = np.concatenate([r.astype(np.int32) for r, _ in grams]), np.concatenate([np.diff(c) for _, c in grams])
+        cuts = np.concatenate(([0], np.cumsum(size)))
+        del parts, hashes, starts, ends, grams
         head, doc_cuts = bags(word_offs)
         length = np.diff(np.append(head, len(word)))
         full = np.diff(doc_cuts) > 0

@@ -135,5 +135,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, with all their columns."""
-    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id")).distinct(), "decontaminate-ids")
-    return docs.join(small(found, MAX_BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias("__leak_id")).distinct(), "decontaminate-ids")
+    return docs.join(small(found, MAX_BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("__leak_id")), "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.quality_rules import let
-from latticework.llm.shared import components, written
+from latticework.llm.shared import components, gathered, small, written
 
 #: Lines at this edit distance or less are the same line.
 EDITS = 2
@@ -15,7 +15,9 @@ LEAST_CHARS = 30
 #: Equal blocks of so many code points are stripped from both ends before verification.
 BLOCK = 16
 #: Counts of these characters, modulo 16, go with a line's keys: an edit moves two of them by one at most.
-COUNTED = " etaoinrshldgbw."
+COUNTED = " etaoinrshld"
+#: Lines of candidate pairs are picked by a broadcast of their hashes up to so many.
+MAX_BROADCAST_IDS = 500_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -145,12 +147,15 @@ def line_links(docs: DataFrame) -> DataFrame:
     every line within reach holds unchanged near its place; substrings of matching length and place are probed, and
     the candidates verified. All keys are compared, none is capped.
     """
-    lines = exploded(docs).select("h", "line", F.length("line").alias("n")).where(F.col("n") >= LEAST_CHARS).withColumn("s", tally(F.col("line")))
-    lines = lines.groupBy("h").agg(F.min("line").alias("line"), F.min("n").alias("n"), F.min("s").alias("s"))
+    lines = exploded(docs).select("h", "line").where(F.length("line") >= LEAST_CHARS).distinct()
+    lines = written(lines.select("h", "line", F.length("line").alias("n"), tally(F.col("line")).alias("s")), "lines-distinct")
     wide = lines.select("h", "n", "s", F.encode("line", "UTF-32").alias("wide"))
     index = wide.select(F.col("h").alias("src"), "s", F.explode(index_keys(F.col("wide"), F.col("n"))).alias("key"))
     probe = wide.select(F.col("h").alias("dst"), F.col("s").alias("t"), F.explode(probe_keys(F.col("wide"), F.col("n"))).alias("k")).select("dst", "t", "k.key", "k.even")
     pairs = index.join(probe, "key").where(f"src <> dst and (not even or src < dst) and not ({far_apart('s', 't')})").select("src", "dst").distinct()
+    pairs = written(pairs, "lines-pairs")
+    ids = written(pairs.select(F.explode(F.array("src", "dst")).alias("h")).distinct(), "lines-paired")
+    lines = written(lines.select("h", "line").join(small(ids, MAX_BROADCAST_IDS), "h", "left_semi"), "lines-texts")
     one, two = lines.select(F.col("h").alias("dst"), F.col("line").alias("b")), lines.select(F.col("h").alias("src"), F.col("line").alias("a"))
     both = pairs.join(one, "dst").join(two, "src")
     return both.where(within_edits(F.col("a"), F.col("b"))).select("src", "dst")
@@ -184,6 +189,6 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     both = slim.join(again, ["doc_id", "mark"], "left")
     left = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: x[i]), "\n"))
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long")
-    return both.select(
+    return gathered(both).select(
         "doc_id", *keep, F.when(F.col("removed").isNull(), F.col("text")).otherwise(left).alias("text"), lines.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
     )

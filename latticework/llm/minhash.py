@@ -182,3 +182,9 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     out = out.join(group.select(F.col("id").alias("rep"), "component"), "rep", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
     return gathered(out).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id, with all its columns."""
+    kept = written(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct(), "minhash-kept")
+    return docs.join(small(kept, MAX_BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")

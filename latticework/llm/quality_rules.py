@@ -117,5 +117,5 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that ``quality_verdicts`` keeps, with all their columns; a repeated doc_id stays if one of its rows does."""
-    good = written(quality_verdicts(docs).where("kept").select(F.col("doc_id").alias("good_id")).distinct(), "quality-kept")
-    return docs.join(small(good, 500_000), F.col("doc_id").eqNullSafe(F.col("good_id")), "left_semi")
+    good = written(quality_verdicts(docs).where("kept").select(F.col("doc_id").alias("__good_id")).distinct(), "quality-kept")
+    return docs.join(small(good, 500_000), F.col("doc_id").eqNullSafe(F.col("__good_id")), "left_semi")

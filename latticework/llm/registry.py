@@ -28,8 +28,9 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-OP5_SQL = rf"""
-with recursive s as ({shingle_sql("documents", "doc_id")}
+def near_sql(table: str) -> str:
+    return rf"""
+with recursive s as ({shingle_sql(table, "doc_id")}
 ), n as (select doc_id, count(*) as n from s group by 1),
 pairs as (
   select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2
@@ -40,7 +41,7 @@ reach(a, b) as (select a, b from both_ways union select r.a, e.b from reach r jo
 low as (select a, least(a, min(b)) as c from reach group by 1)
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(low.c, d.doc_id) as component_id,
   coalesce(low.c, d.doc_id) = d.doc_id as kept
-from documents d left join n using (doc_id) left join low on low.a = d.doc_id
+from {table} d left join n using (doc_id) left join low on low.a = d.doc_id
 """
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +59,12 @@ _PICK = ", ".join(
 )
 _INSIDE = " and ".join(f"s.{c} between t.lo_{c} and t.hi_{c}" for c in quality_rules.STATS)
 #: The sketches are exact up to SKETCH_K rows of a group; beyond that the fences differ from these by the sketches' rank error.
-OP3_VERDICTS = rf"""
+def quality_sql(table: str) -> str:
+    """CTEs up to ``verdicts``."""
+    return rf"""
 w as (
   select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from {table}
 ), win as (
   select doc_id, unnest(range(1, len(w) - 1)) as p, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) as x from w where len(w) >= 3
 ), twice as (select doc_id, p from win qualify count(*) over (partition by doc_id, x) >= 2),
@@ -163,8 +166,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-OP8_SQL = f"""
-with s as ({shingle_sql("documents", "doc_id")}), b as ({shingle_sql("benchmark", "item_id")}),
+def leak_sql(table: str) -> str:
+    return f"""
+with s as ({shingle_sql(table, "doc_id")}), b as ({shingle_sql("benchmark", "item_id")}),
 n as (select item_id, count(*) as item_shingles from b group by 1)
 select doc_id, item_id, item_shingles, count(*) as common, count(*) / item_shingles as containment
 from s join b using (sh) join n using (item_id) group by doc_id, item_id, item_shingles having 100 * count(*) >= {decontaminate.CONTAINED} * item_shingles
@@ -224,10 +228,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-OP10_MIX = r"""
+def mix_sql(table: str) -> str:
+    """CTEs up to ``mix``."""
+    return rf"""
 z as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-    md5('17|' || coalesce(cast(doc_id as varchar), '')) as key from documents
+    md5('17|' || coalesce(cast(doc_id as varchar), '')) as key from {table}
 ), s as (select source, cast(sum(size) as bigint) as n, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from z group by source),
 o as (
   select *, 3 * n as cap, sum(w) over o as w_left, coalesce(sum(3 * n) over (order by 3 * n / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as gone,
@@ -259,10 +265,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": f"with recursive {line_dedup_sql('documents')} select * from deduped",
-    "op3_quality_rules": f"with {OP3_VERDICTS} select * from verdicts",
+    "op3_quality_rules": f"with {quality_sql('documents')} select * from verdicts",
     "op4_span_dedup": OP4_SQL,
-    "op5_minhash_dedup": OP5_SQL,
+    "op5_minhash_dedup": near_sql("documents"),
     "op6_secret_scan": OP6_SQL,
-    "op8_decontamination": OP8_SQL,
-    "op10_source_mixing": f"with {OP10_MIX} select doc_id, size, source_size, target, taken from mix",
+    "op8_decontamination": leak_sql("documents"),
+    "op10_source_mixing": f"with {mix_sql('documents')} select doc_id, size, source_size, target, taken from mix",
 }

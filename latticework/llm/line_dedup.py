@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.quality_rules import let
-from latticework.llm.shared import components, gathered, small, written
+from latticework.llm.shared import components, gathered, release, small, written
 
 #: Lines at this edit distance or less are the same line.
 EDITS = 2
@@ -15,49 +15,52 @@ LEAST_CHARS = 30
 #: Equal blocks of so many code points are stripped from both ends before verification.
 BLOCK = 16
 #: Counts of these characters, modulo 16, go with a line's keys: an edit moves two of them by one at most.
-COUNTED = " etaoinrshld"
+COUNTED = " etaoinrsh"
 #: Lines of candidate pairs are picked by a broadcast of their hashes up to so many.
 MAX_BROADCAST_IDS = 500_000
+#: Numbers of lines to remove are broadcast up to so many, beyond that they meet their texts in a shuffle.
+MAX_BROADCAST_LINES = 1_000_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def segment(length: Column, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i of EDITS + 1 near-even ones; the last ones are longer by one."""
+def segment(length: str, i: str) -> tuple[str, str]:
+    """SQL for start (from 1) and size of segment i of EDITS + 1 near-even ones; the last ones are longer by one."""
     k = EDITS + 1
-    small, long_ = F.floor(length / k).cast("int"), length % k
-    longer = F.greatest(F.lit(0), long_ - (k - i))
-    return (i * small + longer + 1).cast("int"), (small + F.when(k - i <= long_, 1).otherwise(0)).cast("int")
+    return (
+        f"({i} * ({length} div {k}) + greatest(0, {length} % {k} - ({k} - {i})) + 1)",
+        f"({length} div {k} + if({k} - {i} <= {length} % {k}, 1, 0))",
+    )
 
 
-def piece(wide: Column, start: Column, size: Column) -> Column:
-    """Code points of a text in UTF-32, which is cut without a search for places."""
-    return F.substring(wide, 4 * start - 3, 4 * size)
+def piece(start: str, size: str) -> str:
+    """SQL for UTF-8 bytes of code points of ``line``; in a line of ASCII these are found without a search."""
+    return f"if(octet_length(line) = n, substring(cast(line as binary), cast({start} as int), cast({size} as int)), cast(substring(line, cast({start} as int), cast({size} as int)) as binary))"
 
 
-def index_keys(wide: Column, length: Column) -> Column:
-    """Hashes of (length, segment number, segment): one for each segment of a line."""
-    keys = []
-    for i in range(EDITS + 1):
-        keys.append(F.xxhash64(length, F.lit(i), piece(wide, *segment(length, i))))
-    return F.array(*keys)
+def index_keys(lines: DataFrame) -> DataFrame:
+    """src, s, key: a hash of (length, segment number, segment) for each segment of each line."""
+    one = lines.select("h", "s", "line", "n", F.expr(f"explode(sequence(0, {EDITS})) as i"))
+    return one.select(F.col("h").alias("src"), "s", F.expr(f"xxhash64(n, i, {piece(*segment('n', 'i'))})").alias("key"))
 
 
-def probe_keys(wide: Column, length: Column) -> Column:
-    """Hashes with which a line asks for lines that are as long or up to EDITS shorter.
+def probe_keys(lines: DataFrame) -> DataFrame:
+    """dst, t, key, even: the hashes with which a line asks for lines that are as long (even) or up to EDITS shorter.
 
     For each shorter length and each of its segments these are the substrings of the segment's size at the places
     where it can stand if the edits ahead of it and behind it leave it whole: at most i places away on the left
     count and EDITS - i on the right count.
     """
-    keys = []
-    for shorter in range(EDITS + 1):
-        other = length - shorter
-        for i in range(EDITS + 1):
-            start, size = segment(other, i)
-            for move in range(max(-i, shorter - (EDITS - i)), min(i, shorter + (EDITS - i)) + 1):
-                fits = (other >= LEAST_CHARS) & (start + move >= 1) & (start + move + size - 1 <= length)
-                keys.append(F.when(fits, F.struct(F.xxhash64(other, F.lit(i), piece(wide, start + move, size)).alias("key"), F.lit(shorter == 0).alias("even"))))
-    return F.array_compact(F.array(*keys))
+    moves = [
+        f"({shorter}, {i}, {move})"
+        for shorter in range(EDITS + 1)
+        for i in range(EDITS + 1)
+        for move in range(max(-i, shorter - (EDITS - i)), min(i, shorter + (EDITS - i)) + 1)
+    ]
+    one = lines.select("h", "s", "line", "n", F.expr(f"explode(array({', '.join(moves)})) as m"))
+    one = one.select("h", "s", "line", "n", F.expr("n - m.col1").alias("other"), F.expr("m.col1 = 0").alias("even"), F.expr("m.col2").alias("i"), F.expr("m.col3").alias("move"))
+    start, size = segment("other", "i")
+    fits = one.where(f"other >= {LEAST_CHARS} and {start} + move >= 1 and {start} + move + {size} - 1 <= n")
+    return fits.select(F.col("h").alias("dst"), F.col("s").alias("t"), F.expr(f"xxhash64(other, i, {piece(f'{start} + move', size)})").alias("key"), "even")
 
 
 def tally(line: Column) -> Column:
@@ -140,23 +143,27 @@ def exploded(docs: DataFrame) -> DataFrame:
     return lines.where(F.btrim("line", F.lit(BLANKS)) != "").withColumn("h", F.xxhash64("line"))
 
 
-def line_links(docs: DataFrame) -> DataFrame:
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """h, line, n (code points), c (places), s (tally; 0 for short lines) of all distinct lines."""
+    lines = exploded(docs).groupBy("h", "line").agg(F.count("*").alias("c"))
+    return lines.withColumn("n", F.length("line")).withColumn("s", F.when(F.col("n") >= LEAST_CHARS, tally(F.col("line"))).otherwise(F.lit(0).cast("long")))
+
+
+def line_links(lines: DataFrame) -> DataFrame:
     """Links (src, dst) of different lines of LEAST_CHARS code points or more at EDITS edits or less.
 
-    Lines are known by 64-bit hashes of their text. Each distinct line is cut into EDITS + 1 segments, one of which
-    every line within reach holds unchanged near its place; substrings of matching length and place are probed, and
-    the candidates verified. All keys are compared, none is capped.
+    ``lines`` is a written table of ``distinct_lines``. Lines are known by 64-bit hashes of their text. Each is cut
+    into EDITS + 1 segments, one of which every line within reach holds unchanged near its place; substrings of
+    matching length and place are probed, and the candidates verified. All keys are compared, none is capped.
     """
-    lines = exploded(docs).select("h", "line").where(F.length("line") >= LEAST_CHARS).distinct()
-    lines = written(lines.select("h", "line", F.length("line").alias("n"), tally(F.col("line")).alias("s")), "lines-distinct")
-    wide = lines.select("h", "n", "s", F.encode("line", "UTF-32").alias("wide"))
-    index = wide.select(F.col("h").alias("src"), "s", F.explode(index_keys(F.col("wide"), F.col("n"))).alias("key"))
-    probe = wide.select(F.col("h").alias("dst"), F.col("s").alias("t"), F.explode(probe_keys(F.col("wide"), F.col("n"))).alias("k")).select("dst", "t", "k.key", "k.even")
+    long_ = lines.where(F.col("n") >= LEAST_CHARS)
+    index, probe = index_keys(long_), probe_keys(long_)
     pairs = index.join(probe, "key").where(f"src <> dst and (not even or src < dst) and not ({far_apart('s', 't')})").select("src", "dst").distinct()
     pairs = written(pairs, "lines-pairs")
-    ids = written(pairs.select(F.explode(F.array("src", "dst")).alias("h")).distinct(), "lines-paired")
-    lines = written(lines.select("h", "line").join(small(ids, MAX_BROADCAST_IDS), "h", "left_semi"), "lines-texts")
-    one, two = lines.select(F.col("h").alias("dst"), F.col("line").alias("b")), lines.select(F.col("h").alias("src"), F.col("line").alias("a"))
+    release(lines.sparkSession)
+    ids = written(pairs.select(F.col("src").alias("h")).union(pairs.select("dst")).distinct(), "lines-paired")
+    texts = written(lines.select("h", "line").join(small(ids, MAX_BROADCAST_IDS), "h", "left_semi"), "lines-texts")
+    one, two = texts.select(F.col("h").alias("dst"), F.col("line").alias("b")), texts.select(F.col("h").alias("src"), F.col("line").alias("a"))
     both = pairs.join(one, "dst").join(two, "src")
     return both.where(within_edits(F.col("a"), F.col("b"))).select("src", "dst")
 
@@ -167,11 +174,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     A class is all lines linked by equality or by ``line_links``, over any number of steps. Its first place has the
     smallest doc_id, then line_no. Places of rows that share doc_id and text count as one.
     """
-    links = written(line_links(docs), "lines-links")
-    places = written(exploded(docs).select("doc_id", "mark", "line_no", "h"), "lines-places")
+    lines = written(distinct_lines(docs), "lines-distinct")
+    release(docs.sparkSession)
+    links = written(line_links(lines), "lines-links")
     group = components(links, "lines-components").select(F.col("id").alias("h"), "component")
-    classed = places.join(group, "h", "left").withColumn("cls", F.coalesce("component", "h")).drop("component", "h")
-    first = classed.groupBy("cls").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    several = written(lines.where("c > 1").select("h").unionByName(group.select("h")).distinct().join(group, "h", "left").withColumn("cls", F.coalesce("component", "h")).select("h", "cls"), "lines-several")
+    classed = written(exploded(docs).select("doc_id", "mark", "line_no", "h").join(small(several, MAX_BROADCAST_IDS), "h").drop("h"), "lines-places")
+    first = classed.groupBy("cls").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("first"))
     again = classed.join(first, "cls").where("doc_id <> first.doc_id or line_no <> first.line_no or mark <> first.mark")
     return again.select("doc_id", "mark", "line_no")
 
@@ -186,6 +195,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     again = written(repeated_lines(docs).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "lines-removed")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text.alias("text")).withColumn("mark", F.xxhash64("text"))
+    if (again.agg(F.sum(F.size("removed"))).first()[0] or 0) <= MAX_BROADCAST_LINES:
+        again = F.broadcast(again)
     both = slim.join(again, ["doc_id", "mark"], "left")
     left = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: x[i]), "\n"))
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long")

@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     fine = written(mapped(sets.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), _fine, "rep long, planes array<long>"), "minhash-fine")
     words = FINE // 64
     own = placed.groupBy("rep").agg(F.collect_list("band").alias("bands"))  # at most one for each band of the signature
-    placed = placed.join(own, "rep").join(fine.select("rep", *(F.col("planes")[i].alias(f"p{i}_") for i in range(2 * words))), "rep")
+    placed = placed.join(fine.join(own, "rep").select("rep", "bands", *(F.col("planes")[i].alias(f"p{i}_") for i in range(2 * words))), "rep")
     sides = [placed.select("band", *(F.col(c).alias(c + s) for c in ("rep", "n", "component", "bands")), *(F.col(f"p{i}_").alias(f"p{i}_{s}") for i in range(2 * words))) for s in ("1", "2")]
     left, right = sides[0].withColumnRenamed("band", "band1"), sides[1]
     apart = " + ".join(f"bit_count((p{i}_1 ^ p{i}_2) | (p{i + words}_1 ^ p{i + words}_2))" for i in range(words))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are done: two collections, as its cleaner works behind the first."""
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def gathered(df: DataFrame) -> DataFrame:
     """``df`` in fewer tasks, so that small results make few files: two for each core of the cluster, or an eighth of the shuffle partitions if that is more."""
     spark = df.sparkSession
@@ -37,15 +45,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Lineage ends there: a lost executor costs its running tasks, not the steps before.
-    Shuffle files of those steps are released at once, by a collection on the driver.
+    Shuffle files of earlier steps are released first, by a collection on the driver.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/latticework/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext._jvm.System.gc()  # the last step's shuffles, which its end events held until now
     gathered(df).write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return back
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def mapped(df: DataFrame, fn, schema: str) -> DataFrame:

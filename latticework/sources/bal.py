@@ -52,7 +52,7 @@ def write(problem: Problem, path: str) -> None:
     """The problem as a folder of text in the same layout, in order; ids must be dense."""
     spark = problem.obs.sparkSession
     sizes = [df.count() for df in (problem.cam, problem.pt, problem.obs)]
-    number = lambda c: F.format_string("%.17g", c)
+    number = lambda c: F.col(c).cast("string")
     parts = [
         spark.range(1).select(F.lit(0).alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("c"), F.lit(" ".join(map(str, sizes))).alias("value")),
         problem.obs.select(F.lit(1), F.col("res_id"), F.lit(0), F.concat_ws(" ", F.col("cam_id").cast("string"), F.col("pt_id").cast("string"), number("x"), number("y"))),

@@ -137,6 +137,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     signed = written(
         mapped(slim, lambda it: _sign(it, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"),
         "minhash-signed",
+        gather=False,
     )
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(linkable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "minhash-classes")
@@ -151,7 +152,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
 
     ids = written(shared.select("rep").distinct(), "minhash-ids")
     wanted = slim.join(small(ids.select(F.col("rep").alias("doc_id")), MAX_BROADCAST_IDS), "doc_id", "left_semi")
-    sets = written(mapped(wanted, _sets, "doc_id long, shingles array<long>"), "minhash-sets")
+    sets = written(mapped(wanted, _sets, "doc_id long, shingles array<long>"), "minhash-sets", gather=False)
 
     star = shared.join(heads, "band").where("rep <> head and 100 * least(n, m) >= 75 * greatest(n, m)")
     star = star.select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()

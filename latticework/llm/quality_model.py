@@ -198,7 +198,7 @@ def quality_scores(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     scored as texts without words. Without any label all scores are 0.5. Repeated labels count each; rows of
     ``labelled`` without doc_id or label are ignored.
     """
-    stats = written(document_statistics(docs), "quality-stats")
+    stats = written(document_statistics(docs), "quality-stats", gather=False)
     model = fit(stats, labelled)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

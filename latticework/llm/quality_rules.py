@@ -91,7 +91,7 @@ def thresholds(stats: DataFrame) -> DataFrame:
             cut += [(q1 - spread if low else F.lit(float("-inf"))).alias(f"lo_{c}"), (q3 + spread).alias(f"hi_{c}")]
         return df.select(*by, F.struct("n", *cut).alias("f"))
 
-    own, by_lang, whole = fences(groups, "lang", "source"), fences(merged("lang"), "lang"), fences(merged())
+    own, by_lang, whole = fences(groups, "lang", "source"), fences(merged("lang"), "lang"), fences(merged().where("n > 0"))
     by_lang = by_lang.select(F.col("lang").alias("lang2"), F.col("f").alias("g"))
     joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("lang2")), "left").crossJoin(F.broadcast(whole.select(F.col("f").alias("h"))))  # one row
     pick = F.when(F.col("f.n") >= LEAST_ROWS, F.col("f")).when(F.col("g.n") >= LEAST_ROWS, F.col("g")).otherwise(F.col("h"))
@@ -106,7 +106,7 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     (quartiles of the group +- REACH ranges). Null and empty texts have no words and fail. Null lang or source is
     a group of its own.
     """
-    stats = written(document_stats(docs), "quality-stats")
+    stats = written(document_stats(docs), "quality-stats", gather=False)
     cuts = small(thresholds(stats).withColumnsRenamed({"lang": "lang_", "source": "source_"}), MAX_BROADCAST_GROUPS)
     inside = F.lit(True)
     for c in STATS:

@@ -14,6 +14,8 @@ from latticework.session import ship
 #: White space of every operator here: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: Texts can be long, so fewer go to Python at once than Spark would send.
+BATCH_ROWS = 1500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,22 +43,27 @@ def gathered(df: DataFrame) -> DataFrame:
     return df.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, gather: bool = True) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
+    Its tasks are ``gathered`` but where a scan's tasks have most of the work.
+
     Lineage ends there: a lost executor costs its running tasks, not the steps before.
     Shuffle files of earlier steps are released first, by a collection on the driver.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/latticework/{name}-{uuid.uuid4().hex}"
     spark.sparkContext._jvm.System.gc()  # the last step's shuffles, which its end events held until now
-    gathered(df).write.parquet(path)
+    (gathered(df) if gather else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``df.mapInArrow(fn, schema)`` on executors that have this package."""
-    ship(df.sparkSession)
+    """``df.mapInArrow(fn, schema)`` on executors that have this package, in batches of BATCH_ROWS texts at most."""
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(fn, schema)
 
 

@@ -17,9 +17,9 @@ MAX_TRAIN = 2500
 #: A word is the bag of its whole form and its character n-grams, edges marked, in so many rows of the embedding.
 GRAMS, BUCKETS, DIM = (3, 4, 5, 6), 1 << 19, 8
 #: Words of a bag that the softmax sees at once; a document's score is its worst bag's.
-BAG = 6
-EPOCHS, SEED = 60, 3
-RATE, DECAY = 0.5, 1e-5
+BAG = 2
+EPOCHS, SEED, START = 60, 3, 0.01
+RATE, DECAY = 1.0, 1e-5
 #: Words whose subwords are found at a time.
 CHUNK = 20_000
 #: Distinct words whose scores a task keeps.
@@ -76,7 +76,7 @@ class Model:
 
     def __init__(self) -> None:
         rng = np.random.default_rng(SEED)
-        self.e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+        self.e = rng.normal(0, START, (BUCKETS, DIM)).astype(np.float32)
         self.w, self.b = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
 
     def subword_logits(self) -> np.ndarray:

@@ -46,6 +46,26 @@ def residuals(cam: np.ndarray, pt: np.ndarray, xy: np.ndarray, derivatives: bool
     return r, jc, a @ rot
 
 
+def scaled_residuals(cam: np.ndarray, pt: np.ndarray, xy: np.ndarray, scale: np.ndarray, derivatives: bool = False):
+    """``residuals`` of stored parameters that stand for cam * scale; derivatives are by the stored ones."""
+    out = residuals(cam * scale, pt, xy, derivatives)
+    return (out[0], out[1] * scale[..., None, :], out[2]) if derivatives else out
+
+
+def column_scale(jc: np.ndarray, ci: np.ndarray, cameras: int, factor: float = 1e-4) -> np.ndarray:
+    """A scale for each camera parameter: ``factor`` times the absolute column sums of its block / 1000, pose terms at 0.4 of it."""
+    u = np.zeros((cameras, 9, 9))
+    np.add.at(u, ci, jc.transpose(0, 2, 1) @ jc)
+    s = factor * np.abs(u / 1000).sum(1)
+    s[:, :5] *= 0.4
+    return s
+
+
+def replace_blocks(m: np.ndarray, chosen: np.ndarray, value: float = 1e-15) -> np.ndarray:
+    """Blocks with all entries of the chosen ones set to ``value``."""
+    return np.where(chosen[:, None, None], value, m)
+
+
 def block_inverse(m: np.ndarray) -> np.ndarray:
     """Pseudo-inverses of symmetric blocks."""
     return np.linalg.pinv(m, hermitian=True) if len(m) else m

@@ -69,3 +69,14 @@ def lbfgs_direction(gradient: np.ndarray, steps: Sequence[np.ndarray], changes:
 def momentum(step: np.ndarray, last: np.ndarray, iteration: int) -> np.ndarray:
     """Step plus (it - 1) / (it + 2) of the last direction; none before the second iteration."""
     return step + max(0.0, (iteration - 1) / (iteration + 2)) * last
+
+
+def line_search(start: np.ndarray, toward: np.ndarray, cost, last: float, places: Sequence[float] = (0.0, 0.5, 1.0)) -> tuple[np.ndarray, float]:
+    """First point start + (1 - t)(toward - start) that costs no more than ``last``, t through ``places``; else the last point tried."""
+    point, now = start, last
+    for t in places:
+        point = start + (1 - t) * (toward - start)
+        now = cost(point)
+        if now <= last:
+            break
+    return point, now

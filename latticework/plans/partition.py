@@ -54,13 +54,78 @@ def merge_gain(w: float, wi: float, wj: float, si: int, sj: int, vi: int, vj: in
     return w / min(wi, wj) + 0.5 * balance + 0.1 * volume
 
 
-def agglomerate(edges: list[tuple[int, int, int]], seen: dict[int, np.ndarray], parts: int, most_volume: float = 4.0) -> dict[int, int]:
+def random_merges(edges: list[tuple[int, int, int]], seen: dict[int, np.ndarray], parts: int, merges: int, seed: int, cut: set[tuple[int, int]] = frozenset()) -> dict[int, int]:
+    """Camera -> smallest camera of its group, after up to ``merges`` merges along seeded edges, edges in ``cut`` first.
+
+    Groups stay within half a part's size and volume. It ends when no edge is left to try.
+    """
+    rng = np.random.default_rng(seed)
+    order = [edges[i] for i in rng.permutation(len(edges))]
+    order.sort(key=lambda e: (min(e[:2]), max(e[:2])) not in cut)
+    size_limit = max(1, len(seen) // parts)
+    volume_limit = len(np.unique(np.concatenate(list(seen.values())))) / parts if seen else 0
+    parent, marks, size = {c: c for c in seen}, {c: set(v.tolist()) for c, v in seen.items()}, dict.fromkeys(seen, 1)
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    done = 0
+    for a, b, _ in order:
+        if done >= merges:
+            break
+        a, b = sorted((root(a), root(b)))
+        if a == b or size[a] + size[b] > size_limit or len(marks[a] | marks[b]) > volume_limit:
+            continue
+        parent[b] = a
+        marks[a] |= marks[b]
+        size[a] += size[b]
+        done += 1
+    return {c: root(c) for c in seen}
+
+
+def grow_parts(seen: dict[int, np.ndarray], parts: int) -> dict[int, int]:
+    """Camera -> part: seeds with least overlap, then the smallest part takes the camera it overlaps best.
+
+    Merit of a camera for a part: shared landmarks over one plus those shared with all parts. Ids decide ties.
+    """
+    marks = {c: set(v.tolist()) for c, v in seen.items()}
+    seeds = [max(sorted(marks), key=lambda c: len(marks[c]))] if marks else []
+    while len(seeds) < min(parts, len(marks)):
+        covered = set().union(*(marks[c] for c in seeds))
+        seeds.append(min((c for c in sorted(marks) if c not in seeds), key=lambda c: (len(marks[c] & covered), -len(marks[c]))))
+    part = {c: p for p, c in enumerate(seeds)}
+    held = [set(marks[c]) for c in seeds]
+    while len(part) < len(marks):
+        p = min(range(len(held)), key=lambda i: (len(held[i]), i))
+        total = lambda c: sum(len(marks[c] & h) for h in held)
+        best = max((c for c in sorted(marks) if c not in part), key=lambda c: len(marks[c] & held[p]) / (1 + total(c)))
+        part[best] = p
+        held[p] |= marks[best]
+    return part
+
+
+def agglomerate(
+    edges: list[tuple[int, int, int]], seen: dict[int, np.ndarray], parts: int, most_volume: float = 4.0, merges: int = 0, seed: int = 0, cut: set[tuple[int, int]] = frozenset()
+) -> dict[int, int]:
     """Cameras merged greedily to ``parts`` parts: camera id -> part.
 
     edges: (src, dst, shared landmarks). seen: each camera's sorted landmarks. A merge takes the pair of best gain
     whose joint size and landmark union stay within limits; ties go to the smaller ids. It ends at ``parts`` parts or
     when no pair is left within the limits, so there may be more. Parts are numbered by their smallest camera.
+    ``merges`` random merges (``random_merges``) may come first.
     """
+    if merges:
+        group = random_merges(edges, seen, parts, merges, seed, cut)
+        joint: dict[tuple[int, int], int] = defaultdict(int)
+        for a, b, w in edges:
+            if group[a] != group[b]:
+                joint[min(group[a], group[b]), max(group[a], group[b])] = max(w, joint[min(group[a], group[b]), max(group[a], group[b])])
+        whole = {r: np.unique(np.concatenate([seen[c] for c in seen if group[c] == r])) for r in set(group.values())}
+        found = agglomerate([(a, b, w) for (a, b), w in sorted(joint.items())], whole, parts, most_volume)
+        return {c: found[group[c]] for c in seen}
     cameras, landmarks = len(seen), len(np.unique(np.concatenate(list(seen.values())))) if seen else 0
     size_limit, volume_limit = max(1, 2 * cameras // parts), min(most_volume, parts) * landmarks / parts
     target = 1.5 * landmarks / parts

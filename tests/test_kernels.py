@@ -91,3 +91,20 @@ def test_extrapolation_weights_and_directions():
     d = acc.lbfgs_direction(a @ x, xs, [a @ s for s in xs])
     assert d @ (a @ x) < 0
     assert np.allclose(acc.momentum(x, x, 1), x) and np.allclose(acc.momentum(x, x, 4), 1.5 * x)
+
+
+def test_scaling_and_selection():
+    cam, pt, ci, pi, xy = scene(seed=3)
+    scale = np.array([1, 1, 1, 20, 20, 80, 3000, 10, 20.0])
+    r, jc, _ = k.scaled_residuals(cam[ci] / scale, pt[pi], xy, scale, True)
+    r0, jc0, _ = k.residuals(cam[ci], pt[pi], xy, True)
+    assert np.allclose(r, r0) and np.allclose(jc, jc0 * scale)
+    assert k.column_scale(jc0, ci, 4).shape == (4, 9)
+    m = k.replace_blocks(np.ones((2, 3, 3)), np.array([True, False]))
+    assert m[0].max() == 1e-15 and m[1].min() == 1
+
+
+def test_line_search_stops_at_first_gain():
+    f = lambda x: float((x**2).sum())
+    x, now = acc.line_search(np.ones(2), -np.ones(2) * 3, f, 2.0)
+    assert np.allclose(x, -1) and now == 2.0

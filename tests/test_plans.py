@@ -56,6 +56,16 @@ def test_partitioner_cuts_at_the_bridge():
     assert found == partition.agglomerate([e for e in edges if e[2]], seen, 2)
 
 
+def test_growth_and_random_merges_cover_all():
+    seen = {c: np.arange(30) + 25 * c for c in range(12)}
+    edges = [(c, c + 1, 5) for c in range(11)]
+    for found in (partition.grow_parts(seen, 3), partition.agglomerate(edges, seen, 3, merges=3, seed=1)):
+        assert set(found) == set(seen) and 3 <= len(set(found.values())) <= 4
+    assert partition.agglomerate(edges, seen, 3, merges=3, seed=1) == partition.agglomerate(edges, seen, 3, merges=3, seed=1)
+    first = partition.random_merges(edges, seen, 3, 1, 0, {(4, 5)})
+    assert first[5] == 4
+
+
 def test_completion_and_moves():
     counts = {0: {0: 2}, 1: {0: 1, 1: 3}, 2: {0: 2, 1: 2}}
     assert partition.complete_in_order(counts, {0: 5, 1: 5}) == {0: 0, 1: 1, 2: 0}

@@ -180,8 +180,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     group = components(links, "lines-components").select(F.col("id").alias("h"), "component")
     several = written(lines.where("c > 1").select("h").unionByName(group.select("h")).distinct().join(group, "h", "left").withColumn("cls", F.coalesce("component", "h")).select("h", "cls"), "lines-several")
     classed = written(exploded(docs).select("doc_id", "mark", "line_no", "h").join(small(several, MAX_BROADCAST_IDS), "h").drop("h"), "lines-places")
-    first = classed.groupBy("cls").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("first"))
-    again = classed.join(first, "cls").where("doc_id <> first.doc_id or line_no <> first.line_no or mark <> first.mark")
+    first = written(classed.groupBy("cls").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("first")), "lines-first")
+    again = classed.join(small(first, MAX_BROADCAST_IDS), "cls").where("doc_id <> first.doc_id or line_no <> first.line_no or mark <> first.mark")
     return again.select("doc_id", "mark", "line_no")
 
 

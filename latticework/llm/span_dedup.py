@@ -126,9 +126,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(mapped(slim, _runs, "key long, doc_id long, mark long, i int, j int"), "spans-runs", gather=False)
     first = found.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").select("key", "first_doc")
+    first = written(first, "spans-first")
     many = written(found.join(first, "key"), "spans-repeated")
     at = many.where("doc_id = first_doc").groupBy("key").agg(F.min(F.struct("i", "mark")).alias("p")).select("key", F.col("p.i").alias("first_i"), F.col("p.mark").alias("first_mark"))
-    again = many.join(at, "key").where("doc_id <> first_doc or i <> first_i or mark <> first_mark")
+    again = many.join(written(at, "spans-places"), "key").where("doc_id <> first_doc or i <> first_i or mark <> first_mark")
     return again.select("doc_id", "mark", "i", "j", "first_doc")
 
 

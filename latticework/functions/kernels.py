@@ -218,7 +218,7 @@ def solve_gradient(n: Normal, ui, vi, u, b, its: int = 2000, eps: float = 1e-9)
     return x
 
 
-def solve_bicgstab(n: Normal, ui, vi, u, b, its: int = 200, eps: float = 1e-10) -> np.ndarray:
+def solve_bicgstab(n: Normal, ui, vi, u, b, its: int = 50, eps: float = 1e-6) -> np.ndarray:
     """Stabilised bi-conjugate gradients on (I - U^-1 W V^-1 W') x = U^-1 b."""
     a = lambda x: x - _apply(n, ui, vi, x)
     base = np.einsum("cij,cj->ci", ui, b)
@@ -249,6 +249,10 @@ SOLVERS = {
 }
 
 
+#: Entries of the coupling blocks up to which the reduced system is formed.
+FORMED = 10_000_000
+
+
 @dataclass
 class Local:
     """A local problem: observations by local numbers, parameters, which of them are free, and pulls towards targets.
@@ -277,8 +281,12 @@ class Local:
                 full += float(np.einsum("ni,nij,nj->", x - to, m, x - to))
         return plain, full
 
-    def fit(self, steps: int, damping: float = 1e-3, solver: str = "direct", spread: float = 1e-9) -> tuple[float, float]:
-        """Levenberg-Marquardt steps in place; gives the cost and the damping. Damping doubles on every rejection."""
+    def fit(self, steps: int, damping: float = 1e-3, solver: str | None = None, spread: float = 1e-9) -> tuple[float, float]:
+        """Levenberg-Marquardt steps in place; gives the cost and the damping. Damping doubles on every rejection.
+
+        Without a solver's name small reduced systems are formed and solved, larger ones iterated on without forming them.
+        """
+        solver = solver or ("direct" if 27 * len(self.cam) * len(self.pt) <= FORMED else "bicgstab")
         plain, full = self.cost(self.cam, self.pt)
         for _ in range(steps):
             r, jc, jl = residuals(self.cam[self.ci], self.pt[self.pi], self.xy, True)

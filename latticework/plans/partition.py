@@ -184,9 +184,7 @@ def agglomerate(
                 if (min(b, k), max(b, k)) in barred:
                     barred.add((min(a, k), max(a, k)))
         near[a].pop(b, None)
-        push(a)
-        for k in near[a]:
-            push(k)
+        push(a)  # its neighbours' entries are weighed anew when they come up
     order = sorted(alive, key=lambda c: min(member[c]))
     return {c: p for p, root in enumerate(order) for c in member[root]}
 

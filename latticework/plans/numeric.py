@@ -57,6 +57,12 @@ def partition_cameras(spark, d):
     return partition.partition_cameras(t.pairs(spark, d), catalogue.PARTS)
 
 
+def connected_roots_all(spark, d):
+    """(id, root) on the edges of all orders, ids as they are; ``connected_roots`` is held to the part and the folded ids of its SQL."""
+    edges = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_custkey as src", "cast(floor(o_totalprice) as bigint) as dst")
+    return partition.roots(edges)
+
+
 def recluster(spark, d):
     """(pt_id, part) after moves that relieve parts of cameras with few landmarks; counts by landmark and camera are collected."""
     placed = catalogue.observed_parts(spark, d)
@@ -117,4 +123,4 @@ def inner_solvers(spark, d):
     return rows.groupBy("part").applyInPandas(go, "part int, solver string, gap double")
 
 
-QUERIES = {f.__name__: f for f in (lm_step, lm_fit, drs_fit, drs_cameras_fit, palm_fit, partition_cameras, recluster, pose_monte_carlo, block_eigen, inner_solvers)}
+QUERIES = {f.__name__: f for f in (lm_step, lm_fit, drs_fit, drs_cameras_fit, palm_fit, partition_cameras, connected_roots_all, recluster, pose_monte_carlo, block_eigen, inner_solvers)}

@@ -3,7 +3,7 @@ import pytest
 
 from latticework.functions.kernels import Local
 from latticework.operators import graph, relational
-from latticework.plans import bundle, partition
+from latticework.plans import bundle, numeric, partition
 from tests.scenes import scene, shaken, tables
 
 
@@ -81,6 +81,25 @@ def test_roots_and_empty(spark):
     assert partition.roots(e.limit(0)).count() == 0
 
 
+def test_roots_of_all_orders(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(k, int(rng.integers(1, 900)), float(rng.integers(800, 4000)) + 0.75) for k in range(1, 1200)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for _, a, b in rows:
+        if a != int(b):
+            low, high = sorted((find(a), find(int(b))))
+            parent[high] = low
+    got = dict(map(tuple, numeric.connected_roots_all(spark, str(tmp_path)).collect()))
+    assert got == {x: find(x) for x in parent} and len(got) > 1000 and max(got) > 500
+
+
 def test_coverage_raises(spark):
     placed = spark.createDataFrame([(1, 0)], "pt_id long, part int")
     ids = spark.createDataFrame([(1,), (2,)], "pt_id long")

@@ -254,6 +254,28 @@ def test_attention_gradients():
         assert grads[name][at] == pytest.approx((up - down) / 2e-2, abs=2e-3)
 
 
+def test_attention_learns_from_all_texts(spark, monkeypatch):
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choice(["the", "cat", "dog", "ran", "home", f"w{rng.randrange(30)}"]) for _ in range(rng.randint(1, 40)))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm_score, "MAX_FIT", 5)
+    coder = lm_score.Subwords(lm_score.vocabulary_path())
+    found, keep = [], lm_score.averaged
+
+    def watched(training, model, path):
+        start = {k: v.copy() for k, v in model.p.items()}
+        found.append((keep(training, model, path), start, model.p))
+        return found[-1][0]
+
+    monkeypatch.setattr(lm_score, "averaged", watched)
+    rows = lm_score.language_scores(df, F.col("doc_id") % 7 == 2).collect()
+    tokens, start, end = found[0]
+    assert len(rows) == 300 and tokens == sum(sum(map(len, coder.pieces.encode(words(t)))) + 1 for i, t in docs if i % 7 != 2)
+    assert all(np.isfinite(end[k]).all() and (start[k] != end[k]).any() for k in start)
+    late = {p for i, t in docs if i % 7 != 2 for x in coder.pieces.encode(words(t)) for p in x}
+    assert all((start["E"][p] != end["E"][p]).any() for p in late)  # ids of texts outside the first fit too
+
+
 def test_isotonic():
     knots, levels = quality_model.isotonic(np.arange(6.0), np.full(6, 10), np.array([0, 5, 3, 4, 9, 10]))
     assert np.all(np.diff(levels) >= 0) and len(knots) == len(levels) and knots[0] == 0 and knots[-1] == 5

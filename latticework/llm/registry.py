@@ -132,6 +132,10 @@ def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_sentences", F.size("removed").cast("long").alias("n_removed"), "n_removed_words", "first_docs")
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_passages(_table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = rf"""
 with t as (
   select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, regexp_extract_all(text, '[\x20\x09-\x0D]+') as s,
@@ -256,6 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_span_dedup": op4_span_dedup,
+    "op4_passage_dedup": op4_passage_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_lm_scoring": op7_lm_scoring,

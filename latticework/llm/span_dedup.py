@@ -17,6 +17,9 @@ from latticework.llm.shared import mapped, written
 MAX_SENTENCE = 24
 #: A run has two sentences or more, and the fewest that hold so many words.
 MIN_WORDS = 25
+#: Passages of so many words are found wherever they begin (``remove_passages``), by their least hash of GRAM words.
+PASSAGE, GRAM = 51, 16
+INVERSE = np.array([pow(int(tk.BASE), -1, 1 << 64)], np.uint64)
 STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
 
@@ -150,3 +153,149 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     out = mapped(slim.join(again, ["doc_id", "mark"], "left").select("doc_id", "text", "spans", F.coalesce("first_docs", F.array().cast("array<long>")).alias("first_docs")),
                  _cut, "doc_id long, first_docs array<long>, text string, n_sentences long, removed array<int>, n_removed_words long")
     return out.select("doc_id", "text", "n_sentences", "removed", "n_removed_words", "first_docs")
+
+
+def _powers(base: np.ndarray, n: int) -> np.ndarray:
+    powers = np.full(n + 1, base, np.uint64)
+    powers[0] = 1
+    return np.cumprod(powers)
+
+
+def _ranges(hashes: np.ndarray):
+    """A function that hashes the words from low up to high, for arrays of both."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(tk.BASE, len(hashes))[:-1])))
+    back = _powers(INVERSE, len(hashes))
+    return lambda low, high: tk.mix((sums[high] - sums[low]) * back[low] + (high - low).astype(np.uint64))
+
+
+def _least(x: np.ndarray, n: int, of=np.minimum) -> np.ndarray:
+    """Of every n consecutive values."""
+    size = 1
+    while 2 * size <= n:
+        x, size = of(x[:-size], x[size:]), 2 * size
+    return of(x[: len(x) - (n - size)], x[n - size :])
+
+
+def _marks(part: np.ndarray, part_offs: np.ndarray) -> np.ndarray:
+    return np.array([zlib.crc32(part[x:y]) for x, y in zip(part_offs[:-1].tolist(), part_offs[1:].tolist(), strict=True)], np.int64)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of words whose windows of PASSAGE words have the same least hash of GRAM words.
+
+    Equal windows have equal least hashes. many: whether the stretch holds that hash more than once.
+    """
+    for batch in batches:
+        data, offs = tk.buffers(batch.column(1))
+        for a, b, part, part_offs in tk.slices(data, offs):
+            starts, ends, word_offs = tk.words(part, part_offs)
+            if len(starts) < PASSAGE:
+                continue
+            ranged = _ranges(tk.word_hashes(part, starts, ends))
+            at = np.arange(len(starts) - GRAM + 1)
+            gram = ranged(at, at + GRAM)
+            least = _least(gram, PASSAGE - GRAM + 1)
+            row = np.searchsorted(word_offs, np.arange(len(least)), "right") - 1
+            whole = np.arange(len(least)) + PASSAGE <= word_offs[row + 1]
+            new = np.ones(len(least), bool)
+            new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | ~whole[:-1]
+            head = np.flatnonzero(new & whole)
+            if not len(head):
+                continue
+            stop = np.append(np.flatnonzero(new | ~whole), len(least))
+            last = stop[np.searchsorted(stop, head, "right")] - 1
+            low, high, key = head, last + PASSAGE, least[head]
+            grams = high - low - GRAM + 1
+            first = np.concatenate(([0], np.cumsum(grams)[:-1]))
+            inside = np.repeat(low - first, grams) + np.arange(int(grams.sum()))
+            many = np.add.reduceat((gram[inside] == np.repeat(key, grams)).astype(np.int64), first) > 1
+            row = row[head]
+            ids = batch.column(0).slice(a, b - a).take(pa.array(row))
+            yield pa.record_batch(
+                [pa.array(key.view(np.int64)), pa.array(ranged(low, high).view(np.int64)), ids, pa.array(_marks(part, part_offs)[row]), pa.array((low - word_offs[row]).astype(np.int32)), pa.array((high - word_offs[row]).astype(np.int32)), pa.array(many)],
+                ["least", "key", "doc_id", "mark", "i", "j", "many"],
+            )
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of all windows of PASSAGE words in the stretches (first << 32 | end word) of doc_id, mark, text."""
+    for batch in batches:
+        spans = batch.column(3).to_pylist()
+        data, offs = tk.buffers(batch.column(2))
+        for a, b, part, part_offs in tk.slices(data, offs):
+            starts, ends, word_offs = tk.words(part, part_offs)
+            begin, row = [], []
+            for r in range(b - a):
+                for x in spans[a + r]:
+                    begin.append(np.arange(x >> 32, (x & 0xFFFFFFFF) - PASSAGE + 1))
+                    row.append(np.full(len(begin[-1]), r))
+            begin, row = np.concatenate(begin), np.concatenate(row)
+            low = begin + word_offs[row]
+            key = _ranges(tk.word_hashes(part, starts, ends))(low, low + PASSAGE)
+            take = pa.array(row)
+            yield pa.record_batch([pa.array(key.view(np.int64)), batch.column(0).slice(a, b - a).take(take), batch.column(1).slice(a, b - a).take(take), pa.array(begin.astype(np.int32))], ["key", "doc_id", "mark", "i"])
+
+
+def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, spans (first << 32 | end word), first_docs to the text without these words, and counts."""
+    for batch in batches:
+        texts, spans = batch.column(1), batch.column(2).to_pylist()
+        data, offs = tk.buffers(texts)
+        out, counts, gone = [], [], []
+        for a, b, part, part_offs in tk.slices(data, offs):
+            starts, _, word_offs = tk.words(part, part_offs)
+            for r in range(b - a):
+                low, high = int(word_offs[r]), int(word_offs[r + 1])
+                raw, counts_ = part[part_offs[r] : part_offs[r + 1]].tobytes(), high - low
+                remove = np.zeros(counts_ + 2, bool)
+                for x in spans[a + r] or ():
+                    remove[(x >> 32) + 1 : (x & 0xFFFFFFFF) + 1] = True
+                counts.append(counts_)
+                gone.append(int(remove.sum()))
+                edges = np.concatenate((starts[low:high] - part_offs[r], [len(raw)]))
+                if counts_:
+                    edges[0] = 0
+                turn = np.flatnonzero(remove[1:] != remove[:-1])
+                cuts = [0, *edges[turn].tolist(), len(raw)] if counts_ else [0, len(raw)]
+                out.append(b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)).decode())
+        yield pa.record_batch([batch.column(0), batch.column(3), pa.array(out, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "first_docs", "text", "n_words", "n_removed_words"])
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, i, j, first_doc: words i up to j, which cover every window of PASSAGE words that has an earlier place.
+
+    Stretches that recur whole are found first; windows are compared one by one only in the first places of distinct
+    stretches that share their least hash with others. A window's first place is among these.
+    """
+    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = written(mapped(slim, _stretches, "least long, key long, doc_id long, mark long, i int, j int, many boolean"), "passages-stretches", gather=False)
+    kinds = written(found.groupBy("least", "key").agg(F.min(F.struct("doc_id", "i", "mark", "j")).alias("p"), F.count("*").alias("n"), F.max("many").alias("many")), "passages-kinds")
+    firsts = written(kinds.where("n > 1").select("key", "least", F.col("p.doc_id").alias("first_doc"), F.col("p.i").alias("first_i"), F.col("p.mark").alias("first_mark")), "passages-firsts")
+    whole = found.join(firsts, ["least", "key"]).where("doc_id <> first_doc or i <> first_i or mark <> first_mark").select("doc_id", "mark", "i", "j", "first_doc")
+    shared = written(kinds.groupBy("least").agg(F.count("*").alias("k"), F.max("many").alias("many")).where("k > 1 or many").select("least"), "passages-shared")
+    spans = kinds.join(shared, "least").select("p.*").groupBy("doc_id", "mark").agg(F.collect_set(F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("j").cast("long"))).alias("spans"))
+    spans = written(spans, "passages-spans")
+    texts = slim.withColumn("mark", F.crc32(F.encode("text", "utf-8"))).join(spans, ["doc_id", "mark"]).select("doc_id", "mark", "text", "spans")
+    each = written(mapped(texts, _windows, "key long, doc_id long, mark long, i int"), "passages-windows", gather=False)
+    at = each.groupBy("key").agg(F.min(F.struct("doc_id", "i", "mark")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    at = written(at.select("key", F.col("p.doc_id").alias("first_doc"), F.col("p.i").alias("first_i"), F.col("p.mark").alias("first_mark")), "passages-places")
+    single = each.join(at, "key").where("doc_id <> first_doc or i <> first_i or mark <> first_mark").select("doc_id", "mark", "i", (F.col("i") + PASSAGE).alias("j"), "first_doc")
+    return whole.unionByName(single)
+
+
+def remove_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) without the words of passages of PASSAGE words or more whose same words have an earlier place.
+
+    Passages may begin and end anywhere. Returns doc_id, text, n_words, n_removed_words, first_docs (documents that
+    hold an earlier place), one row per input row. Rows without doc_id, and those that share a doc_id and text, are
+    taken as in ``remove_repeats``.
+    """
+    again = repeated_passages(docs).groupBy("doc_id", "mark").agg(
+        F.collect_set(F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("j").cast("long"))).alias("spans"), F.array_sort(F.collect_set("first_doc")).alias("first_docs")
+    )
+    again = written(again, "passages-removed")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    slim = slim.withColumn("mark", F.crc32(F.encode("text", "utf-8")))
+    out = mapped(slim.join(again, ["doc_id", "mark"], "left").select("doc_id", "text", "spans", F.coalesce("first_docs", F.array().cast("array<long>")).alias("first_docs")),
+                 _cut_words, "doc_id long, first_docs array<long>, text string, n_words long, n_removed_words long")
+    return out.select("doc_id", "text", "n_words", "n_removed_words", "first_docs")

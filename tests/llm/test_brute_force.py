@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.llm import attention_lm, line_dedup, lm_score, minhash, mixing, quality_model, secret_scan, toxicity
+from latticework.llm import attention_lm, line_dedup, lm_score, minhash, mixing, quality_model, secret_scan, span_dedup, toxicity
 from latticework.llm import textkernel as tk
 from latticework.llm.automaton import compiled
 from latticework.llm.shared import components
@@ -148,6 +148,34 @@ def test_near_duplicates_are_complete(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_passages_are_complete(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    shared = [some(n) for n in (51, 51, 52, 60, 90, 50)]  # without full stops, and at any place in other words
+    docs = []
+    for i in range(40):
+        text = some(rng.randint(0, 70))
+        for _ in range(rng.randint(0, 3)):
+            piece = list(rng.choice(shared))
+            text += piece[rng.randint(0, 3) :] if rng.random() < 0.3 else piece
+            text += some(rng.randint(0, 40))
+        docs.append((i, " ".join(text)))
+    docs += [(40, docs[3][1]), (41, " ".join(["la"] * 60)), (42, None), (43, "  \n"), (44, " ".join((some(7)) * 12)), (45, "x " + docs[7][1]), (46, " ".join(shared[0])), (47, " ".join(["once", *shared[0], "more"]))]
+    seen, want = set(), {}
+    for i, t in docs:
+        w = (t or "").split()
+        gone = set()
+        for k in range(len(w) - 50):
+            x = tuple(w[k : k + 51])
+            gone |= set(range(k, k + 51)) if x in seen else set()
+            seen.add(x)
+        want[i] = ([x for k, x in enumerate(w) if k not in gone], len(gone))
+    got = {r.doc_id: r for r in span_dedup.remove_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert {i: (r.text.split(), r.n_removed_words) for i, r in got.items()} == want and sum(n for _, n in want.values()) > 1000
+    assert got[40].text == "" and got[43].text == "  \n" and got[47].text == "once more" and got[47].first_docs and all(f <= i for i, r in got.items() for f in r.first_docs)
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(40)] + [(7, 7), (None, 3)]

@@ -64,13 +64,16 @@ def connected_roots_all(spark, d):
 
 
 def recluster(spark, d):
-    """(pt_id, part) after moves that relieve parts of cameras with few landmarks; counts by landmark and camera are collected."""
+    """(pt_id, part) after moves that relieve parts of cameras with few landmarks; counts by landmark and camera are collected.
+
+    The limit fits the order graph, as that of ``weak_cameras`` does. The graph is dense, so that relief can empty whole parts.
+    """
     placed = catalogue.observed_parts(spark, d)
     owner = {r.pt_id: r.part for r in graph.complete_landmarks(placed).collect()}
     counts: dict[int, dict[int, int]] = {}
     for r in placed.groupBy("pt_id", "cam_id").agg(F.count("*").alias("n")).collect():
         counts.setdefault(r.pt_id, {})[r.cam_id] = r.n
-    return spark.createDataFrame(sorted(partition.recluster(counts, owner).items()), "pt_id long, part int")
+    return spark.createDataFrame(sorted(partition.recluster(counts, owner, most=100).items()), "pt_id long, part int")
 
 
 def pose_monte_carlo(spark, d):

@@ -220,11 +220,15 @@ def move_gain(before: int, after: int, most: int, temperature: float) -> float:
     return math.exp(-after / most * temperature) - math.exp(-before / most * temperature)
 
 
-def recluster(counts: dict[int, dict[int, int]], owner: dict[int, int], most: int = 5, temperature: float = 5.0, rounds: int = 3) -> dict[int, int]:
+def recluster(
+    counts: dict[int, dict[int, int]], owner: dict[int, int], most: int = 5, temperature: float = 5.0, rounds: int = 31, step: int = 5, limit: int = 20
+) -> dict[int, int]:
     """Moves single landmarks between parts so that cameras with few landmarks leave a part: landmark -> part.
 
-    counts: each landmark's cameras and how often they see it. A landmark of a weak camera moves to the part of best
-    total gain over its cameras, if that is positive; ids decide ties; rounds are capped.
+    counts: each landmark's cameras and how often they see it. A landmark of a weak camera, one with at most ``most``
+    observations in a part and others elsewhere, moves to the part of best total gain over its cameras, if that is
+    positive; ids decide ties. It ends when weak cameras are left but no move is, or after ``rounds`` passes. Once no
+    weak camera is left, ``most`` grows by ``step`` up to ``limit``, also at the start.
     """
     owner = dict(owner)
     here: dict[tuple[int, int], int] = defaultdict(int)
@@ -234,9 +238,13 @@ def recluster(counts: dict[int, dict[int, int]], owner: dict[int, int], most: in
             here[owner[lm], c] += n
             by_camera[c].add(lm)
     parts = sorted(set(owner.values()))
+    total = {c: sum(counts[lm][c] for lm in lms) for c, lms in by_camera.items()}
+    weak = lambda: sorted((p, c) for (p, c), n in here.items() if 0 < n <= most and n < total[c])
     for _ in range(rounds):
+        while not (found := weak()) and most < limit:
+            most = min(most + step, limit)
         moved = 0
-        for p, c in sorted(k for k, n in here.items() if 0 < n <= most):
+        for p, c in found:
             for lm in sorted(x for x in by_camera[c] if owner[x] == p):
                 top, to = 1e-12, p
                 for q in parts:

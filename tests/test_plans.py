@@ -1,9 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 
 from latticework.functions.kernels import Local
 from latticework.operators import graph, relational
-from latticework.plans import bundle, numeric, partition
+from latticework.plans import bundle, catalogue, numeric, partition
 from tests.scenes import scene, shaken, tables
 
 
@@ -75,6 +77,37 @@ def test_completion_and_moves():
     assert set(moved) == set(owner)
 
 
+def test_moves_grow_the_limit():
+    counts = {lm: {0: 1} for lm in range(38)} | {100 + lm: {1: 1} for lm in range(40)}
+    owner = {lm: int(lm >= 8) for lm in range(38)} | {100 + lm: lm % 2 for lm in range(40)}  # camera 0: 8 and 30, camera 1: 20 and 20
+    moved = partition.recluster(counts, owner)
+    assert {moved[lm] for lm in range(38)} == {1}
+    assert len({moved[100 + lm] for lm in range(40)}) == 1
+    assert partition.recluster({0: {0: 3}, 1: {1: 9}}, {0: 0, 1: 1}) == {0: 0, 1: 1}  # all in one part: not weak
+
+
+def test_moves_go_on_until_none_is_left():
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        counts = {lm: {int(c): 1 for c in rng.choice(30, 3, replace=False)} for lm in range(150)}
+        owner = {lm: int(rng.integers(0, 5)) for lm in counts}
+        moved = partition.recluster(counts, owner, limit=5)
+        assert moved == partition.recluster(counts, moved, limit=5)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_registered_moves_relieve_cameras(spark, sf):
+    d = f"/root/testdata/{sf}"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    placed = catalogue.observed_parts(spark, d)
+    owner = graph.complete_landmarks(placed).select("pt_id", "part")
+    moved = numeric.recluster(spark, d)
+    weak = lambda o: placed.drop("part").join(o, "pt_id").groupBy("part", "cam_id").count().where("count <= 100").count()
+    assert moved.count() == owner.count() and moved.exceptAll(owner.selectExpr("pt_id", "cast(part as int) as part")).count() > 0
+    assert weak(owner) > 0 and weak(moved) == 0
+
+
 def test_roots_and_empty(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5)], "src long, dst long")
     assert sorted(map(tuple, partition.roots(e).collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]

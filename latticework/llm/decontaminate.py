@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from latticework.llm import textkernel as tk
 from latticework.llm.minhash import signatures
-from latticework.llm.shared import mapped, small, written
+from latticework.llm.shared import mapped, small, text_mark, written
 
 #: Coordinates of a signature. One equal coordinate makes a candidate.
 COORDINATES = 64
@@ -134,6 +134,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item, with all their columns."""
-    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias("__leak_id")).distinct(), "decontaminate-ids")
-    return docs.join(small(found, MAX_BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("__leak_id")), "left_anti")
+    """The rows whose text holds no test item, with all their columns; rows that share a doc_id, or have none, may part."""
+    marked = docs.withColumn("__text_mark", text_mark(F.col("text")))
+    found = leaks(marked.select(F.col("__text_mark").alias("doc_id"), "text"), benchmark)
+    found = written(found.select(F.col("doc_id").alias("__text_mark")).distinct(), "decontaminate-ids")
+    return marked.join(small(found, MAX_BROADCAST_IDS), "__text_mark", "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.quality_rules import let
-from latticework.llm.shared import components, gathered, release, small, written
+from latticework.llm.shared import components, discarded, small, written
 
 #: Lines at this edit distance or less are the same line.
 EDITS = 2
@@ -160,7 +160,6 @@ def line_links(lines: DataFrame) -> DataFrame:
     index, probe = index_keys(long_), probe_keys(long_)
     pairs = index.join(probe, "key").where(f"src <> dst and (not even or src < dst) and not ({far_apart('s', 't')})").select("src", "dst").distinct()
     pairs = written(pairs, "lines-pairs")
-    release(lines.sparkSession)
     ids = written(pairs.select(F.col("src").alias("h")).union(pairs.select("dst")).distinct(), "lines-paired")
     texts = written(lines.select("h", "line").join(small(ids, MAX_BROADCAST_IDS), "h", "left_semi"), "lines-texts")
     one, two = texts.select(F.col("h").alias("dst"), F.col("line").alias("b")), texts.select(F.col("h").alias("src"), F.col("line").alias("a"))
@@ -175,7 +174,6 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     smallest doc_id, then line_no. Places of rows that share doc_id and text count as one.
     """
     lines = written(distinct_lines(docs), "lines-distinct")
-    release(docs.sparkSession)
     links = written(line_links(lines), "lines-links")
     group = components(links, "lines-components").select(F.col("id").alias("h"), "component")
     several = written(lines.where("c > 1").select("h").unionByName(group.select("h")).distinct().join(group, "h", "left").withColumn("cls", F.coalesce("component", "h")).select("h", "cls"), "lines-several")
@@ -200,6 +198,6 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     both = slim.join(again, ["doc_id", "mark"], "left")
     left = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: x[i]), "\n"))
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long")
-    return gathered(both).select(
+    return both.select(
         "doc_id", *keep, F.when(F.col("removed").isNull(), F.col("text")).otherwise(left).alias("text"), lines.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
     )

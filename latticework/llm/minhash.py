@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm import textkernel as tk
-from latticework.llm.shared import components, gathered, mapped, small, written
+from latticework.llm.shared import WORD, components, discarded, mapped, small, text_mark, written
 
 #: 40 bands of 5 coordinates: of links at similarity 0.75 one in 50,000 shares no band.
 BANDS, ROWS = 40, 5
@@ -93,14 +93,17 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
             for salt in (11, 13):
                 v = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tk.mix(values + np.uint64(salt)))))
                 sums.append((v[cuts[1:]] - v[cuts[:-1]]).view(np.int64))
-            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, sums), tk.longs(keys.ravel(), np.arange(b - a + 1) * bands)], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+            yield pa.record_batch(
+                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n), *map(pa.array, sums), tk.longs(keys.ravel(), np.arange(b - a + 1) * bands)],
+                ["doc_id", "mark", "n_shingles", "f1", "f2", "bands"],
+            )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = tk.buffers(batch.column(1))
         for a, b, part, part_offs in tk.slices(data, offs):
-            yield pa.record_batch([batch.column(0).slice(a, b - a), tk.longs(*tk.shingle_sets(part, part_offs))], ["doc_id", "shingles"])
+            yield pa.record_batch([batch.column(0).slice(a, b - a), tk.longs(*tk.shingle_sets(part, part_offs))], ["rep", "shingles"])
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,46 +116,33 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs(a, b) whose whole shingle sets have 100 * intersection >= 75 * union."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
+    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s"))
+    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t"))
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("s", "t")))
     return both.where(100 * F.col("common") >= 75 * (F.size("s") + F.size("t") - F.col("common"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Groups of documents linked by a Jaccard similarity of 0.75 or more of their 5-word shingle sets.
+def _grouped(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """doc_id, mark (hash of the text), n_shingles, group (null for rows in none), component_id of each row; see ``near_duplicates``."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_mark(F.col("text")).alias("mark"))
+    signed = written(mapped(slim, lambda it: _sign(it, bands, rows), "doc_id long, mark long, n_shingles long, f1 long, f2 long, bands array<long>"), "minhash-signed")
+    linkable = signed.where("n_shingles > 0 and doc_id is not null").withColumn("rep", F.xxhash64("f1", "f2", "n_shingles"))
+    # a class: equal sets, which have the same bands; its first row stands for it
+    classes = written(linkable.groupBy("rep").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
 
-    ``docs`` needs doc_id and text; other columns are ignored. Returns doc_id, n_shingles, component_id
-    (smallest doc_id reachable), kept (doc_id = component_id), one row per input row.
-
-    Documents with equal sets form one class and are compared once. In each bucket every class is compared
-    with the bucket's hub, the class that shares most buckets; what these links leave apart is compared across
-    components if longer signatures agree enough, so a bucket of like texts costs one comparison per text and
-    texts that merely share a passage cost a few word operations. Null and empty texts, and
-    rows with a null doc_id, are linked with nothing (their component is their own doc_id); a doc_id is taken
-    to be unique, repeated ones are treated row by row. A link is missed with the probability of sharing no
-    band, about 2e-5 at similarity 0.75 and less above.
-    """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(
-        mapped(slim, lambda it: _sign(it, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"),
-        "minhash-signed",
-        gather=False,
-    )
-    linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(linkable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "minhash-classes")
-
-    reps = linkable.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2", "n_shingles"), ["doc_id", "f1", "f2", "n_shingles"], "left_semi")
-    rows_ = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
+    rows_ = classes.select("rep", "n", F.explode("bands").alias("band"))
     crowd = rows_.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     shared = written(rows_.join(crowd, "band"), "minhash-shared")
     score = shared.groupBy("rep").agg(F.sum("c").alias("score"))
-    best = shared.join(score, "rep").groupBy("band").agg(F.max(F.struct("score", (-F.col("rep")).alias("m"), "n")).alias("best"))
-    heads = written(best.select("band", (-F.col("best.m")).alias("head"), F.col("best.n").alias("m")), "minhash-heads")
+    best = shared.join(score, "rep").groupBy("band").agg(F.max(F.struct("score", "rep", "n")).alias("best"))
+    heads = written(best.select("band", F.col("best.rep").alias("head"), F.col("best.n").alias("m")), "minhash-heads")
 
-    ids = written(shared.select("rep").distinct(), "minhash-ids")
-    wanted = slim.join(small(ids.select(F.col("rep").alias("doc_id")), MAX_BROADCAST_IDS), "doc_id", "left_semi")
-    sets = written(mapped(wanted, _sets, "doc_id long, shingles array<long>"), "minhash-sets", gather=False)
+    ids = written(classes.join(shared.select("rep").distinct(), "rep").select("rep", "first.*"), "minhash-ids")
+    wanted = slim.join(small(ids, MAX_BROADCAST_IDS), ["doc_id", "mark"]).select("rep", "text")
+    sets = written(mapped(wanted, _sets, "rep long, shingles array<long>"), "minhash-sets")
+    if sets.count() > ids.count():  # rows that are there more than once
+        several, sets = sets, written(sets.dropDuplicates(["rep"]), "minhash-sets")
+        discarded(several)
 
     star = shared.join(heads, "band").where("rep <> head and 100 * least(n, m) >= 75 * greatest(n, m)")
     star = star.select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
@@ -163,7 +153,8 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     placed = placed.join(mixed, "band").join(heads.select("band", "head"), "band").where("rep <> head").drop("c")
     placed = written(placed, "minhash-mixed")
-    fine = written(mapped(sets.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), _fine, "rep long, planes array<long>"), "minhash-fine")
+    fine = written(mapped(sets.join(placed.select("rep").distinct(), "rep", "left_semi"), _fine, "rep long, planes array<long>"), "minhash-fine")
+    discarded(shared, heads)
     words = FINE // 64
     own = placed.groupBy("rep").agg(F.collect_list("band").alias("bands"))  # at most one for each band of the signature
     placed = placed.join(fine.join(own, "rep").select("rep", "bands", *(F.col("planes")[i].alias(f"p{i}_") for i in range(2 * words))), "rep")
@@ -175,17 +166,52 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     rest = left.join(right, (F.col("band1") == F.col("band")) & near & once)
     rest = rest.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
     second = written(verified(rest, sets), "minhash-links")
+    discarded(fine, sets)
     if not second.isEmpty():
-        group = components(first.unionByName(second).select(F.col("a").alias("src"), F.col("b").alias("dst")), "minhash-components")
+        before, group = group, components(first.unionByName(second).select(F.col("a").alias("src"), F.col("b").alias("dst")), "minhash-components")
+        discarded(before)
 
-    out = signed.drop("bands").join(classes, ["f1", "f2", "n_shingles"], "left")
-    out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
-    out = out.join(group.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
-    return gathered(out).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = group.join(classes.select(F.col("rep").alias("id"), "first.doc_id"), "id")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "component").select(F.col("id").alias("rep"), "component", "component_id")
+    of_class = written(classes.select("rep", F.col("first.doc_id").alias("first_id")).join(named, "rep", "left").select("rep", F.coalesce("component", "rep").alias("group"), F.coalesce("component_id", "first_id").alias("component_id")), "minhash-named")
+    out = signed.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("f1", "f2", "n_shingles"))).drop("bands", "f1", "f2")
+    return out.join(of_class, "rep", "left").select("doc_id", "mark", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of 0.75 or more of their 5-word shingle sets.
+
+    ``docs`` needs doc_id and text; other columns are ignored. Returns doc_id, n_shingles, component_id
+    (smallest doc_id reachable), kept (doc_id = component_id), one row per input row.
+
+    Documents with equal sets form one class and are compared once. In each bucket every class is compared
+    with the bucket's hub, the class that shares most buckets; what these links leave apart is compared across
+    components if longer signatures agree enough, so a bucket of like texts costs one comparison per text and
+    texts that merely share a passage cost a few word operations. Null and empty texts, and
+    rows with a null doc_id, are linked with nothing (their component is their own doc_id). Rows that share a doc_id
+    are taken one by one, each by its own text, and are no link between their texts. A link is missed with the
+    probability of sharing no band, about 2e-5 at similarity 0.75 and less above.
+    """
+    out = _grouped(docs, bands, rows)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id, with all its columns."""
-    kept = written(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct(), "minhash-kept")
-    return docs.join(small(kept, MAX_BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One row of each group of near-duplicates, that with the smallest doc_id, with all its columns.
+
+    Of rows that share the smallest doc_id that with the least hash of its text stays, of equal rows any one. Rows
+    without words or without doc_id are in no group and stay.
+    """
+    marked = docs.withColumn("__text_mark", text_mark(F.col("text")))
+    found = _grouped(docs, BANDS, ROWS)
+    grouped = found.where("group is not null")
+    first = written(grouped.groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select("f.*"), "minhash-first")
+    again = grouped.where("doc_id = component_id").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1")
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text_mark") == F.col("__mark"))
+    one = marked.where(~alone).join(small(first.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), MAX_BROADCAST_IDS), same, "left_semi")
+    again = written(again.join(first.select("doc_id", "mark"), ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), "minhash-again")
+    if not again.isEmpty():
+        one = one.join(again, same, "left_anti").unionByName(one.join(again, same, "left_semi").dropDuplicates(["doc_id", "__text_mark"]))
+    return one.unionByName(marked.where(alone)).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.shared import SPACE, small, written
+from latticework.llm.shared import SPACE, small, text_mark, written
 
 #: Size of a sketch: exact up to about so many rows of a group, rank error far below a percent beyond.
 SKETCH_K = 4096
@@ -106,7 +106,7 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     (quartiles of the group +- REACH ranges). Null and empty texts have no words and fail. Null lang or source is
     a group of its own.
     """
-    stats = written(document_stats(docs), "quality-stats", gather=False)
+    stats = written(document_stats(docs), "quality-stats")
     cuts = small(thresholds(stats).withColumnsRenamed({"lang": "lang_", "source": "source_"}), MAX_BROADCAST_GROUPS)
     inside = F.lit(True)
     for c in STATS:
@@ -116,6 +116,11 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that ``quality_verdicts`` keeps, with all their columns; a repeated doc_id stays if one of its rows does."""
-    good = written(quality_verdicts(docs).where("kept").select(F.col("doc_id").alias("__good_id")).distinct(), "quality-kept")
-    return docs.join(small(good, 500_000), F.col("doc_id").eqNullSafe(F.col("__good_id")), "left_semi")
+    """The rows that ``quality_verdicts`` keeps, with all their columns.
+
+    A row is judged by its own text, lang and source: rows that share a doc_id, or have none, may part.
+    """
+    marked = docs.withColumn("__row_mark", F.xxhash64(text_mark(F.col("text")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("lang", F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")), F.isnull("lang"), F.isnull("source")))
+    judged = quality_verdicts(marked.select(F.col("__row_mark").alias("doc_id"), "text", "lang", "source"))
+    good = written(judged.where("kept").select(F.col("doc_id").alias("__row_mark")).distinct(), "quality-kept")
+    return marked.join(small(good, 500_000), "__row_mark", "left_semi").select(*docs.columns)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.session import ship
@@ -16,46 +17,71 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 #: Texts can be long, so fewer go to Python at once than Spark would send.
 BATCH_ROWS = 1500
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Where that is unset (tests, one machine) a temporary folder is made once and set.
+    Where that is unset a temporary folder serves if the executors are threads of the driver; on a cluster it must be set.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="latticework-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir.rstrip("/")
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are done: two collections, as its cleaner works behind the first."""
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
+    if set_dir:
+        return set_dir.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="latticework-")
+        _at_exit(spark, _own_dirs[context.applicationId])
+    return _own_dirs[context.applicationId]
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    """Has ``path`` deleted when the driver ends, if it is still there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that run here delete their shuffle files when they end."""
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
 
-def gathered(df: DataFrame) -> DataFrame:
-    """``df`` in fewer tasks, so that small results make few files: two for each core of the cluster, or an eighth of the shuffle partitions if that is more."""
+    Lineage ends there: a lost executor costs its running tasks, not the steps before. Shuffle files of the step go when it
+    ends, the table when it is ``discarded`` or the driver ends. Spark sizes the tasks behind shuffles.
+    """
     spark = df.sparkSession
-    return df.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    path = f"{shared_dir(spark)}/latticework/{name}-{uuid.uuid4().hex}"
+    _at_exit(spark, path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def written(df: DataFrame, name: str, gather: bool = True) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def discarded(*tables: DataFrame) -> None:
+    """Delete ``written`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    Its tasks are ``gathered`` but where a scan's tasks have most of the work.
 
-    Lineage ends there: a lost executor costs its running tasks, not the steps before.
-    Shuffle files of earlier steps are released first, by a collection on the driver.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/latticework/{name}-{uuid.uuid4().hex}"
-    spark.sparkContext._jvm.System.gc()  # the last step's shuffles, which its end events held until now
-    (gathered(df) if gather else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash of a text, which with the doc_id tells rows apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -82,7 +108,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each round is written, nothing is collected but two counts; hubs are spread by joins that
     Spark can split. Self loops and repeated edges are allowed, null ends are ignored.
     """
-    spark = edges.sparkSession
     e = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("src is not null and dst is not null and a > b").distinct()
     e = written(e, name)
     while True:
@@ -90,11 +115,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         large = written(large, name)
+        discarded(e)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         e = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         e = written(e, name)
+        discarded(large)
         rows, ids = e.agg(F.count("*"), F.count_distinct("a")).first()
         if rows == ids and e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():  # stars whose centres are no one's leaf
             break
     roots = e.select(F.col("b").alias("id")).distinct()
-    return written(e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component"))), name)
+    out = written(e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component"))), name)
+    discarded(e)
+    return out

@@ -127,7 +127,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     the same order; its first place has the smallest doc_id, then the smallest sentence. Rows without doc_id take no part.
     """
     slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = written(mapped(slim, _runs, "key long, doc_id long, mark long, i int, j int"), "spans-runs", gather=False)
+    found = written(mapped(slim, _runs, "key long, doc_id long, mark long, i int, j int"), "spans-runs")
     first = found.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").select("key", "first_doc")
     first = written(first, "spans-first")
     many = written(found.join(first, "key"), "spans-repeated")
@@ -268,7 +268,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     stretches that share their least hash with others. A window's first place is among these.
     """
     slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = written(mapped(slim, _stretches, "least long, key long, doc_id long, mark long, i int, j int, many boolean"), "passages-stretches", gather=False)
+    found = written(mapped(slim, _stretches, "least long, key long, doc_id long, mark long, i int, j int, many boolean"), "passages-stretches")
     kinds = written(found.groupBy("least", "key").agg(F.min(F.struct("doc_id", "i", "mark", "j")).alias("p"), F.count("*").alias("n"), F.max("many").alias("many")), "passages-kinds")
     firsts = written(kinds.where("n > 1").select("key", "least", F.col("p.doc_id").alias("first_doc"), F.col("p.i").alias("first_i"), F.col("p.mark").alias("first_mark")), "passages-firsts")
     whole = found.join(firsts, ["least", "key"]).where("doc_id <> first_doc or i <> first_i or mark <> first_mark").select("doc_id", "mark", "i", "j", "first_doc")
@@ -276,7 +276,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spans = kinds.join(shared, "least").select("p.*").groupBy("doc_id", "mark").agg(F.collect_set(F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("j").cast("long"))).alias("spans"))
     spans = written(spans, "passages-spans")
     texts = slim.withColumn("mark", F.crc32(F.encode("text", "utf-8"))).join(spans, ["doc_id", "mark"]).select("doc_id", "mark", "text", "spans")
-    each = written(mapped(texts, _windows, "key long, doc_id long, mark long, i int"), "passages-windows", gather=False)
+    each = written(mapped(texts, _windows, "key long, doc_id long, mark long, i int"), "passages-windows")
     at = each.groupBy("key").agg(F.min(F.struct("doc_id", "i", "mark")).alias("p"), F.count("*").alias("n")).where("n > 1")
     at = written(at.select("key", F.col("p.doc_id").alias("first_doc"), F.col("p.i").alias("first_i"), F.col("p.mark").alias("first_mark")), "passages-places")
     single = each.join(at, "key").where("doc_id <> first_doc or i <> first_i or mark <> first_mark").select("doc_id", "mark", "i", (F.col("i") + PASSAGE).alias("j"), "first_doc")

@@ -71,19 +71,38 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+class _Powers:
+    """Powers of BASE and of its inverse, as many as have been asked for, and room for one sum more."""
+
+    up, down, room = np.ones(1, U64), np.ones(1, U64), np.zeros(1, U64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, 2 * len(cls.up))
+            for name, base in (("up", BASE), ("down", U64(pow(int(BASE), -1, 1 << 64)))):
+                powers = np.full(size, base)
+                powers[0] = 1
+                setattr(cls, name, np.cumprod(powers))
+            cls.room = np.empty(size + 1, U64)
+        return cls.up, cls.down, cls.room
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, from all their bytes."""
+    """64-bit hashes of the words, from all their bytes.
+
+    A word's polynomial is the difference of two running sums, shifted back by the power of its start.
+    """
     if not len(starts):
         return np.zeros(0, U64)
-    lengths = ends - starts
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    powers = np.full(int(lengths.max()), BASE)
-    powers[0] = 1
-    powers = np.cumprod(powers)
-    values = BYTES[data[place + np.repeat(starts, lengths)]]
-    values *= powers[place]
-    return mix(np.add.reduceat(values, first) + lengths.astype(U64))
+    low, high = int(starts.min()), int(ends.max())
+    up, down, sums = _Powers.to(high - low)
+    sums = sums[: high - low + 1]
+    sums[0] = 0
+    np.take(BYTES, data[low:high], out=sums[1:], mode="clip")
+    sums[1:] *= up[: high - low]
+    np.cumsum(sums, out=sums)
+    return mix((sums[ends - low] - sums[starts - low]) * down[starts - low] + (ends - starts).astype(U64))
 
 
 def shingles(hashes: np.ndarray, word_offs: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

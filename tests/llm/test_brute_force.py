@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.llm import attention_lm, line_dedup, lm_score, minhash, mixing, quality_model, secret_scan, span_dedup, toxicity
+from latticework.llm import attention_lm, experts, line_dedup, lm_score, minhash, mixing, quality_model, secret_scan, span_dedup, toxicity
 from latticework.llm import textkernel as tk
 from latticework.llm.automaton import compiled
 from latticework.llm.shared import components
@@ -234,14 +234,15 @@ def test_language_counts_match_plain(spark):
 
 def test_attention_windows_match_plain():
     rng = np.random.default_rng(0)
-    ids = 50
-    model = attention_lm.Model(ids, attention_lm.Output(np.arange(ids, dtype=float), np.arange(ids) % 2 == 0), 1)
+    ids, kinds = 50, 5
+    model = attention_lm.Model(ids, np.arange(1.0, kinds + 1) / 15, 1)
     model.p["far"] = rng.normal(size=32).astype(np.float32)
     texts = [rng.integers(3, ids, n).astype(np.int32) for n in (1, 5, 16, 17, 70)]
+    rows = rng.random((sum(map(len, texts)), kinds)).astype(np.float32)
     cuts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    now, before, seen, target, real, edge = attention_lm.windows(np.concatenate(texts), cuts, 1)
+    now, before, seen, given, real, edge = attention_lm.windows(np.concatenate(texts), cuts, 1, rows)
     assert real.sum() == cuts[-1]
-    logp = model.log_probs(now, before, seen, target)
+    logp = model.log_probs(now, before, seen, given)
     p = model.p
     for k, t in enumerate(texts):
         got = logp[edge[k] : edge[k + 1]][real[edge[k] : edge[k + 1]]]
@@ -249,59 +250,92 @@ def test_attention_windows_match_plain():
         for i in range(len(t)):
             keys = np.arange(max(0, i // 16 * 16 - 16), i + 1)
             e = p["E"][inputs]
-            s = (e[i] @ p["Q"]) @ (e[keys] @ p["K"]).T / 4 + p["far"][i - keys]
+            s = (e[i] @ p["Q"]) @ (e[keys] @ p["K"]).T / math.sqrt(attention_lm.DIM) + p["far"][i - keys]
             a = np.exp(s) / np.exp(s).sum()
-            z = np.tanh(a @ (e[keys] @ p["V"]) + e[i] @ p["R"] + p["c"]) @ p["O"] + p["o"]
-            want = z[model.output.of[t[i]]] - np.log(np.exp(z).sum()) + model.output.inside[t[i]]
-            assert got[i] == pytest.approx(want, abs=2e-3)
-    shares = np.exp(model.output.inside)
-    assert np.allclose(np.bincount(model.output.of, shares, attention_lm.CLASSES)[np.unique(model.output.of)], 1)
+            z = np.exp(np.tanh(a @ (e[keys] @ p["V"]) + e[i] @ p["R"] + p["c"]) @ p["O"] + p["o"])
+            assert got[i] == pytest.approx(np.log(z / z.sum() @ rows[cuts[k] + i]), abs=2e-3)
 
 
 def test_attention_gradients():
     rng = np.random.default_rng(1)
-    model = attention_lm.Model(40, attention_lm.Output(np.ones(40), np.arange(40) < 20), 2)
+    model = attention_lm.Model(40, np.full(6, 1 / 6), 2)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    now, before, seen, target, real, _ = attention_lm.windows(rng.integers(0, 40, 45), np.array([0, 45]), 1)
-    goal = model.output.of[target]
-    grads = model.gradients(now, before, seen, goal, real)
+    now, before, seen, rows, real, _ = attention_lm.windows(rng.integers(0, 40, 45), np.array([0, 45]), 1, rng.random((45, 6)))
+    grads = model.gradients(now, before, seen, rows, real)
 
     def loss():
         model.tables = None
-        t = model.log_probs(now, before, seen, target) - model.output.inside[target]
-        return -(t * real).sum() / real.sum()
+        return -(model.log_probs(now, before, seen, rows) * real).sum(dtype=np.float64) / real.sum()
 
-    for name in ("Q", "V", "R", "O", "far"):
-        at = tuple(0 for _ in model.p[name].shape) if name != "far" else (3,)
-        keep = model.p[name][at]
-        model.p[name][at] = keep + 1e-2
+    for name in ("E", "Q", "K", "V", "R", "c", "O", "o", "far"):
+        w = model.p[name]
+        at = np.unravel_index(np.argmax(np.abs(grads[name])), w.shape)
+        keep = w[at]
+        w[at] = keep + 1e-2
         up = loss()
-        model.p[name][at] = keep - 1e-2
+        w[at] = keep - 1e-2
         down = loss()
-        model.p[name][at] = keep
-        assert grads[name][at] == pytest.approx((up - down) / 2e-2, abs=2e-3)
+        w[at] = keep
+        assert grads[name][at] == pytest.approx((up - down) / 2e-2, rel=2e-2, abs=2e-4), name
+
+
+def test_experts_are_distributions():
+    rng = random.Random(13)
+    pieces = [[rng.randrange(12) for _ in range(rng.randint(1, 4))] for _ in range(60)]
+    pieces = [list(p) for p in dict.fromkeys(map(tuple, pieces))]
+    counts = np.array([[rng.choice([0, 1, 3, 9]) for _ in range(3)] for _ in pieces], float)
+    flat, offs = np.concatenate(pieces).astype(np.int64), np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
+    x = experts.Experts(flat, offs, counts, np.array([4.0, 0, 2]), 15)
+
+    def given(prefix):  # of every piece, and of the stop, behind a prefix
+        words = [[*prefix, b] for b in range(15)]
+        rows = x.rows(np.concatenate(words).astype(np.int64), np.arange(16) * len(words[0])).reshape(15, len(prefix) + 2, 3)[:, len(prefix)]
+        return rows, x.rows(np.array(prefix, np.int64), np.array([0, len(prefix)]))[len(prefix)]
+
+    for prefix in [[], [3], pieces[0], pieces[1][:1], pieces[2] + [14], [14, 14], [13]]:
+        rows, stop = given(prefix)
+        assert np.allclose(rows.sum(0) + stop, 1, atol=1e-4), prefix
+    rows, stop = given([])
+    for k in (0, 2):  # words' beginnings by plain counts: seen ones discounted by the number of kinds of beginnings
+        total, seen = counts[:, k].sum() + (4, 0, 2)[k], {p[0] for p, c in zip(pieces, counts[:, k]) if c}
+        for b in range(15):
+            n = sum(c for p, c in zip(pieces, counts[:, k]) if p[0] == b)
+            rest = (len(seen) + 1) / (total + len(seen) + 1)
+            assert rows[b, k] == pytest.approx(n / (total + len(seen) + 1) + rest * x.begin[b], rel=1e-4)
+
+
+def test_kinds_tell_languages_apart():
+    rng = random.Random(14)
+    tongues = [[f"{t}{i}" for i in range(40)] for t in "abc"]
+    texts = [" ".join(rng.choice(tongues[i % 3]) for _ in range(60)) for i in range(90)]
+    data, offs = tk.buffers(pa.array(texts))
+    starts, ends, cuts = tk.words(data, offs)
+    shares = experts.bucket_shares(tk.word_hashes(data, starts, ends), cuts)
+    kind = experts.kind_of(shares, experts.kinds_of((shares.T @ shares).astype(float)))
+    found = [set(kind[i::3].tolist()) for i in range(3)]
+    assert not found[0] & found[1] and not found[1] & found[2] and not found[0] & found[2]
 
 
 def test_attention_learns_from_all_texts(spark, monkeypatch):
     rng = random.Random(11)
-    docs = [(i, " ".join(rng.choice(["the", "cat", "dog", "ran", "home", f"w{rng.randrange(30)}"]) for _ in range(rng.randint(1, 40)))) for i in range(300)]
+    docs = [(i, " ".join(rng.choice(["the", "cat", "dog", "ran", "home", f"w{rng.randrange(30)}"]) for _ in range(rng.randint(1, 40)))) for i in range(300)] + [(None, "the cat")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(lm_score, "MAX_FIT", 5)
-    coder = lm_score.Subwords(lm_score.vocabulary_path())
+    with open(lm_score.vocabulary_path(), "rb") as f:
+        coder = lm_score.Coder(f.read())
     found, keep = [], lm_score.averaged
 
-    def watched(training, model, path):
+    def watched(training, model, coding):
         start = {k: v.copy() for k, v in model.p.items()}
-        found.append((keep(training, model, path), start, model.p))
+        found.append((keep(training, model, coding), start, {k: v.copy() for k, v in model.p.items()}))
         return found[-1][0]
 
     monkeypatch.setattr(lm_score, "averaged", watched)
     rows = lm_score.language_scores(df, F.col("doc_id") % 7 == 2).collect()
-    tokens, start, end = found[0]
-    assert len(rows) == 300 and tokens == sum(sum(map(len, coder.pieces.encode(words(t)))) + 1 for i, t in docs if i % 7 != 2)
+    assert len(rows) == 301 and sum(t for t, _, _ in found) == sum(sum(map(len, coder.pieces.encode(words(t)))) + 1 for i, t in docs if i is None or i % 7 != 2)
+    start, end = found[0][1], found[-1][2]
     assert all(np.isfinite(end[k]).all() and (start[k] != end[k]).any() for k in start)
-    late = {p for i, t in docs if i % 7 != 2 for x in coder.pieces.encode(words(t)) for p in x}
-    assert all((start["E"][p] != end["E"][p]).any() for p in late)  # ids of texts outside the first fit too
+    # the score is the product of the last weights over the experts, which are the same in each task
+    assert all(r.score < 0 for r in rows)
 
 
 def test_isotonic():
@@ -319,6 +353,13 @@ def tables(spark):
     return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
 
 
+def test_held_out_texts_are_likelier_than_by_word_counts(tables):
+    docs, _ = tables
+    held = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 7 == 2
+    r = lm_score.language_scores(docs, held).where("held_out").agg(F.expr("sum(score) / sum(n_tokens)").alias("s"), F.expr("sum(base_score) / sum(n_tokens)").alias("b")).first()
+    assert r.s > r.b + 0.2 and r.s > -4.05
+
+
 @pytest.mark.parametrize("kind", ["toxic", "quality"])
 def test_held_out_accuracy(tables, kind):
     docs, labels = tables

@@ -1,9 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, clashing names and empty tables: each operator's defined results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from latticework.llm import decontaminate, line_dedup, lm_score, minhash, mixing, quality_model, quality_rules, secret_scan, span_dedup, toxicity
+from tests.llm.conftest import sentence
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +46,22 @@ def test_leaks(operators, odd):
     assert left.columns == odd.columns and left.count() == odd.count() - 1
 
 
+def test_rows_part_by_text(spark, bench_items):
+    """Several rows without doc_id, and one doc_id on two texts: each row is judged by its own text."""
+    rng = random.Random(9)
+    good = [" ".join(sentence(rng, 14) for _ in range(8)) for _ in range(3)]
+    rows = [(None, good[0]), (None, "two words"), (None, None), (5, good[1]), (5, "two words"), (6, good[1]), (7, good[2]), (7, good[2]), (8, good[2]), (4, good[0])]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    of = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    left = decontaminate.without_leaks(docs, spark.createDataFrame([(4, "two words")], "item_id long, text string"))
+    assert of(left) == sorted((r for r in rows if r[1] != "two words"), key=str)
+    assert of(quality_rules.keep_good(docs)) == sorted((r for r in rows if r[1] in good), key=str)
+    near = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert near == {(None, None), (5, 5), (6, 5), (7, 7), (8, 7), (4, 4)}
+    want = [(None, good[0]), (None, "two words"), (None, None), (4, good[0]), (5, good[1]), (5, "two words"), (7, good[2])]
+    assert of(minhash.keep_first(docs)) == sorted(want, key=str)
+
+
 def test_near_groups(operators, odd):
     got = {(r.doc_id, r.component_id, r.kept, r.n_shingles > 0) for r in operators["near"](odd).collect()}
     assert {(1, 1, True, True), (2, 1, False, True), (3, 1, False, True), (4, 4, True, False), (5, 5, True, False), (None, None, True, True)} <= got

@@ -232,40 +232,45 @@ def test_language_counts_match_plain(spark):
             assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens))
 
 
+def vocabulary_of(words):
+    return attention_lm.Vocabulary(np.concatenate(words).astype(np.int64), np.concatenate(([0], np.cumsum([len(w) for w in words]))))
+
+
 def test_attention_windows_match_plain():
     rng = np.random.default_rng(0)
-    ids, kinds = 50, 5
-    model = attention_lm.Model(ids, np.arange(1.0, kinds + 1) / 15, 1)
+    kinds, n = 5, 30
+    pieces = [rng.integers(3, 50, rng.integers(1, 4)) for _ in range(n)] + [np.array([1])]  # the last is a text's begin
+    model = attention_lm.Model(50, np.arange(1.0, kinds + 1) / 15, 1)
     model.p["far"] = rng.normal(size=32).astype(np.float32)
-    texts = [rng.integers(3, ids, n).astype(np.int32) for n in (1, 5, 16, 17, 70)]
-    rows = rng.random((sum(map(len, texts)), kinds)).astype(np.float32)
+    logs = np.log(rng.random((n + 1, kinds))).astype(np.float32)  # the last is an end
+    texts = [rng.integers(0, n, k) for k in (0, 1, 5, 15, 16, 17, 70)]
     cuts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    now, before, seen, given, real, edge = attention_lm.windows(np.concatenate(texts), cuts, 1, rows)
-    assert real.sum() == cuts[-1]
-    logp = model.log_probs(now, before, seen, given)
+    now, before, seen, given, real, edge = attention_lm.windows(np.concatenate(texts), cuts, n, logs)
+    assert real.sum() == cuts[-1] + len(texts)
+    logp = model.log_probs(now, before, seen, given, vocabulary_of(pieces))
     p = model.p
     for k, t in enumerate(texts):
         got = logp[edge[k] : edge[k + 1]][real[edge[k] : edge[k + 1]]]
-        inputs = np.concatenate(([1], t[:-1]))
-        for i in range(len(t)):
+        e = np.stack([p["E"][pieces[x]].mean(0) for x in [n, *t]])
+        for i, target in enumerate([*t, n]):
             keys = np.arange(max(0, i // 16 * 16 - 16), i + 1)
-            e = p["E"][inputs]
             s = (e[i] @ p["Q"]) @ (e[keys] @ p["K"]).T / math.sqrt(attention_lm.DIM) + p["far"][i - keys]
             a = np.exp(s) / np.exp(s).sum()
             z = np.exp(np.tanh(a @ (e[keys] @ p["V"]) + e[i] @ p["R"] + p["c"]) @ p["O"] + p["o"])
-            assert got[i] == pytest.approx(np.log(z / z.sum() @ rows[cuts[k] + i]), abs=2e-3)
+            assert got[i] == pytest.approx(np.log(z / z.sum() @ np.exp(logs[target])), abs=2e-3)
 
 
 def test_attention_gradients():
     rng = np.random.default_rng(1)
+    n = 20
+    vocabulary = vocabulary_of([rng.integers(0, 40, rng.integers(1, 4)) for _ in range(n + 1)])
     model = attention_lm.Model(40, np.full(6, 1 / 6), 2)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    now, before, seen, rows, real, _ = attention_lm.windows(rng.integers(0, 40, 45), np.array([0, 45]), 1, rng.random((45, 6)))
-    grads = model.gradients(now, before, seen, rows, real)
+    now, before, seen, given, real, _ = attention_lm.windows(rng.integers(0, n, 45), np.array([0, 45]), n, np.log(rng.random((n + 1, 6))))
+    grads = model.gradients(now, before, seen, given, real, vocabulary)
 
     def loss():
-        model.tables = None
-        return -(model.log_probs(now, before, seen, rows) * real).sum(dtype=np.float64) / real.sum()
+        return -(model.log_probs(now, before, seen, given, vocabulary) * real).sum(dtype=np.float64) / real.sum()
 
     for name in ("E", "Q", "K", "V", "R", "c", "O", "o", "far"):
         w = model.p[name]
@@ -320,8 +325,6 @@ def test_attention_learns_from_all_texts(spark, monkeypatch):
     rng = random.Random(11)
     docs = [(i, " ".join(rng.choice(["the", "cat", "dog", "ran", "home", f"w{rng.randrange(30)}"]) for _ in range(rng.randint(1, 40)))) for i in range(300)] + [(None, "the cat")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    with open(lm_score.vocabulary_path(), "rb") as f:
-        coder = lm_score.Coder(f.read())
     found, keep = [], lm_score.averaged
 
     def watched(training, model, coding):
@@ -331,10 +334,9 @@ def test_attention_learns_from_all_texts(spark, monkeypatch):
 
     monkeypatch.setattr(lm_score, "averaged", watched)
     rows = lm_score.language_scores(df, F.col("doc_id") % 7 == 2).collect()
-    assert len(rows) == 301 and sum(t for t, _, _ in found) == sum(sum(map(len, coder.pieces.encode(words(t)))) + 1 for i, t in docs if i is None or i % 7 != 2)
+    assert len(rows) == 301 and sum(t for t, _, _ in found) == sum(len(words(t)) + 1 for i, t in docs if i is None or i % 7 != 2)
     start, end = found[0][1], found[-1][2]
     assert all(np.isfinite(end[k]).all() and (start[k] != end[k]).any() for k in start)
-    # the score is the product of the last weights over the experts, which are the same in each task
     assert all(r.score < 0 for r in rows)
 
 

@@ -241,11 +241,11 @@ def test_attention_windows_match_plain():
     kinds, n = 5, 30
     pieces = [rng.integers(3, 50, rng.integers(1, 4)) for _ in range(n)] + [np.array([1])]  # the last is a text's begin
     model = attention_lm.Model(50, np.arange(1.0, kinds + 1) / 15, 1)
-    model.p["far"] = rng.normal(size=32).astype(np.float32)
+    model.p["far"] = rng.normal(size=24).astype(np.float32)
     logs = np.log(rng.random((n + 1, kinds))).astype(np.float32)  # the last is an end
     texts = [rng.integers(0, n, k) for k in (0, 1, 5, 15, 16, 17, 70)]
     cuts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    now, before, seen, given, real, edge = attention_lm.windows(np.concatenate(texts), cuts, n, logs)
+    now, before, seen, given, real, edge = attention_lm.windows(np.concatenate(texts), cuts, n, np.exp(logs))
     assert real.sum() == cuts[-1] + len(texts)
     logp = model.log_probs(now, before, seen, given, vocabulary_of(pieces))
     p = model.p
@@ -253,7 +253,7 @@ def test_attention_windows_match_plain():
         got = logp[edge[k] : edge[k + 1]][real[edge[k] : edge[k + 1]]]
         e = np.stack([p["E"][pieces[x]].mean(0) for x in [n, *t]])
         for i, target in enumerate([*t, n]):
-            keys = np.arange(max(0, i // 16 * 16 - 16), i + 1)
+            keys = np.arange(max(0, i // 16 * 16 - 8), i + 1)
             s = (e[i] @ p["Q"]) @ (e[keys] @ p["K"]).T / math.sqrt(attention_lm.DIM) + p["far"][i - keys]
             a = np.exp(s) / np.exp(s).sum()
             z = np.exp(np.tanh(a @ (e[keys] @ p["V"]) + e[i] @ p["R"] + p["c"]) @ p["O"] + p["o"])
@@ -266,7 +266,7 @@ def test_attention_gradients():
     vocabulary = vocabulary_of([rng.integers(0, 40, rng.integers(1, 4)) for _ in range(n + 1)])
     model = attention_lm.Model(40, np.full(6, 1 / 6), 2)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    now, before, seen, given, real, _ = attention_lm.windows(rng.integers(0, n, 45), np.array([0, 45]), n, np.log(rng.random((n + 1, 6))))
+    now, before, seen, given, real, _ = attention_lm.windows(rng.integers(0, n, 45), np.array([0, 45]), n, rng.random((n + 1, 6)))
     grads = model.gradients(now, before, seen, given, real, vocabulary)
 
     def loss():

@@ -153,14 +153,28 @@ def either_case(word: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
 
 
-def compiled(patterns: Sequence[str], search: bool) -> Automaton:
-    """All patterns in one automaton. search: a match may begin anywhere; else only at the first byte."""
+def backwards(node: Node) -> Node:
+    """What matches a node's texts from their last byte to their first."""
+    kind, inner = node[0], node[1]
+    if kind == "seq":
+        return (kind, [backwards(x) for x in reversed(inner)])
+    if kind == "or":
+        return (kind, [backwards(x) for x in inner])
+    return (kind, backwards(inner), *node[2:]) if kind == "rep" else node
+
+
+def compiled(patterns: Sequence[str], search: bool, backward: bool = False) -> Automaton:
+    """All patterns in one automaton. search: a match may begin anywhere; else only at the first byte.
+
+    backward: for texts read from the end, so that a state accepts where a match starts.
+    """
     nfa = _Nfa()
     root, ends = nfa.state(), {}
     for k, p in enumerate(patterns):
         head = nfa.state()
         nfa.empty[root].append(head)
-        ends[nfa.add(_Parser(p).alternatives(), head)] = 1 << k
+        node = _Parser(p).alternatives()
+        ends[nfa.add(backwards(node) if backward else node, head)] = 1 << k
     signature = [tuple(b in s[0] for s in nfa.steps if s) for b in range(256)]
     kinds = {x: i for i, x in enumerate(dict.fromkeys(signature))}
     classes = np.array([kinds[x] for x in signature], np.uint8)

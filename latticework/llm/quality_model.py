@@ -14,8 +14,8 @@ from latticework.llm.shared import mapped, written
 
 #: Cosines, width of the kernel in standard deviations, ridge, seed.
 FOURIER, WIDTH, RIDGE, SEED = 128, 3.0, 1e-3, 5
-#: Scores are calibrated from counts in so many bins between -0.5 and 1.5.
-BINS = 2000
+#: Scores are calibrated from counts in so many bins between -0.5 and 1.5; a row's score is of a model fitted without its fold.
+BINS, FOLDS = 2000, 4
 STATS = (
     "log_words", "word_bytes", "word_spread", "upper", "digits", "symbols", "exclaims", "stops", "commas", "high_bytes",
     "distinct_words", "top_word", "same_next", "repeat_pairs", "dup_lines", "line_words",
@@ -134,22 +134,31 @@ class Model:
 
 
 def isotonic(at: np.ndarray, n: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots and levels of the non-decreasing fit to shares ones / n at the ordered places (pool adjacent violators)."""
-    blocks: list[list[float]] = []
-    for x, c, y in zip(at.tolist(), n.tolist(), ones.tolist(), strict=True):
-        blocks.append([x * c, c, y, x, x])
-        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
-            top = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + top[0], blocks[-1][1] + top[1], blocks[-1][2] + top[2], blocks[-1][3], top[4]]
-    knots = np.array([k for b in blocks for k in (b[3], b[4])])
-    return knots, np.array([(b[2] + 0.5) / (b[1] + 1) for b in blocks for _ in range(2)])
+    """Knots and levels of the non-decreasing fit to shares ones / n at the ordered places (pool adjacent violators).
+
+    Places are pooled by their shares; the pools, each with half a one in one count more, are pooled again, so that the
+    levels are neither 0 nor 1 and never fall.
+    """
+
+    def pooled(blocks: list[list[float]]) -> list[list[float]]:  # weight, ones, first and last place
+        out: list[list[float]] = []
+        for block in blocks:
+            out.append(block)
+            while len(out) > 1 and out[-2][1] * out[-1][0] >= out[-1][1] * out[-2][0]:
+                c, y, _, last = out.pop()
+                out[-1] = [out[-1][0] + c, out[-1][1] + y, out[-1][2], last]
+        return out
+
+    blocks = pooled([[c, y, x, x] for x, c, y in zip(at.tolist(), n.tolist(), ones.tolist(), strict=True)])
+    blocks = pooled([[c + 1, y + 0.5, low, high] for c, y, low, high in blocks])
+    return np.array([k for b in blocks for k in b[2:]]), np.array([b[1] / b[0] for b in blocks for _ in range(2)])
 
 
 def fit(stats: DataFrame, labelled: DataFrame) -> Model | None:
     """The model of ``labelled`` (doc_id, label 0/1), from the statistics of the same documents; None without labels.
 
     Means and spreads are of all documents. Each task adds up its normal equations, which Spark sums by entry, so the
-    driver holds one small matrix; calibration counts labels in bins of the score.
+    driver holds a small matrix for each fold; calibration counts labels in bins of the scores of models that did not see them.
     """
     moments = stats.agg(*(f(c).alias(f"{g}_{c}") for c in STATS for g, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     if moments[0] is None:
@@ -157,31 +166,43 @@ def fit(stats: DataFrame, labelled: DataFrame) -> Model | None:
     model = Model(*(np.array([moments[f"{g}_{c}"] or 0.0 for c in STATS]) for g in "ms"))
     size = FOURIER + 1
     upper = np.triu_indices(size)
-    train = written(stats.join(labelled.where("doc_id is not null and label is not null").select("doc_id", F.col("label").cast("double").alias("label")), "doc_id"), "quality-train")
+    width = len(upper[0]) + size
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    train = written(stats.join(labelled.where("doc_id is not null and label is not null").select("doc_id", F.col("label").cast("double").alias("label")), "doc_id").select("*", fold), "quality-train")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, cross = np.zeros((size, size)), np.zeros(size)
+        gram, cross = np.zeros((FOLDS, size, size)), np.zeros((FOLDS, size))
         for batch in batches:
-            z = model.features(_matrix(batch))
-            gram += z.T @ z
-            cross += z.T @ batch.column("label").to_numpy(zero_copy_only=False)
-        both = np.concatenate([gram[upper], cross])
+            z, label, of = model.features(_matrix(batch)), batch.column("label").to_numpy(zero_copy_only=False), batch.column("fold").to_numpy()
+            for k in range(FOLDS):
+                own = z[of == k]
+                gram[k] += own.T @ own
+                cross[k] += own.T @ label[of == k]
+        both = np.concatenate([np.concatenate([gram[k][upper], cross[k]]) for k in range(FOLDS)])
         yield pa.record_batch([pa.array(np.arange(len(both))), pa.array(both)], ["k", "v"])
 
-    rows = mapped(train, sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    both = np.zeros(len(upper[0]) + size)
+    rows = mapped(train, sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # FOLDS * width rows
+    both = np.zeros(FOLDS * width)
     both[[r.k for r in rows]] = [r.v for r in rows]
-    gram = np.zeros((size, size))
-    gram[upper] = both[: len(upper[0])]
-    gram = np.triu(gram) + np.triu(gram, 1).T
-    n = gram[-1, -1]
-    if not n:
+    both = both.reshape(FOLDS, width)
+
+    def solved(both: np.ndarray) -> np.ndarray:
+        gram = np.zeros((size, size))
+        gram[upper] = both[: len(upper[0])]
+        gram = np.triu(gram) + np.triu(gram, 1).T
+        return np.linalg.solve(gram + RIDGE * max(gram[-1, -1], 1.0) / FOURIER * np.eye(size), both[len(upper[0]) :])
+
+    whole = both.sum(0)
+    if not whole[len(upper[0]) - 1]:
         return None
-    model.weights = np.linalg.solve(gram + RIDGE * n / FOURIER * np.eye(size), both[len(upper[0]) :])
+    model.weights = solved(whole)
+    others = [solved(whole - own) for own in both]  # weights that a fold's rows had no part in
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.clip((model.raw(_matrix(batch)) + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int64)
+            z, of = model.features(_matrix(batch)), batch.column("fold").to_numpy()
+            raw = np.einsum("nk,nk->n", z, np.stack(others)[of]) if len(z) else np.zeros(0)
+            at = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int64)
             label = batch.column("label").to_numpy(zero_copy_only=False)
             yield pa.record_batch([pa.array(np.arange(BINS)), pa.array(np.bincount(at, minlength=BINS)), pa.array(np.bincount(at, label, BINS))], ["k", "n", "ones"])
 

@@ -15,8 +15,7 @@ from latticework.llm import textkernel as tk
 from latticework.llm.automaton import Automaton, compiled, either_case
 from latticework.llm.shared import mapped
 
-# The rules. A match of ``loose`` is consumed, and counts if ``strict`` ends where it does. ``trigger`` is
-# a beginning of every match that counts.
+# The rules. A match of ``loose`` is consumed, and counts if ``strict`` ends where it does.
 _KEY = "(" + "|".join(either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
 _SET = _KEY + r"""["']?\x20*[:=]\x20*["']?"""
 _VALUE = "[A-Za-z0-9+/_.=-]"
@@ -25,65 +24,71 @@ _VALUE = "[A-Za-z0-9+/_.=-]"
 @dataclass(frozen=True)
 class Rule:
     kind: str
-    trigger: str
     loose: str
     strict: str
+    #: what a match that counts begins with, if that is not ``loose``; matches of a run that are shorter are runs by themselves
+    start: str = ""
 
 
 RULES = (
-    Rule("assign", _SET + _VALUE, _SET + _VALUE + "+", _SET + _VALUE + "{12,}"),
-    Rule("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{14,}"),
-    Rule("hex", "[0-9a-f]{16}", "[0-9a-f]+", "[0-9a-f]{16,}"),
-    Rule("github", "gh[pousr]_[A-Za-z0-9]", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]{30,}"),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("google", "AIza[A-Za-z0-9_-]", "AIza[A-Za-z0-9_-]+", "AIza[A-Za-z0-9_-]{35,}"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", "-----BEGIN ", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("assign", _SET + _VALUE + "+", _SET + _VALUE + "{12,}"),
+    Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{14,}"),
+    Rule("hex", "[0-9a-f]+", "[0-9a-f]{16,}", "[0-9a-f]{16}"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]{30,}"),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", "AIza[A-Za-z0-9_-]+", "AIza[A-Za-z0-9_-]{35,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 BASE = 3
-#: Texts are cut into pieces of about so many bytes, which step through the automaton together.
-PIECE, LANES = 512, 8 << 20
+#: Texts are cut into pieces of about so many bytes, which step through the automaton together; longer ones go alone.
+PIECE, ALONE, LANES = 512, 1 << 14, 8 << 20
 
 
 @dataclass(frozen=True)
 class Scanner:
-    search: Automaton
+    """starts: all rules, read from the end, accepts where matches start. ends: all rules from their starts, loose and strict."""
+
+    starts: Automaton
     #: state after a pair of byte classes if it is the same from every state, else -1
     after: np.ndarray
-    #: bytes that no match holds
-    apart: np.ndarray
-    loose: tuple[Automaton, ...]
-    strict: tuple[Automaton, ...]
+    loose: Automaton
+    strict: Automaton
 
 
 @lru_cache
 def scanner() -> Scanner:
-    search = compiled([r.trigger for r in RULES], search=True)
-    t = search.table
-    pairs = t[t]  # state, class, class
-    after = np.where((pairs == pairs[:1]).all(0), pairs[0], -1)
-    after[after >= search.first_accept] = -1
-    loose = tuple(compiled([r.loose], search=False) for r in RULES)
-    apart = np.ones(256, bool)
-    for a in loose:
-        apart &= (a.table[:, a.classes] == a.dead).all(0)
-    return Scanner(search, after, apart, loose, tuple(compiled([r.strict], search=False) for r in RULES))
+    starts = compiled([r.start or r.loose for r in RULES], search=True, backward=True)
+    t = starts.table
+    after = np.full((t.shape[1], t.shape[1]), -1, np.int64)
+    for c in range(t.shape[1]):  # by the first class, as the cube of all states and pairs is large
+        pairs = t[t[:, c]]
+        after[c] = np.where((pairs == pairs[:1]).all(0), pairs[0], -1)
+    after[after >= starts.first_accept] = -1
+    return Scanner(starts, after, *(compiled([getattr(r, k) for r in RULES], search=False) for k in ("loose", "strict")))
+
+
+@lru_cache
+def tables() -> tuple:
+    """Each automaton's rows over bytes as lists, and its marks, for the places that matches are at."""
+    s = scanner()
+    return tuple((a.table[:, a.classes].tolist(), a.accepts.tolist(), a.dead) for a in (s.starts, s.loose, s.strict))
 
 
-def hits(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the pieces in which a rule's trigger is completed.
+def hits(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
+    """Pieces in which a match of any rule starts, in texts read from the end: first and end byte, and the state at its first.
 
     A piece ends with its document or where the last two bytes alone decide the state, which is the next piece's first.
     """
-    s = scanner()
+    s = scanner().starts
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cls = s.search.classes[data]
+        return []
+    cls = s.classes[data]
     begin = offs[:-1][np.diff(offs) > 0]
     state_at = np.full(n, -1, np.int16)
     if n > 2:
-        state_at[2:] = s.after.astype(np.int16)[cls[:-2], cls[1:-1]]
+        state_at[2:] = scanner().after.astype(np.int16)[cls[:-2], cls[1:-1]]
     first = begin[begin + 1 < n] + 1  # a pair must not reach over the document's start
     state_at[first] = -1
     can = np.flatnonzero(state_at >= 0)
@@ -92,99 +97,72 @@ def hits(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     state_at[begin] = 0
     cuts = np.union1d(begin, can)
     ends = np.append(cuts[1:], n)
-    order = np.argsort(cuts - ends, kind="stable")
-    at, length = cuts[order], (ends - cuts)[order]
-    width = s.search.table.shape[1]
-    flat = (s.search.table * width).ravel()  # rows of the next state, ready to add a column
-    state = state_at[at].astype(np.int32) * width
-    seen = np.zeros_like(state)
-    live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
-    for step, m in enumerate(live.tolist()):
-        here = state[:m]
-        here += cls[at[:m]]
-        np.take(flat, here, out=here, mode="clip")
-        np.maximum(seen[:m], here, out=seen[:m])
-        at[:m] += 1
-    found = np.sort(order[seen >= s.search.first_accept * width])
-    return cuts[found], ends[found]
-
-
-def longest(a: Automaton, rows: list, accepts: list, text: bytes, i: int) -> int:
-    """End of the longest match that begins at i, or -1."""
-    state, end, dead = 0, -1, a.dead
-    for j in range(i, len(text)):
-        state = rows[state][text[j]]
-        if state == dead:
-            break
-        if accepts[state]:
-            end = j + 1
-    return end
-
-
-@lru_cache
-def tables() -> tuple:
-    """Each automaton's rows over bytes as lists, for the few places that triggers point to."""
-    s = scanner()
-    by_byte = lambda a: (a.table[:, a.classes].tolist(), a.accepts.tolist())
-    heads = [np.flatnonzero(a.table[0, a.classes] != a.dead).tolist() for a in s.loose]
-    return by_byte(s.search), [by_byte(a) for a in s.loose], [by_byte(a) for a in s.strict], [bytes(set(range(256)) - set(h)) for h in heads], [frozenset(h) for h in heads]
-
-
-def spans_in(text: bytes) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all spans in a stretch that no match leaves: leftmost, longest, not overlapping within a kind."""
-    s = scanner()
-    (rows, marks), loose, strict, _, heads = tables()
-    state, rules = 0, 0
-    for b in text:
-        state = rows[state][b]
-        rules |= marks[state]
-    out = []
-    for k in range(len(RULES)):
-        if not rules >> k & 1:
-            continue
-        i, n, head = 0, len(text), heads[k]
-        while i < n:
-            if text[i] not in head:
-                i += 1
-                continue
-            end = longest(s.loose[k], *loose[k], text, i)
-            if end < 0:
-                i += 1
-                continue
-            if longest(s.strict[k], *strict[k], text, i) == end:
-                out.append((i, k, end))
-            i = end
-    return out
+    found = [(a, b) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True) if b - a > ALONE]
+    short = np.flatnonzero(ends - cuts <= ALONE)
+    if len(short):
+        order = short[np.argsort((cuts - ends)[short], kind="stable")]
+        at, length = cuts[order], (ends - cuts)[order]
+        width = s.table.shape[1]
+        flat = (s.table * width).ravel()  # rows of the next state, ready to add a column
+        state = state_at[at].astype(np.int32) * width
+        seen = np.zeros_like(state)
+        live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+        for m in live.tolist():
+            here = state[:m]
+            here += cls[at[:m]]
+            np.take(flat, here, out=here, mode="clip")
+            np.maximum(seen[:m], here, out=seen[:m])
+            at[:m] += 1
+        found += [(int(cuts[k]), int(ends[k])) for k in order[seen >= s.first_accept * width].tolist()]
+    return sorted((a, b, int(state_at[a])) for a, b in found)
 
 
 def document_spans(data: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-    """Spans of each document that has any, as (start, kind, end) in code points, sorted."""
-    starts, ends = hits(data, offs)
+    """Spans of each document that has any, as (start, kind, end) in code points, sorted.
+
+    Matches are leftmost, longest and do not overlap within a kind. One pass over the texts, from their ends, gives every
+    place where a match of a rule starts; from the first of these that is behind the last match all rules' automaton walks
+    over the match. So time grows with the texts' length.
+    """
+    (rows, marks, _), loose, strict = tables()
+    whole = len(data)
+    starts: dict[int, list[tuple[int, int]]] = {}
+    backward, edges = data[::-1], whole - offs[::-1]
+    for a, b, state in hits(backward, edges):
+        row = len(offs) - 1 - int(np.searchsorted(edges, a, "right"))
+        for j, byte in enumerate(backward[a:b].tobytes(), a):
+            state = rows[state][byte]
+            if marks[state]:
+                starts.setdefault(row, []).append((whole - 1 - j, marks[state]))
     out: dict[int, list[tuple[int, int, int]]] = {}
-    apart, done = scanner().apart, (-1, -1)
-    rows = np.searchsorted(offs, starts, "right") - 1
-    for row, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True):
+    for row, places in starts.items():
         low, high = int(offs[row]), int(offs[row + 1])
-        if done[0] == row and b <= done[1]:
-            continue
-        text = data[low:high]
-        before = np.flatnonzero(apart[text[: a - low]])
-        after = np.flatnonzero(apart[text[b - low :]])
-        x = int(before[-1]) + 1 if len(before) else 0
-        y = b - low + (int(after[0]) if len(after) else len(text) - (b - low))
-        if done[0] == row:
-            x = max(x, done[1] - low)
-        done = (row, low + y)
-        found = spans_in(text[x:y].tobytes())
+        text, done, found = data[low:high].tobytes(), [low] * len(RULES), []
+        for at, rules in sorted(places):
+            for k in range(len(RULES)):
+                if rules >> k & 1 and at >= done[k]:
+                    done[k] = low + longest(loose, text, at - low, 1 << k)
+                    if low + longest(strict, text, at - low, 1 << k) == done[k]:
+                        found.append((at - low, k, done[k] - low))
         if found:
-            out.setdefault(row, []).extend((i + x, k, j + x) for i, k, j in found)
-    for row, found in out.items():
-        text = data[offs[row] : offs[row + 1]]
-        points = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))
-        out[row] = sorted((int(points[i]), k, int(points[j])) for i, k, j in found)
+            points = np.concatenate(([0], np.cumsum((data[low:high] & 0xC0) != 0x80)))
+            out[row] = sorted((int(points[i]), k, int(points[j])) for i, k, j in found)
     return out
 
 
+def longest(automaton: tuple, text: bytes, i: int, rule: int) -> int:
+    """End of the rule's longest match that begins at i, or -1."""
+    rows, marks, dead = automaton
+    state, end = 0, -1
+    for j in range(i, len(text)):
+        state = rows[state][text[j]]
+        if state == dead:
+            break
+        if marks[state] & rule:
+            end = j + 1
+    return end
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:

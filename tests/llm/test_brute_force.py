@@ -56,15 +56,31 @@ def test_automaton_matches_re():
 
 def test_secrets_match_regexes():
     key = "(?:" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
-    plain = [re.compile(key + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
+    assign = key + r"""["']?\x20*[:=]\x20*["']?"""
+    plain = [(re.compile(assign + "[A-Za-z0-9+/_.=-]+"), re.compile(assign + "[A-Za-z0-9+/_.=-]{12,}")), *((re.compile(r.loose), re.compile(r.strict)) for r in secret_scan.RULES[1:])]
     rng = random.Random(2)
-    bits = ["token", "Secret", "password", "api_key", "apikey", "=", ":", " ", " ", '"', "AKIA", "ABCDEFGH01", "0123456789abcdef", "deadbeef", "é", "\n", ",", "the", "abcdefghijkl", "."]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(600)] + ["", None, "x " * 3000 + "token=abcdefghijklmnop"]
+    bits = ["token", "Secret", "password", "api_key", "apikey", "=", ":", " ", " ", '"', "AKIA", "ABCDEFGH01", "0123456789abcdef", "deadbeef", "é", "\n", ",", "the", "abcdefghijkl", ".",
+            "ghp_", "xoxb-", "AIza", "eyJ", "eyJhbGciOi", ".", "Zm9vYmFyYmF6cXV4", "_", "-", "-----BEGIN ", "RSA ", "PRIVATE KEY-----"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(1500)] + ["", None, "x " * 3000 + "token=abcdefghijklmnop", "eyJ" * 40000 + ".abcdefgh.abcdefgh"]
     data, offs = tk.buffers(pa.array(texts))
     got = secret_scan.document_spans(data, offs)
     for i, t in enumerate(texts):
-        want = sorted((m.start(), k, m.end()) for k, p in enumerate(plain) for m in p.finditer(t or "") if len(m[1] if k == 0 else m[0]) >= (12, 18, 16)[k])
-        assert [x for x in got.get(i, []) if x[1] < 3] == want
+        want = sorted((m.start(), k, m.end()) for k, (loose, strict) in enumerate(plain) for m in loose.finditer(t or "") if strict.fullmatch(m[0]))
+        assert got.get(i, []) == want
+
+
+@pytest.mark.parametrize("bit", ["eyJ", "AKIA", "a", "token=", "-----BEGIN ", "0a", "eyJa.", "ghp_"])
+def test_secret_scan_takes_linear_time(bit):
+    import time
+
+    secret_scan.tables()
+    spent = []
+    for size in (100_000, 1_000_000):
+        data, offs = tk.buffers(pa.array([bit * (size // len(bit))]))
+        began = time.process_time()
+        secret_scan.document_spans(data, offs)
+        spent.append(time.process_time() - began)
+    assert spent[1] < 5 and spent[1] < 30 * max(spent[0], 0.02)
 
 
 def test_edit_verification(spark):
@@ -343,6 +359,34 @@ def test_attention_learns_from_all_texts(spark, monkeypatch):
 def test_isotonic():
     knots, levels = quality_model.isotonic(np.arange(6.0), np.full(6, 10), np.array([0, 5, 3, 4, 9, 10]))
     assert np.all(np.diff(levels) >= 0) and len(knots) == len(levels) and knots[0] == 0 and knots[-1] == 5
+    assert levels[2] == levels[3] == pytest.approx(12.5 / 31)
+    _, levels = quality_model.isotonic(np.arange(2.0), np.array([1, 100]), np.array([0, 10]))
+    assert np.all(np.diff(levels) >= 0)
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = rng.choice([1, 2, 50, 1000], 30)
+        knots, levels = quality_model.isotonic(np.arange(30.0), n, rng.binomial(n, np.sort(rng.random(30))))
+        assert np.all(np.diff(levels) >= -1e-12) and np.all(np.diff(knots) >= 0) and 0 < levels[0] and levels[-1] < 1
+
+
+def test_quality_fit_matches_plain(spark):
+    """Weights from the whole normal equations, calibration by the scores of models without a row's fold."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, len(quality_model.STATS)))
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(int)
+    stats = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], ["doc_id", *quality_model.STATS])
+    model = quality_model.fit(stats, spark.createDataFrame(list(enumerate(y.tolist())), "doc_id long, label int"))
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.spread, x.std(0))
+    z, fold = model.features(x), np.array([r.f for r in stats.orderBy("doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(quality_model.FOLDS)).alias("f")).collect()])
+    size = quality_model.FOURIER + 1
+    weights = lambda on: np.linalg.solve(z[on].T @ z[on] + quality_model.RIDGE * on.sum() / quality_model.FOURIER * np.eye(size), z[on].T @ y[on])
+    assert np.allclose(model.weights, weights(np.ones(400, bool)), atol=1e-6)
+    raw = np.array([z[i] @ weights(fold != fold[i]) for i in range(400)])
+    at = np.clip((raw + 0.5) / 2 * quality_model.BINS, 0, quality_model.BINS - 1).astype(int)
+    kinds = np.unique(at)
+    knots, levels = quality_model.isotonic((kinds + 0.5) / quality_model.BINS * 2 - 0.5, np.bincount(at)[kinds], np.bincount(at, y)[kinds])
+    assert np.allclose(model.knots, knots) and np.allclose(model.levels, levels)
+    assert ((model.score(x) > 0.5) == y).mean() > 0.9
 
 
 @pytest.fixture(scope="module")

@@ -16,7 +16,7 @@ from latticework.llm.shared import mapped, small, text_mark, written
 
 #: Coordinates of a signature. One equal coordinate makes a candidate.
 COORDINATES = 64
-#: Shingles of the smallest window's half; the classes double from here.
+#: Items of so many shingles or fewer are found by any one of them; larger ones fall in classes that double from here.
 LEAST_CLASS = 8
 #: Share of a test item's shingles, in percent, that a document must hold.
 CONTAINED = 75
@@ -37,14 +37,24 @@ class Items:
         sizes = np.diff(self.offs)
         sign = signatures(self.values, self.offs, COORDINATES)
         self.classes = []
-        half = np.maximum(LEAST_CLASS, 2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
-        for u in np.unique(half[sizes > 0]).tolist():
-            of = np.flatnonzero((half == u) & (sizes > 0))
+        few = np.flatnonzero((sizes > 0) & (sizes <= LEAST_CLASS))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        own = np.flatnonzero(np.isin(owner, few))
+        own = own[np.argsort(self.values[own], kind="stable")]
+        self.few = (self.values[own], owner[own], self.marked(self.values[own]))
+        half = 2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+        for u in np.unique(half[sizes > LEAST_CLASS]).tolist():
+            of = np.flatnonzero((half == u) & (sizes > LEAST_CLASS))
             keys = self.keys(sign[of]).ravel()
             order = np.argsort(keys, kind="stable")
-            marks = np.zeros(1 << FILTER_BITS, bool)
-            marks[keys >> np.uint64(64 - FILTER_BITS)] = True
-            self.classes.append((u, keys[order], np.repeat(of, COORDINATES)[order], marks))
+            self.classes.append((u, keys[order], np.repeat(of, COORDINATES)[order], self.marked(keys)))
+
+    @staticmethod
+    def marked(keys: np.ndarray) -> np.ndarray:
+        """Which leading bits the keys have."""
+        marks = np.zeros(1 << FILTER_BITS, bool)
+        marks[keys >> np.uint64(64 - FILTER_BITS)] = True
+        return marks
 
     @staticmethod
     def keys(sign: np.ndarray) -> np.ndarray:
@@ -56,16 +66,25 @@ class Items:
         lowered = tk.LOWER[data]
         starts, ends, word_offs = tk.words(lowered, offs)
         sequence, cuts = tk.shingles(tk.word_hashes(lowered, starts, ends), word_offs)
-        if not len(sequence) or not self.classes:
+        if not len(sequence):
             return
+        candidates: set[tuple[int, int]] = set()
+
+        def meet(doc: np.ndarray, key: np.ndarray, keys: np.ndarray, items: np.ndarray) -> None:
+            a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            for r, x, y in zip(doc[b > a].tolist(), a[b > a].tolist(), b[b > a].tolist(), strict=True):
+                candidates.update((r, i) for i in items[x:y].tolist())
+
+        keys, items, marks = self.few
+        at = np.flatnonzero(marks[sequence >> np.uint64(64 - FILTER_BITS)])
+        meet(np.searchsorted(cuts, at, "right") - 1, sequence[at], keys, items)
         n = np.diff(cuts)
-        u = self.classes[0][0]
+        u = self.classes[0][0] if self.classes else 1
         blocks = -(-n // u)
         edge = np.concatenate(([0], np.cumsum(blocks)))
         inside = np.arange(edge[-1]) - np.repeat(edge[:-1], blocks)
         head = np.append(np.repeat(cuts[:-1], blocks) + inside * u, cuts[-1])
-        low = signatures(sequence, head, COORDINATES)
-        sets, set_offs, candidates = None, None, set()
+        low = signatures(sequence, head, COORDINATES) if self.classes else None
         for size, keys, items, marks in self.classes:
             while u < size:  # blocks of twice the size, document by document
                 half = -(-blocks // 2)
@@ -80,12 +99,10 @@ class Items:
             window[:-1][same] = np.minimum(low[:-1][same], low[1:][same])
             found = self.keys(window)
             row, col = np.nonzero(marks[found >> np.uint64(64 - FILTER_BITS)])
-            key = found[row, col]
-            a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            for r, x, y in zip(doc[row[b > a]].tolist(), a[b > a].tolist(), b[b > a].tolist(), strict=True):
-                candidates.update((r, i) for i in items[x:y].tolist())
-        if candidates:
-            sets, set_offs = tk.distinct(sequence, cuts)
+            meet(doc[row], found[row, col], keys, items)
+        if not candidates:
+            return
+        sets, set_offs = tk.distinct(sequence, cuts)
         for r, i in sorted(candidates):
             have, want = sets[set_offs[r] : set_offs[r + 1]], self.values[self.offs[i] : self.offs[i + 1]]
             at = np.minimum(np.searchsorted(have, want), len(have) - 1)
@@ -116,10 +133,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     that match. Other columns are ignored. Null and empty texts match nothing; an item of under five words matches
     texts that are the same words only.
 
-    Items fall in size classes of at most u = 8, 16, 32, ... shingles. For each class a document is a row of windows
-    of 2u shingles, one every u, so an item lies within a window whatever the document's length. Window and item are
-    compared by 64 coordinates; any equal one makes a candidate, verified on the whole shingle sets. A pair at 75 %
-    is missed with a probability below 1e-5. Items go to the executors in blocks of BLOCK_BYTES of text, a pass each.
+    Items fall in size classes. Those of up to 8 shingles are candidates wherever one of these occurs, so none is missed.
+    For the classes of up to u = 16, 32, ... shingles a document is a row of windows of 2u shingles, one every u, so an
+    item lies within a window whatever the document's length. Window and item are compared by 64 coordinates; any equal
+    one makes a candidate. Candidates are verified on the whole shingle sets. A pair at 75 % is missed with a
+    probability below 1e-5. Items go to the executors in blocks of BLOCK_BYTES of text, a pass each.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -9,8 +9,8 @@ from latticework.llm.shared import SPACE, small, text_mark, written
 
 #: Size of a sketch: exact up to about so many rows of a group, rank error far below a percent beyond.
 SKETCH_K = 4096
-#: A group with fewer rows takes the thresholds of its language, a language with fewer those of the whole.
-LEAST_ROWS = 200
+#: A group's thresholds are averaged with its language's as if that had so many rows, a language's with those of the whole.
+PRIOR_ROWS = 200.0
 #: Fences lie so many quartile ranges outside the quartiles.
 REACH = 4.0
 #: Statistics of a document: (least spread used for the fence, has a lower fence too).
@@ -75,6 +75,8 @@ def thresholds(stats: DataFrame) -> DataFrame:
     """Fences of each (lang, source): lang, source, lo_<stat>, hi_<stat>.
 
     Each group is one sketch for each statistic; sketches of a language's sources merge into the language's, those into one.
+    A fence is the mean of the group's own, weighed by its rows, and its language's, weighed as PRIOR_ROWS; that of a
+    language is averaged with the whole's alike. So a fence follows its group as that grows, without a step.
     """
     names = list(STATS)
     groups = written(stats.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in names)), "quality-sketches")
@@ -88,14 +90,19 @@ def thresholds(stats: DataFrame) -> DataFrame:
         for c, (least, low) in STATS.items():
             q1, q3 = (F.kll_sketch_get_quantile_double(c, F.lit(q)) for q in (0.25, 0.75))
             spread = REACH * F.greatest(q3 - q1, F.lit(least))
-            cut += [(q1 - spread if low else F.lit(float("-inf"))).alias(f"lo_{c}"), (q3 + spread).alias(f"hi_{c}")]
+            cut += [(q1 - spread if low else F.lit(-1e308)).alias(f"lo_{c}"), (q3 + spread).alias(f"hi_{c}")]
         return df.select(*by, F.struct("n", *cut).alias("f"))
 
     own, by_lang, whole = fences(groups, "lang", "source"), fences(merged("lang"), "lang"), fences(merged().where("n > 0"))
     by_lang = by_lang.select(F.col("lang").alias("lang2"), F.col("f").alias("g"))
     joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("lang2")), "left").crossJoin(F.broadcast(whole.select(F.col("f").alias("h"))))  # one row
-    pick = F.when(F.col("f.n") >= LEAST_ROWS, F.col("f")).when(F.col("g.n") >= LEAST_ROWS, F.col("g")).otherwise(F.col("h"))
-    return written(joined.select("lang", "source", pick.alias("t")).select("lang", "source", "t.*").drop("n"), "quality-thresholds")
+
+    def mean(of: str, upper: Column, c: str) -> Column:
+        share = F.col(f"{of}.n") / (F.col(f"{of}.n") + F.lit(PRIOR_ROWS))
+        return share * F.col(f"{of}.{c}") + (F.lit(1.0) - share) * upper
+
+    names = [f"{e}_{c}" for c in STATS for e in ("lo", "hi")]
+    return written(joined.select("lang", "source", *(mean("f", mean("g", F.col(f"h.{c}"), c), c).alias(c) for c in names)), "quality-thresholds")
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
@@ -103,7 +110,7 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
     ``docs`` needs doc_id, text, lang and source; other columns are ignored. kept is false for fewer than 50 words,
     for more than half of the words in repeated 3-word windows, and for a statistic outside its group's fences
-    (quartiles of the group +- REACH ranges). Null and empty texts have no words and fail. Null lang or source is
+    (quartiles of the group +- REACH ranges, see ``thresholds``). Null and empty texts have no words and fail. Null lang or source is
     a group of its own.
     """
     stats = written(document_stats(docs), "quality-stats")

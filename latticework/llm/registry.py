@@ -53,10 +53,12 @@ _FENCES = ", ".join(
     f"quantile_disc({c}, 0.75) + {quality_rules.REACH!r} * greatest(quantile_disc({c}, 0.75) - quantile_disc({c}, 0.25), {least}) as hi_{c}"
     for c, (least, low) in quality_rules.STATS.items()
 )
-_PICK = ", ".join(
-    f"case when g.n >= {quality_rules.LEAST_ROWS} then g.{e}_{c} when l.n >= {quality_rules.LEAST_ROWS} then l.{e}_{c} else a.{e}_{c} end as {e}_{c}"
-    for c in quality_rules.STATS for e in ("lo", "hi")
-)
+def _mean(of: str, upper: str, c: str) -> str:
+    share = f"({of}.n / ({of}.n + cast({quality_rules.PRIOR_ROWS!r} as double)))"
+    return f"({share} * {of}.{c} + (1e0 - {share}) * {upper})"
+
+
+_PICK = ", ".join(f"{_mean('g', _mean('l', f'a.{e}_{c}', f'{e}_{c}'), f'{e}_{c}')} as {e}_{c}" for c in quality_rules.STATS for e in ("lo", "hi"))
 _INSIDE = " and ".join(f"s.{c} between t.lo_{c} and t.hi_{c}" for c in quality_rules.STATS)
 #: The sketches are exact up to SKETCH_K rows of a group; beyond that the fences differ from these by the sketches' rank error.
 def quality_sql(table: str) -> str:

@@ -88,21 +88,27 @@ class _Powers:
         return cls.up, cls.down, cls.room
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, from all their bytes.
+def ranges(data: np.ndarray):
+    """A function of starts and ends that hashes the bytes between them, each range from all its bytes.
 
-    A word's polynomial is the difference of two running sums, shifted back by the power of its start.
+    A range's polynomial is the difference of two running sums, shifted back by the power of its start. The sums lie in
+    room that the next call uses again.
     """
+    up, down, sums = _Powers.to(len(data))
+    sums = sums[: len(data) + 1]
+    sums[0] = 0
+    np.take(BYTES, data, out=sums[1:], mode="clip")
+    sums[1:] *= up[: len(data)]
+    np.cumsum(sums, out=sums)
+    return lambda starts, ends: mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words, from all their bytes."""
     if not len(starts):
         return np.zeros(0, U64)
     low, high = int(starts.min()), int(ends.max())
-    up, down, sums = _Powers.to(high - low)
-    sums = sums[: high - low + 1]
-    sums[0] = 0
-    np.take(BYTES, data[low:high], out=sums[1:], mode="clip")
-    sums[1:] *= up[: high - low]
-    np.cumsum(sums, out=sums)
-    return mix((sums[ends - low] - sums[starts - low]) * down[starts - low] + (ends - starts).astype(U64))
+    return ranges(data[low:high])(starts - low, ends - low)
 
 
 def shingles(hashes: np.ndarray, word_offs: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

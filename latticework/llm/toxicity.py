@@ -14,11 +14,13 @@ from latticework.llm.shared import mapped, written
 
 #: Training takes at most so many labelled documents of each class, those with the smallest hashed ids.
 MAX_TRAIN = 2500
-#: A word is the bag of its whole form and its character n-grams, edges marked, in so many rows of the embedding.
-GRAMS, BUCKETS, DIM = (3, 4, 5, 6), 1 << 19, 8
-#: Words of a bag that the softmax sees at once; a document's score is its worst bag's.
-BAG = 2
-EPOCHS, SEED, START = 60, 3, 0.01
+#: A word is the bag of its whole form and its character n-grams, edges marked, in 2^BITS rows of the embedding.
+GRAMS, BITS, DIM = (3, 4, 5, 6), 19, 8
+BUCKETS = 1 << BITS
+#: Words of a bag that the softmax sees at once. A document's logit is the log mean exponential of its bags', in training of
+#: growing sharpness, in scoring their largest.
+BAG, SHARP, SHARPER = 2, 0.25, 1.2
+EPOCHS, SEED, START = 60, 3, 0.001
 RATE, DECAY = 1.0, 1e-5
 #: Words whose subwords are found at a time.
 CHUNK = 20_000
@@ -27,7 +29,7 @@ CACHE = 1 << 20
 
 
 def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Embedding rows of each word's subwords, and offsets: hashes of its n-grams with edge marks, and of itself."""
+    """Embedding rows of each word's subwords, and offsets: hashes of its n-grams of characters with edge marks, and of itself."""
     n = len(starts)
     if not n:
         return np.zeros(0, np.int64), np.zeros(1, np.int64)
@@ -39,19 +41,19 @@ def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     edge = (inner == 0) | (inner == np.repeat(size, size) - 1)
     text[~edge] = data[np.repeat(starts - head[:-1] - 1, size)[~edge] + np.arange(total)[~edge]]
     text[head[:-1]], text[head[1:] - 1] = 2, 3
-    values, owner = tk.BYTES[text], np.repeat(np.arange(n), size)
-    left = np.repeat(head[1:], size) - np.arange(total)
+    char = np.flatnonzero((text & 0xC0) != 0x80)  # first bytes of characters; a mark is one
+    owner = np.searchsorted(head, char, "right") - 1
+    last = np.searchsorted(char, head[1:])  # the words' ends among the characters
+    char = np.append(char, total)
     keys, owners = [tk.word_hashes(data, starts, ends)], [np.arange(n)]
+    ranged = tk.ranges(text)
     for k in GRAMS:
-        ok = np.flatnonzero(left >= k)
-        h = np.full(len(ok), k, np.uint64)
-        for j in range(k):
-            h += values[ok + j] * tk.ORDER[j]
-        keys.append(tk.mix(h))
-        owners.append(owner[ok])
+        at = np.flatnonzero(np.arange(len(owner)) + k <= last[owner])
+        keys.append(ranged(char[at], char[at + k]))
+        owners.append(owner[at])
     key, who = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(who, kind="stable")
-    return (key[order] >> np.uint64(64 - 19)).astype(np.int64), np.concatenate(([0], np.cumsum(np.bincount(who, minlength=n))))
+    return (key[order] >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(([0], np.cumsum(np.bincount(who, minlength=n))))
 
 
 def distinct_words(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,68 +68,84 @@ def bags(word_offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(word_offs[:-1] - BAG * cuts[:-1], made) + BAG * np.arange(cuts[-1]), cuts
 
 
+class Texts:
+    """Labelled texts in numbers: distinct words' subword rows (rows, cuts), words in order (word), bags' first words (head), documents' first bags (first_bag)."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, labels: np.ndarray):
+        parts = []
+        for a, b, part, part_offs in tk.slices(data, offs):
+            starts, ends, word_offs = tk.words(part, part_offs)
+            parts.append((starts + offs[a], ends + offs[a], np.diff(word_offs), tk.word_hashes(part, starts, ends)))
+        starts, ends, counts, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, first, word = distinct_words(hashes)
+        self.word, self.words = word.astype(np.int32), len(first)
+        grams = [word_grams(data, starts[x], ends[x]) for x in np.split(first, range(CHUNK, len(first), CHUNK))]
+        self.rows, self.size = np.concatenate([r.astype(np.int32) for r, _ in grams]), np.concatenate([np.diff(c) for _, c in grams])
+        self.cuts = np.concatenate(([0], np.cumsum(self.size)))
+        self.head, first_bag = bags(np.concatenate(([0], np.cumsum(counts))))
+        self.length = np.diff(np.append(self.head, len(word)))
+        full = np.diff(first_bag) > 0
+        self.y, self.first_bag = labels[full].astype(np.float64), first_bag[:-1][full]
+        self.many = np.diff(np.append(self.first_bag, len(self.head)))
+        self.weight = np.where(self.y > 0, 0.5 / max(1, self.y.sum()), 0.5 / max(1, (1 - self.y).sum()))
+
+
 class Model:
     """Embeddings E (BUCKETS x DIM) and softmax weights W (DIM x 2), b (2).
 
     A bag's vector is the mean of its words' vectors, a word's the mean of its subwords'; softmax(vector W + b) gives the
-    classes. Training follows the bag that most looks like class 1: of a document at first all bags share the
-    gradient, by a softmax of their own logits that sharpens until only the worst one counts, as in scoring.
+    classes. Of a document's bags the log mean exponential counts, log(mean(exp(sharp z))) / sharp of their logits z, which
+    goes from their mean to the worst bag's as it gets sharper.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, buckets: int = BUCKETS) -> None:
         rng = np.random.default_rng(SEED)
-        self.e = rng.normal(0, START, (BUCKETS, DIM)).astype(np.float32)
+        self.e = rng.normal(0, START, (buckets, DIM)).astype(np.float32)
         self.w, self.b = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
 
     def subword_logits(self) -> np.ndarray:
         """What each row of the embedding adds to the logit of class 1 over class 0."""
-        return (self.e @ (self.w[:, 1] - self.w[:, 0]).astype(np.float32)).astype(np.float64)
+        return (self.e @ (self.w[:, 1] - self.w[:, 0]).astype(self.e.dtype)).astype(np.float64)
+
+    def logits(self, t: Texts, sharp: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of the documents, and the share of each bag in its document's gradient."""
+        s = np.add.reduceat(self.subword_logits()[t.rows], t.cuts[:-1]) / t.size
+        z = np.add.reduceat(s[t.word], t.head) / t.length + self.b[1] - self.b[0]
+        top = np.maximum.reduceat(z, t.first_bag)
+        share = np.exp(np.maximum(sharp * (z - np.repeat(top, t.many)), -50))
+        whole = np.add.reduceat(share, t.first_bag)
+        return top + np.log(whole / t.many) / sharp, share / np.repeat(whole, t.many)
+
+    def loss(self, t: Texts, sharp: float) -> float:
+        """Weighted cross entropy; classes weigh the same."""
+        z, _ = self.logits(t, sharp)
+        return float((t.weight * np.logaddexp(0, np.where(t.y > 0, -z, z))).sum())
+
+    def gradients(self, t: Texts, sharp: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Exact ones of ``loss``: of the embedding rows in use (their numbers, their gradients), of w and of b."""
+        z, share = self.logits(t, sharp)
+        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - t.y) * t.weight
+        g_bag = np.repeat(g, t.many) * share / t.length
+        g_word = np.bincount(t.word, np.repeat(g_bag, t.length), minlength=t.words)
+        g_row = np.bincount(t.rows, np.repeat(g_word / t.size, t.size), minlength=len(self.e))
+        live = np.flatnonzero(g_row)
+        d = self.w[:, 1] - self.w[:, 0]  # rows act through their share of class 1's logit over class 0's alone
+        return live, g_row[live, None] * d, np.outer(self.e[live].T.astype(np.float64) @ g_row[live], [-1.0, 1.0]), g.sum() * np.array([-1.0, 1.0])
 
     def train(self, data: np.ndarray, offs: np.ndarray, labels: np.ndarray) -> None:
-        parts = []
-        for a, b, part, part_offs in tk.slices(data, offs):
-            starts, ends, word_offs = tk.words(part, part_offs)
-            parts.append((starts + offs[a], ends + offs[a], np.diff(word_offs), tk.word_hashes(part, starts, ends)))
-        starts, ends, counts, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(starts):
+        """Steps along the gradients of all weights together, each weight's by the root of its squares' sum."""
+        t = Texts(data, offs, labels)
+        if not len(t.word):
             return
-        word_offs = np.concatenate(([0], np.cumsum(counts)))
-        _, first, word = distinct_words(hashes)
-        word = word.astype(np.int32)
-        grams = [word_grams(data, starts[x], ends[x]) for x in np.split(first, range(CHUNK, len(first), CHUNK))]
-        rows, size = np.concatenate([r.astype(np.int32) for r, _ in grams]), np.concatenate([np.diff(c) for _, c in grams])
-        cuts = np.concatenate(([0], np.cumsum(size)))
-        del parts, hashes, starts, ends, grams
-        head, doc_cuts = bags(word_offs)
-        length = np.diff(np.append(head, len(word)))
-        full = np.diff(doc_cuts) > 0
-        y, doc_cuts = labels[full].astype(np.float64), np.append(doc_cuts[:-1][full], doc_cuts[-1])
-        doc = np.repeat(np.arange(len(y)), np.diff(doc_cuts))
-        per_bag = np.repeat(1.0 / length, length)
-        seen = {"e": np.full(BUCKETS, 1e-8), "w": np.full((DIM, 2), 1e-8), "b": np.full(2, 1e-8)}
-        weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+        seen_e, seen_w, seen_b = np.full(self.e.shape, 1e-12, np.float32), np.full(self.w.shape, 1e-8), np.full(2, 1e-8)
         for epoch in range(EPOCHS):
-            c = self.subword_logits()
-            s = np.add.reduceat(c[rows], cuts[:-1]) / size
-            z = np.add.reduceat(s[word] * per_bag, head) + self.b[1] - self.b[0]
-            top = np.maximum.reduceat(z, doc_cuts[:-1])
-            sharp = np.exp(np.clip((z - top[doc]) * 0.25 * 1.2**epoch, -50, 0))
-            sharp /= np.add.reduceat(sharp, doc_cuts[:-1])[doc]
-            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(sharp * z, doc_cuts[:-1]), -30, 30)))
-            g = (p - y) * weight
-            g_bag = g[doc] * sharp
-            g_word = np.bincount(word, np.repeat(g_bag, length) * per_bag, minlength=len(first))
-            g_row = np.bincount(rows, np.repeat(g_word / size, size), minlength=BUCKETS)
-            d = self.w[:, 1] - self.w[:, 0]
-            g_w = np.outer(self.e.T @ g_row.astype(np.float32), [-1.0, 1.0])
-            g_b = g.sum() * np.array([-1.0, 1.0])
-            live = np.flatnonzero(g_row)
-            seen["e"][live] += g_row[live] ** 2
-            self.e[live] -= (RATE * (g_row[live] / np.sqrt(seen["e"][live])))[:, None] * (d / np.linalg.norm(d)) + DECAY * self.e[live]
-            seen["w"] += g_w**2
-            self.w -= 0.1 * RATE * g_w / np.sqrt(seen["w"])
-            seen["b"] += g_b**2
-            self.b -= RATE * g_b / np.sqrt(seen["b"])
+            live, g_e, g_w, g_b = self.gradients(t, SHARP * SHARPER**epoch)
+            seen_e[live] += (g_e**2).astype(np.float32)
+            self.e[live] -= (RATE / np.sqrt(DIM) * g_e / np.sqrt(seen_e[live])).astype(np.float32) + DECAY * self.e[live]
+            seen_w += g_w**2
+            self.w -= 0.1 * RATE * g_w / np.sqrt(seen_w)
+            seen_b += g_b**2
+            self.b -= RATE * g_b / np.sqrt(seen_b)
 
 
 class Scorer:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.llm import attention_lm, experts, line_dedup, lm_score, minhash, mixing, quality_model, secret_scan, span_dedup, toxicity
+from latticework.llm import attention_lm, decontaminate, experts, line_dedup, lm_score, minhash, mixing, quality_model, secret_scan, span_dedup, toxicity
 from latticework.llm import textkernel as tk
 from latticework.llm.automaton import compiled
 from latticework.llm.shared import components
@@ -356,6 +356,85 @@ def test_attention_learns_from_all_texts(spark, monkeypatch):
     assert all(r.score < 0 for r in rows)
 
 
+def test_short_and_long_items_are_found(spark):
+    """Planted items of 1 to 60 shingles in texts of very different lengths: none is missed, none is made up."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in [*(5, 6, 7, 8, 9, 12, 13, 20, 64) * 12, 2]]
+    docs = []
+    for i in range(200):
+        text = [word() for _ in range(rng.choice([0, 30, 300, 5000]))]
+        for _ in range(3):
+            at, item = rng.randint(0, len(text)), list(rng.choice(items))
+            if rng.random() < 0.3:
+                item[rng.randrange(len(item))] = word()
+            text[at:at] = item
+        docs.append((i, " ".join(text)))
+    sets, wanted = [shingles(t) for _, t in docs], [shingles(" ".join(x)) for x in items]
+    want = {(i, k, len(w), len(w & s)) for i, s in enumerate(sets) for k, w in enumerate(wanted) if 100 * len(w & s) >= 75 * len(w)}
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.item_shingles, r.common) for r in got.collect()} == want and len(want) > 350
+
+
+def test_five_word_items_are_never_missed():
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [" ".join(word() for _ in range(5)) for _ in range(2000)]
+    search = decontaminate.Items(list(range(2000)), items)
+    texts = [" ".join([*(word() for _ in range(40)), x, *(word() for _ in range(40))]) for x in items]
+    data, offs = tk.buffers(pa.array(texts))
+    assert sorted((r, i) for r, i, _ in search.found(data, offs)) == [(i, i) for i in range(2000)]
+
+
+def test_toxicity_gradients_are_exact():
+    texts = ["you are a fool", "a nice day for a walk", "Fööl of fools", "", "walk on the day"]
+    data, offs = tk.buffers(pa.array(texts))
+    t = toxicity.Texts(tk.LOWER[data], offs, np.array([1, 0, 1, 0, 0]))
+    model = toxicity.Model()
+    model.e = np.random.default_rng(0).normal(0, 0.5, model.e.shape)
+    for sharp in (0.3, 4.0):
+        live, g_e, g_w, g_b = model.gradients(t, sharp)
+        assert set(live.tolist()) <= set(t.rows.tolist()) and len(live) > 20
+        for array, grads, places in ((model.e, g_e, [(int(live[k]), j, (k, j)) for k in (0, 7, 13) for j in (0, 5)]), (model.w, g_w, [(k, j, (k, j)) for k in (0, 3) for j in (0, 1)])):
+            for a, b, at in places:
+                keep = array[a, b]
+                array[a, b] = keep + 1e-5
+                up = model.loss(t, sharp)
+                array[a, b] = keep - 1e-5
+                down = model.loss(t, sharp)
+                array[a, b] = keep
+                assert grads[at] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-9)
+        model.b[1] += 1e-5
+        up = model.loss(t, sharp)
+        model.b[1] -= 2e-5
+        assert g_b[1] == pytest.approx((up - model.loss(t, sharp)) / 2e-5, rel=1e-4)
+        model.b[1] += 1e-5
+
+
+def test_toxicity_scores_match_plain():
+    texts = ["You are a Fööl!", None, "walk", "a b c d e f g", "fool fooled fools " * 40]
+    logits, bias = np.random.default_rng(1).normal(0, 1, toxicity.BUCKETS), -0.4
+    row = {}
+
+    def plain_rows(word):  # every n-gram of characters of the marked word has one row, whatever word it is in
+        marked = "\x02" + word + "\x03"
+        grams = [marked[i : i + k] for k in toxicity.GRAMS for i in range(len(marked) - k + 1)]
+        raw = np.frombuffer(word.encode(), np.uint8)
+        rows, cuts = toxicity.word_grams(raw, np.array([0]), np.array([len(raw)]))
+        assert len(rows) == cuts[1] == 1 + len(grams)
+        for g, r in zip(grams, rows[1:].tolist()):
+            assert row.setdefault(g, r) == r
+        return rows
+
+    want = []
+    for t in texts:
+        w = [logits[plain_rows(x)].mean() for x in words(t)]
+        z = max((np.mean(w[i : i + toxicity.BAG]) for i in range(0, len(w), toxicity.BAG)), default=0.0) + bias
+        want.append(1 / (1 + math.exp(-z)))
+    data, offs = tk.buffers(pa.array(texts))
+    assert toxicity.Scorer(logits, bias).scores(data, offs) == pytest.approx(want)
+
+
 def test_isotonic():
     knots, levels = quality_model.isotonic(np.arange(6.0), np.full(6, 10), np.array([0, 5, 3, 4, 9, 10]))
     assert np.all(np.diff(levels) >= 0) and len(knots) == len(levels) and knots[0] == 0 and knots[-1] == 5

@@ -101,3 +101,36 @@ def centre(camera: tuple[str, ...] = CAMERA) -> tuple[str, ...]:
     """Camera centre -R(-w) t."""
     back = rotate(tuple(f"(-{c})" for c in camera[:3]), camera[3:6])
     return tuple(f"(-{c})" for c in back)
+
+
+def derivative_stages(camera: tuple[str, ...] = CAMERA, x: tuple[str, ...] = POINT) -> list[dict[str, str]]:
+    """Columns, stage by stage, that lead from a point in the camera's frame (q0..q2) and its image place (p0, p1) to the residuals' derivatives.
+
+    The last stages name them jx_0..jx_8, jy_0..jy_8 (by CAMERA) and lx_0..lx_2, ly_0..ly_2 (by POINT). With A the derivatives by
+    the camera's frame, R the rotation and [x] the cross product's matrix, those by the rotation vector are
+    -A R [x] (w w' + (R' - I) [w]) / w'w, and -A [x] where w is 0.
+    """
+    w, f, k1, k2 = camera[:3], camera[6], camera[7], camera[8]
+    m = [f"m{i}" for i in range(9)]
+    first = dict(zip(m, matrix(w), strict=True)) | {"n": dot(("p0", "p1"), ("p0", "p1")), "th2": dot(w, w)}
+    second = {"d": f"1 + n * ({k1} + {k2} * n)", "slope": f"2 * ({k1} + 2 * {k2} * n)"}
+    plane = {f"s{r}{c}": f"{f} * ({'d + ' if r == c else ''}slope * p{r} * p{c})" for r in range(2) for c in range(2)}
+    frame = {f"a{r}{c}": f"-s{r}{c} / q2" for r in range(2) for c in range(2)} | {f"a{r}2": f"(s{r}0 * q0 + s{r}1 * q1) / (q2 * q2)" for r in range(2)}
+
+    def crossed(v: tuple[str, ...]) -> list[list[str]]:
+        return [["0", f"(-{v[2]})", v[1]], [v[2], "0", f"(-{v[0]})"], [f"(-{v[1]})", v[0], "0"]]
+
+    def times(a: list[list[str]], b: list[list[str]]) -> list[list[str]]:
+        return [["(" + (" + ".join(f"{r[k]} * {b[k][j]}" for k in range(3) if "0" not in (r[k], b[k][j])) or "0") + ")" for j in range(3)] for r in a]
+
+    turn = [[m[3 * i + j] for j in range(3)] for i in range(3)]
+    less = [[f"({m[3 * j + i]} - 1)" if i == j else m[3 * j + i] for j in range(3)] for i in range(3)]
+    half = {f"e{i}{j}": e for i, row in enumerate(times(turn, crossed(x))) for j, e in enumerate(row)}
+    inner = {f"i{i}{j}": f"({w[i]} * {w[j]} + {e}) / nullif(th2, 0)" for i, row in enumerate(times(less, crossed(w))) for j, e in enumerate(row)}
+    by_w = {f"b{i}{j}": f"case when th2 = 0 then -({crossed(x)[i][j]}) else -(e{i}0 * i0{j} + e{i}1 * i1{j} + e{i}2 * i2{j}) end" for i in range(3) for j in range(3)}
+    out: dict[str, str] = {}
+    for r, a in enumerate("xy"):
+        out |= {f"j{a}_{j}": f"a{r}0 * b0{j} + a{r}1 * b1{j} + a{r}2 * b2{j}" for j in range(3)} | {f"j{a}_{3 + j}": f"a{r}{j}" for j in range(3)}
+        out |= {f"j{a}_6": f"d * p{r}", f"j{a}_7": f"{f} * n * p{r}", f"j{a}_8": f"{f} * n * n * p{r}"}
+        out |= {f"l{a}_{j}": f"a{r}0 * {m[j]} + a{r}1 * {m[3 + j]} + a{r}2 * {m[6 + j]}" for j in range(3)}
+    return [first, second, plane, frame | half | inner, by_w, out]

@@ -262,48 +262,58 @@ def parameter_ranges(spark, d):
     return t.cameras(t.observations(spark, d)).selectExpr(*(f"{m}({c}) as {c}_{m}" for c in ("f", "k1", "k2") for m in ("min", "max")))
 
 
-def _two_parts(spark, d):
+def _part_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(a, b, pt_id): for every pair of parts a < b, the landmarks of a, and those of b."""
     seen = observed_parts(spark, d).select("part", "pt_id").distinct()
-    return seen.where("part = 0").select("pt_id"), seen.where("part = 1").select("pt_id")
+    parts = camera_parts(spark, d).select("part").distinct()
+    pairs = F.broadcast(parts.toDF("a").join(parts.toDF("b"), F.expr("a < b")))  # PARTS * (PARTS - 1) / 2 rows
+    return tuple(seen.join(pairs, F.col("part") == F.col(side)).select("a", "b", "pt_id") for side in "ab")
 
 
-_SETS = ", a as (select distinct pt_id from op where part = 0), b as (select distinct pt_id from op where part = 1)"
+_SETS = """, seen as (select distinct part, pt_id from op), pairs as (select x.part as a, y.part as b from (select distinct part from cp) x, (select distinct part from cp) y where x.part < y.part),
+l as (select a, b, pt_id from pairs join seen on part = a), r as (select a, b, pt_id from pairs join seen on part = b)"""
 
 
-@query(f"{_SETS} select pt_id from a union select pt_id from b")
+@query(f"{_SETS} select * from l union select * from r")
 def set_union(spark, d):
-    a, b = _two_parts(spark, d)
+    a, b = _part_pairs(spark, d)
     return a.union(b).distinct()
 
 
-@query(f"{_SETS} select pt_id from a intersect select pt_id from b")
+@query(f"{_SETS} select * from l intersect select * from r")
 def set_intersect(spark, d):
-    a, b = _two_parts(spark, d)
+    a, b = _part_pairs(spark, d)
     return a.intersect(b)
 
 
-@query(f"{_SETS} select pt_id from a except select pt_id from b")
+@query(f"{_SETS} select * from l except select * from r")
 def set_except(spark, d):
-    a, b = _two_parts(spark, d)
+    a, b = _part_pairs(spark, d)
     return a.subtract(b)
 
 
-@query(f"{_SETS} select pt_id from a union all select pt_id from b")
+@query(f"{_SETS} select * from l union all select * from r")
 def union_all(spark, d):
-    a, b = _two_parts(spark, d)
+    a, b = _part_pairs(spark, d)
     return a.unionAll(b)
 
 
-@query("select cam_id, pt_id, x, y from obs where pt_id in (select pt_id from own where part = 0)")
+def _parts_and_owners(spark, d):
+    """Every (observation, part), and (pt_id, part) of the landmarks' owners."""
+    parts = F.broadcast(camera_parts(spark, d).select("part").distinct())  # PARTS rows
+    return t.observations(spark, d).crossJoin(parts).select("part", "cam_id", "pt_id", "x", "y"), graph.complete_landmarks(observed_parts(spark, d)).select("pt_id", "part")
+
+
+@query("select own.part, cam_id, pt_id, x, y from obs join own using (pt_id)")
 def covered_residuals(spark, d):
-    owner = graph.complete_landmarks(observed_parts(spark, d)).where("part = 0")
-    return t.observations(spark, d).join(owner, "pt_id", "left_semi").select("cam_id", "pt_id", "x", "y")
+    rows, owner = _parts_and_owners(spark, d)
+    return rows.join(owner, ["pt_id", "part"], "left_semi").select("part", "cam_id", "pt_id", "x", "y")
 
 
-@query("select cam_id, pt_id, x, y from obs where pt_id not in (select pt_id from own where part = 0)")
+@query("select p.part, cam_id, pt_id, x, y from obs join own using (pt_id), (select distinct part from cp) p where p.part <> own.part")
 def uncovered_residuals(spark, d):
-    owner = graph.complete_landmarks(observed_parts(spark, d)).where("part = 0")
-    return t.observations(spark, d).join(owner, "pt_id", "left_anti").select("cam_id", "pt_id", "x", "y")
+    rows, owner = _parts_and_owners(spark, d)
+    return rows.join(owner, ["pt_id", "part"], "left_anti").select("part", "cam_id", "pt_id", "x", "y")
 
 
 @query("select cam_id, pt_id, case when (cam_id + pt_id) % 5 = 0 then 9 else part end as part from op")
@@ -438,35 +448,74 @@ def camera_centre(spark, d):
     return rounded(t.cameras(t.observations(spark, d)).selectExpr("cam_id", *(f"{c} as c{i}" for i, c in enumerate(_CENTRE))), 6, "c0", "c1", "c2")
 
 
-# --- block matrices: derivatives by f, k1, k2 (camera) and by the point's frame (landmark)
+# --- block matrices: derivatives by all nine camera parameters and by the landmark
 
-_N = "(p0 * p0 + p1 * p1)"
-_D = f"(1 + {_N} * (k1 + k2 * {_N}))"
-_JC = {f"j{a}_{i}": e for a, p in (("x", "p0"), ("y", "p1")) for i, e in enumerate((f"{_D} * {p}", f"f * {_N} * {p}", f"f * {_N} * {_N} * {p}"))}
-_SLOPE = f"(k1 + 2 * k2 * {_N})"
+#: Orders of magnitude by which parameters' derivatives are divided before they are rounded.
+_UNIT = ("1e2",) * 6 + ("1e0",) * 3
+_DERIVATIVES = tuple(f"{k}{a}_{i}" for k, n in (("j", 9), ("l", 3)) for a in "xy" for i in range(n))
 
 
-def _by_plane(row: str, col: str) -> str:
-    same = "1" if row == col else "0"
-    return f"(f * ({_D} * {same} + 2 * {_SLOPE} * {row} * {col}))"
+def _unit(name: str) -> str:
+    return "1e2" if name[0] == "l" else _UNIT[int(name[-1])]
 
 
-#: Derivatives of the residuals by the point in the camera's frame.
-_JL = {}
-for _a, _row in (("x", "p0"), ("y", "p1")):
-    _JL[f"l{_a}_0"] = f"(-{_by_plane(_row, 'p0')} / q2)"
-    _JL[f"l{_a}_1"] = f"(-{_by_plane(_row, 'p1')} / q2)"
-    _JL[f"l{_a}_2"] = f"(({_by_plane(_row, 'p0')} * q0 + {_by_plane(_row, 'p1')} * q1) / (q2 * q2))"
-_JACOBIAN = _JC | _JL
-_BLOCKS = f"{_GEO}, j as (select *, {', '.join(f'{e} as {c}' for c, e in _JACOBIAN.items())} from e3)"
-_GRAM = " ; ".join(f"sum(jx_{a} * jx_{b} + jy_{a} * jy_{b}) / 1e3 as g{a}{b}" for a in range(3) for b in range(a, 3))
-_LAND = " ; ".join(f"sum(lx_{a} * lx_{b} + ly_{a} * ly_{b}) / 1e6 as h{a}{b}" for a in range(3) for b in range(a, 3))
-_SLOPES = " ; ".join(f"sum(jx_{a} * rx + jy_{a} * ry) / 1e6 as b{a}" for a in range(3))
-_COUPLE = " ; ".join(f"sum(jx_{a} * lx_{b} + jy_{a} * ly_{b}) / 1e6 as w{a}{b}" for a in range(3) for b in range(3))
+def differentiated(spark, d):
+    """Gathered observations with residuals rx, ry and their derivatives."""
+    rows = _pairs_geo(spark, d)
+    for stage in g.derivative_stages():
+        rows = rows.selectExpr("*", *(f"{e} as {c}" for c, e in stage.items()))
+    return rows.select("cam_id", "pt_id", "x", "y", "rx", "ry", *_DERIVATIVES)
 
 
-def differentiated(spark, d):
-    return _pairs_geo(spark, d).selectExpr("*", *(f"{e} as {c}" for c, e in _JACOBIAN.items()))
+# The same in SQL by another way: Rodrigues' formula x cos + (w x x) s + w (w.x) c, with s = sin / angle and c = (1 - cos) / angle^2, is
+# differentiated term by term, and pixels by the chain rule through the image place and its squared norm.
+_X, _W = ("x0", "x1", "x2"), ("w0", "w1", "w2")
+_WX = [f"(w{(i + 1) % 3} * x{(i + 2) % 3} - w{(i + 2) % 3} * x{(i + 1) % 3})" for i in range(3)]
+
+
+def _unit_cross(i: int, r: int) -> str:  # row r of (unit vector i) x (the point)
+    return {1: f"-x{(i + 2) % 3}", 2: f"x{(i + 1) % 3}"}.get((r - i) % 3, "0")
+
+
+def _turned_by(r: int, i: int) -> str:  # derivative of the turned point's row r by w_i
+    same = f" + wdx * c{' + 0' if r != i else ''}" if r == i else ""
+    return (f"(case when th = 0 then {_unit_cross(i, r)} else - s * w{i} * x{r} + {_unit_cross(i, r)} * s + {_WX[r]} * w{i} * (cos(th) - s) / (th * th)"
+            f"{same} + w{r} * x{i} * c + w{r} * wdx * w{i} * (s - 2 * c) / (th * th) end)")
+
+
+def _turned_point(r: int, j: int) -> str:  # derivative of the turned point's row r by x_j
+    unit = f"(w{(r + 1) % 3} * {int((r + 2) % 3 == j)} - w{(r + 2) % 3} * {int((r + 1) % 3 == j)})"
+    return f"(case when th = 0 then {int(r == j)} + {unit} else {int(r == j)} * cos(th) + {unit} * s + w{r} * w{j} * c end)"
+
+
+_BY_FRAME = {}
+for _r, _a in enumerate("xy"):
+    for _j in range(3):
+        _place = f"(case when {_j} = 2 then -p{_r} / q2 when {_j} = {_r} then -1 / q2 else 0 end)"
+        _norm = f"(case when {_j} = 2 then -2 * nn / q2 else -2 * p{min(_j, 1)} / q2 end)"
+        _BY_FRAME[f"g{_a}{_j}"] = f"f * ({_place} * (1 + k1 * nn + k2 * nn * nn) + p{_r} * (k1 + 2 * k2 * nn) * {_norm})"
+_SQL_ROWS = {}
+for _r, _a in enumerate("xy"):
+    _SQL_ROWS |= {f"j{_a}_{i}": " + ".join(f"g{_a}{r} * {_turned_by(r, i)}" for r in range(3)) for i in range(3)} | {f"j{_a}_{3 + j}": f"g{_a}{j}" for j in range(3)}
+    _SQL_ROWS |= {f"j{_a}_6": f"p{_r} * (1 + k1 * nn + k2 * nn * nn)", f"j{_a}_7": f"f * p{_r} * nn", f"j{_a}_8": f"f * p{_r} * nn * nn"}
+    _SQL_ROWS |= {f"l{_a}_{j}": " + ".join(f"g{_a}{r} * {_turned_point(r, j)}" for r in range(3)) for j in range(3)}
+_BLOCKS = f"""{_GEO}, j0 as (select *, p0 * p0 + p1 * p1 as nn, sqrt(w0 * w0 + w1 * w1 + w2 * w2) as th, w0 * x0 + w1 * x1 + w2 * x2 as wdx from e3),
+j1 as (select *, sin(th) / nullif(th, 0) as s, (1 - cos(th)) / nullif(th * th, 0) as c, {', '.join(f'{e} as {k}' for k, e in _BY_FRAME.items())} from j0),
+j as (select cam_id, pt_id, x, y, rx, ry, {', '.join(f'{e} as {k}' for k, e in _SQL_ROWS.items())} from j1)"""
+
+
+def _product(a: str, b: str) -> str:
+    """SQL for the sum over both components of two derivatives' products, in units."""
+    over = " / ".join(_unit(f"{k}x_{i}") for k, i in (a.split("_"), b.split("_")) if k != "r")
+    one = lambda k, c: f"{k[0]}{c}_{k.split('_')[1]}" if k[0] != "r" else f"r{c}"
+    return f"sum({one(a, 'x')} * {one(b, 'x')} + {one(a, 'y')} * {one(b, 'y')}) / {over}"
+
+
+_GRAM = " ; ".join(f"{_product(f'j_{a}', f'j_{b}')} as g{a}{b}" for a in range(9) for b in range(a, 9))
+_LAND = " ; ".join(f"{_product(f'l_{a}', f'l_{b}')} as h{a}{b}" for a in range(3) for b in range(a, 3))
+_SLOPES = " ; ".join(f"{_product(f'j_{a}', 'r_0')} / 1e3 as b{a}" for a in range(9))
+_LAND_SLOPES = " ; ".join(f"{_product(f'l_{a}', 'r_0')} / 1e3 as b{a}" for a in range(3))
+_COUPLE = " ; ".join(f"{_product(f'j_{a}', f'l_{b}')} as w{a}{b}" for a in range(9) for b in range(3))
 
 
 def _summed(rows: DataFrame, keys: list[str], sums: str, digits: int) -> DataFrame:
@@ -474,24 +523,35 @@ def _summed(rows: DataFrame, keys: list[str], sums: str, digits: int) -> DataFra
     return rounded(rows.groupBy(*keys).agg(*(F.expr(e).alias(n) for e, n in parts)), digits, *(n for _, n in parts))
 
 
-@query(f"{_BLOCKS} select cam_id, {near_zero(_GRAM, 4)} from j group by 1")
+@query(f"{_BLOCKS} select distinct cam_id, pt_id, {near_zero(' ; '.join(f'{c} / {_unit(c)} as {c}' for c in _DERIVATIVES), 8)} from j")
+def derivatives(spark, d):
+    rows = differentiated(spark, d).selectExpr("cam_id", "pt_id", *(f"{c} / {_unit(c)} as {c}" for c in _DERIVATIVES))
+    return rounded(rows, 8, *_DERIVATIVES).distinct()
+
+
+@query(f"{_BLOCKS} select cam_id, {near_zero(_GRAM, 5)} from j group by 1")
 def block_gram(spark, d):
-    return _summed(differentiated(spark, d), ["cam_id"], _GRAM, 4)
+    return _summed(differentiated(spark, d), ["cam_id"], _GRAM, 5)
 
 
-@query(f"{_BLOCKS} select pt_id, {near_zero(_LAND, 5)} from j group by 1")
+@query(f"{_BLOCKS} select pt_id, {near_zero(_LAND, 6)} from j group by 1")
 def landmark_gram(spark, d):
-    return _summed(differentiated(spark, d), ["pt_id"], _LAND, 5)
+    return _summed(differentiated(spark, d), ["pt_id"], _LAND, 6)
 
 
-@query(f"{_BLOCKS} select cam_id, {near_zero(_SLOPES, 4)} from j group by 1")
+@query(f"{_BLOCKS} select cam_id, {near_zero(_SLOPES, 5)} from j group by 1")
 def block_gradient(spark, d):
-    return _summed(differentiated(spark, d), ["cam_id"], _SLOPES, 4)
+    return _summed(differentiated(spark, d), ["cam_id"], _SLOPES, 5)
+
+
+@query(f"{_BLOCKS} select pt_id, {near_zero(_LAND_SLOPES, 5)} from j group by 1")
+def landmark_gradient(spark, d):
+    return _summed(differentiated(spark, d), ["pt_id"], _LAND_SLOPES, 5)
 
 
-@query(f"{_BLOCKS} select cam_id, pt_id, {near_zero(_COUPLE, 5)} from j group by 1, 2")
+@query(f"{_BLOCKS} select cam_id, pt_id, {near_zero(_COUPLE, 6)} from j group by 1, 2")
 def coupling_blocks(spark, d):
-    return _summed(differentiated(spark, d), ["cam_id", "pt_id"], _COUPLE, 5)
+    return _summed(differentiated(spark, d), ["cam_id", "pt_id"], _COUPLE, 6)
 
 
 # --- consensus, extrapolation, components: over the copies of landmarks in parts
@@ -555,15 +615,16 @@ def extrapolation_gram(spark, d):
     return rounded(gram(slots, ["k"], "v"), 4, "g")
 
 
-@query(""", recursive_edges as (select o_custkey % 500 as a, cast(floor(o_totalprice) as bigint) % 500 as b from orders where o_orderkey % 40 = 0),
-both_ways as (select a, b from recursive_edges where a <> b union select b, a from recursive_edges where a <> b),
-reach(a, b) as (select a, b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a)
-select a as id, least(a, min(b)) as root from reach group by 1, a""")
+@query(""", e as (select o_custkey as a, cast(floor(o_totalprice) as bigint) as b from orders), t as (select a, b from e where a <> b union select b, a from e where a <> b),
+cc(id, root) using key (id) as (
+  select a, least(a, min(b)) from t group by a
+  union (select c.id, min(n.root) from cc n join t on t.b = n.id join recurring.cc c on c.id = t.a where n.root < c.root group by c.id)
+) select id, root from cc""")
 def connected_roots(spark, d):
+    """(id, root) on the edges of all orders, from the customer to the whole number of the price."""
     from latticework.plans.partition import roots
 
-    edges = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 40 = 0").selectExpr("o_custkey % 500 as src", "cast(floor(o_totalprice) as bigint) % 500 as dst")
-    return roots(edges)
+    return roots(spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_custkey as src", "cast(floor(o_totalprice) as bigint) as dst"))
 
 
 ORACLE_SQL["connected_roots"] = ORACLE_SQL["connected_roots"].replace("with ", "with recursive ", 1)

@@ -129,7 +129,7 @@ def test_roots_of_all_orders(spark, tmp_path):
         if a != int(b):
             low, high = sorted((find(a), find(int(b))))
             parent[high] = low
-    got = dict(map(tuple, numeric.connected_roots_all(spark, str(tmp_path)).collect()))
+    got = dict(map(tuple, catalogue.connected_roots(spark, str(tmp_path)).collect()))
     assert got == {x: find(x) for x in parent} and len(got) > 1000 and max(got) > 500
 
 

@@ -162,7 +162,7 @@ def solve_nesterov(n: Normal, ui, vi, u, b, its: int = 400, eps: float = 1e-8) -
     base = np.einsum("cij,cj->ci", ui, b)
     x, y, lam = base, base, (1 + 5**0.5) / 2
     for i in range(its):
-        new = y + (base + _apply(n, ui, vi, y) - y) / 0.9 * 0.9
+        new = y + (base + _apply(n, ui, vi, y) - y)
         after = (1 + (1 + 4 * lam * lam) ** 0.5) / 2
         if ((new - x) * (y - new)).sum() > 0:
             after, lam = 1.0, 1.0

@@ -30,6 +30,20 @@ def regular_weights(g: np.ndarray, newest: int, lam: float) -> np.ndarray:
     return np.linalg.solve(k, right)[:m]
 
 
+def extrapolated(moves: Sequence[DataFrame], keys: Sequence[str], size: int, lam: float = 0.1) -> DataFrame:
+    """(keys, s): results g of a fixed-point map combined by ``regular_weights`` of their steps f. ``moves``: (keys, g, f), oldest first.
+
+    Vectors are arrays of ``size`` in keyed rows; Spark sums their products, the driver has one number for each two moves.
+    """
+    both = moves[0].select(*keys, F.col("g").alias("g0"), F.col("f").alias("f0"))
+    for k, m in enumerate(moves[1:], 1):
+        both = both.join(m.select(*keys, F.col("g").alias(f"g{k}"), F.col("f").alias(f"f{k}")), list(keys))
+    n = len(moves)
+    products = [F.sum(F.expr(f"aggregate(zip_with(f{i}, f{j}, (a, b) -> a * b), 0D, (t, z) -> t + z)")) for i in range(n) for j in range(n)]
+    c = regular_weights(np.array([x or 0.0 for x in both.agg(*products).first()]).reshape(n, n), n - 1, lam)
+    return both.select(*keys, F.array(*(F.expr(" + ".join(f"{w!r}D * g{k}[{i}]" for k, w in enumerate(c.tolist()))) for i in range(size))).alias("s"))
+
+
 class Extrapolation:
     """Ring of the last m results G and steps F of a fixed-point map; ``push`` gives G c - h F c."""
 

@@ -40,7 +40,7 @@ def lm_fit(spark, d):
 
 def drs_fit(spark, d):
     obs, cam, pt = planted(spark, d)
-    return bundle.drs_fit(obs, cam, pt, _owners(obs)[0], "cam_id", rounds=2, steps=2).history()
+    return bundle.drs_fit(obs, cam, pt, _owners(obs)[0], "cam_id", rounds=3, steps=2, memory=2).history()
 
 
 def drs_cameras_fit(spark, d):
@@ -75,14 +75,21 @@ def pose_monte_carlo(spark, d):
 
 
 def _camera_blocks(spark, d) -> DataFrame:
+    """(cam_id, m): each camera's 9 x 9 block; tasks add up their own observations before the shuffle."""
     obs, cam, pt = planted(spark, d)
     ship(spark)
 
-    def grams(key, block: pd.DataFrame) -> pd.DataFrame:
-        _, jc, _ = kernels.residuals(np.stack(block.p), np.stack(block.q), block[["x", "y"]].to_numpy(), True)
-        return pd.DataFrame({"cam_id": [int(key[0])], "m": [np.einsum("nki,nkj->ij", jc, jc).ravel()]})
-
-    return obs.join(cam, "cam_id").join(pt, "pt_id").groupBy("cam_id").applyInPandas(grams, "cam_id long, m array<double>")
+    def grams(parts):
+        for b in parts:
+            if len(b):
+                _, jc, _ = kernels.residuals(np.stack(b.p), np.stack(b.q), b[["x", "y"]].to_numpy(), True)
+                ids, at = np.unique(b.cam_id.to_numpy(), return_inverse=True)
+                order = np.argsort(at, kind="stable")
+                m = np.add.reduceat(np.einsum("nki,nkj->nij", jc, jc)[order], np.searchsorted(at[order], np.arange(len(ids))), axis=0)
+                yield pd.DataFrame({"cam_id": ids, "m": list(m.reshape(-1, 81))})
+
+    rows = obs.join(cam, "cam_id").join(pt, "pt_id").mapInPandas(grams, "cam_id long, m array<double>")
+    return rows.groupBy("cam_id").agg(F.array(*(F.sum(F.col("m")[k]) for k in range(81))).alias("m"))
 
 
 def block_eigen(spark, d):

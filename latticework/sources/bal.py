@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,14 @@ def save_parts(obs_part: DataFrame, path: str) -> None:
 
 
 def from_dump(spark: SparkSession, path: str, width: int, key: str, name: str) -> DataFrame:
-    """Rows of ``width`` doubles of a headerless file of float64, numbered."""
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    rows = np.frombuffer(raw, np.float64).reshape(-1, width)
-    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], f"{key} long, {name} array<double>")
+    """Rows of ``width`` doubles of a headerless file of float64, numbered by their place. A task reads the file, the driver does not."""
+
+    def numbers(batches):
+        for b in batches:
+            for raw in b.content:
+                values = np.frombuffer(raw, np.float64).reshape(-1, width)
+                for at in range(0, len(values), 10_000):
+                    part = values[at : at + 10_000]
+                    yield pd.DataFrame({key: np.arange(at, at + len(part)), name: list(part)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(numbers, f"{key} long, {name} array<double>")

@@ -39,6 +39,44 @@ def test_consensus_lowers_cost(spark, problem, by):
     assert fit.costs[-1] < 0.2 * before
 
 
+@pytest.mark.parametrize("memory", [0, 3])
+def test_consensus_comes_near_the_whole_fit(spark, problem, memory):
+    (obs, cam, pt), best, before = problem
+    fit = bundle.drs_fit(obs, cam, pt, relational.range_parts(obs.select("cam_id"), "cam_id", 2), "cam_id", rounds=5, memory=memory)
+    assert min(fit.costs) < 1.05 * best
+    assert bundle.cost(obs, fit.cam, fit.pt).first().cost == pytest.approx(min(fit.costs), rel=1e-9)
+
+
+def test_reduced_pairs_match_the_dense_system():
+    from latticework.functions import kernels as k
+
+    cam, pt, ci, pi, xy = scene(5, 40, 3, 0.5)
+    r, jc, jl = k.residuals(cam[ci], pt[pi], xy, True)
+    n = k.Normal.of(r, jc, jl, ci, pi, 5, 40)
+    vi = k.block_inverse(n.v)
+    want = n.schur(vi, np.zeros_like(n.u)).reshape(5, 9, 5, 9)
+    for rows in (7, 50_000):
+        bundle.PAIR_ROWS, keep = rows, bundle.PAIR_ROWS
+        pairs, sums = bundle.reduced_pairs(jc, jl, vi, ci, pi, 5)
+        bundle.PAIR_ROWS = keep
+        got = np.zeros((5, 9, 5, 9))
+        for key, m in zip(pairs.tolist(), sums, strict=True):
+            got[key // 5, :, key % 5] += m
+        assert np.allclose(got, want, rtol=1e-8, atol=1e-6 * np.abs(want).max())
+
+
+def test_extrapolation_of_rows(spark):
+    rng = np.random.default_rng(5)
+    from latticework.plans import acceleration as acc
+
+    g, f = rng.normal(size=(3, 6, 2)), rng.normal(size=(3, 6, 2))
+    moves = [spark.createDataFrame([(i, g[k, i].tolist(), f[k, i].tolist()) for i in range(6)], "id long, g array<double>, f array<double>") for k in range(3)]
+    got = {r.id: r.s for r in acc.extrapolated(moves, ["id"], 2).collect()}
+    flat = f.reshape(3, -1)
+    want = np.einsum("k,kij->ij", acc.regular_weights(flat @ flat.T, 2, 0.1), g)
+    assert np.allclose([got[i] for i in range(6)], want)
+
+
 def test_alternation_never_rises(spark, problem):
     (obs, cam, pt), best, before = problem
     placed = obs.join(relational.range_parts(obs.select("cam_id"), "cam_id", 2), "cam_id")

@@ -75,12 +75,19 @@ class Texts:
         parts = []
         for a, b, part, part_offs in tk.slices(data, offs):
             starts, ends, word_offs = tk.words(part, part_offs)
-            parts.append((starts + offs[a], ends + offs[a], np.diff(word_offs), tk.word_hashes(part, starts, ends)))
-        starts, ends, counts, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.append(((starts + offs[a]).astype(np.int32), (ends - starts).astype(np.int32), np.diff(word_offs), tk.word_hashes(part, starts, ends)))
+        starts, lengths, counts, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         _, first, word = distinct_words(hashes)
         self.word, self.words = word.astype(np.int32), len(first)
-        grams = [word_grams(data, starts[x], ends[x]) for x in np.split(first, range(CHUNK, len(first), CHUNK))]
-        self.rows, self.size = np.concatenate([r.astype(np.int32) for r, _ in grams]), np.concatenate([np.diff(c) for _, c in grams])
+        starts, lengths = starts[first].astype(np.int64), lengths[first].astype(np.int64)
+        del hashes, word, first
+        grams = []
+        for a in range(0, self.words, CHUNK):
+            rows, cuts = word_grams(data, starts[a : a + CHUNK], starts[a : a + CHUNK] + lengths[a : a + CHUNK])
+            grams.append((rows.astype(np.int32), np.diff(cuts).astype(np.int32)))
+        self.rows, self.size = (np.concatenate(x) for x in zip(*grams, strict=True)) if grams else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        del grams
         self.cuts = np.concatenate(([0], np.cumsum(self.size)))
         self.head, first_bag = bags(np.concatenate(([0], np.cumsum(counts))))
         self.length = np.diff(np.append(self.head, len(word)))
@@ -89,6 +96,11 @@ class Texts:
         self.many = np.diff(np.append(self.first_bag, len(self.head)))
         self.weight = np.where(self.y > 0, 0.5 / max(1, self.y.sum()), 0.5 / max(1, (1 - self.y).sum()))
 
+    def blocks(self) -> Iterator[tuple[int, int]]:
+        """Ranges of distinct words whose subwords are worked on together."""
+        for a in range(0, self.words, 4 * CHUNK):
+            yield a, min(a + 4 * CHUNK, self.words)
+
 
 class Model:
     """Embeddings E (BUCKETS x DIM) and softmax weights W (DIM x 2), b (2).
@@ -105,11 +117,14 @@ class Model:
 
     def subword_logits(self) -> np.ndarray:
         """What each row of the embedding adds to the logit of class 1 over class 0."""
-        return (self.e @ (self.w[:, 1] - self.w[:, 0]).astype(self.e.dtype)).astype(np.float64)
+        return self.e @ (self.w[:, 1] - self.w[:, 0]).astype(self.e.dtype)
 
     def logits(self, t: Texts, sharp: float) -> tuple[np.ndarray, np.ndarray]:
         """Of the documents, and the share of each bag in its document's gradient."""
-        s = np.add.reduceat(self.subword_logits()[t.rows], t.cuts[:-1]) / t.size
+        c, s = self.subword_logits(), np.empty(t.words)
+        for a, b in t.blocks():
+            rows = slice(t.cuts[a], t.cuts[b])
+            s[a:b] = np.add.reduceat(c[t.rows[rows]], t.cuts[a:b] - t.cuts[a]) / t.size[a:b]
         z = np.add.reduceat(s[t.word], t.head) / t.length + self.b[1] - self.b[0]
         top = np.maximum.reduceat(z, t.first_bag)
         share = np.exp(np.maximum(sharp * (z - np.repeat(top, t.many)), -50))
@@ -127,7 +142,9 @@ class Model:
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - t.y) * t.weight
         g_bag = np.repeat(g, t.many) * share / t.length
         g_word = np.bincount(t.word, np.repeat(g_bag, t.length), minlength=t.words)
-        g_row = np.bincount(t.rows, np.repeat(g_word / t.size, t.size), minlength=len(self.e))
+        g_row = np.zeros(len(self.e))
+        for a, b in t.blocks():
+            g_row += np.bincount(t.rows[t.cuts[a] : t.cuts[b]], np.repeat(g_word[a:b] / t.size[a:b], t.size[a:b]), minlength=len(self.e))
         live = np.flatnonzero(g_row)
         d = self.w[:, 1] - self.w[:, 0]  # rows act through their share of class 1's logit over class 0's alone
         return live, g_row[live, None] * d, np.outer(self.e[live].T.astype(np.float64) @ g_row[live], [-1.0, 1.0]), g.sum() * np.array([-1.0, 1.0])
@@ -137,11 +154,14 @@ class Model:
         t = Texts(data, offs, labels)
         if not len(t.word):
             return
-        seen_e, seen_w, seen_b = np.full(self.e.shape, 1e-12, np.float32), np.full(self.w.shape, 1e-8), np.full(2, 1e-8)
+        seen_e, seen_w, seen_b = np.full(self.e.shape, 1e-20, np.float32), np.full(self.w.shape, 1e-8), np.full(2, 1e-8)
         for epoch in range(EPOCHS):
             live, g_e, g_w, g_b = self.gradients(t, SHARP * SHARPER**epoch)
-            seen_e[live] += (g_e**2).astype(np.float32)
-            self.e[live] -= (RATE / np.sqrt(DIM) * g_e / np.sqrt(seen_e[live])).astype(np.float32) + DECAY * self.e[live]
+            for at in range(0, len(live), 4 * CHUNK):
+                row, g = live[at : at + 4 * CHUNK], g_e[at : at + 4 * CHUNK].astype(np.float32)
+                seen_e[row] += g**2
+                self.e[row] -= np.float32(RATE / np.sqrt(DIM)) * g / np.sqrt(seen_e[row]) + np.float32(DECAY) * self.e[row]
+            del g_e
             seen_w += g_w**2
             self.w -= 0.1 * RATE * g_w / np.sqrt(seen_w)
             seen_b += g_b**2

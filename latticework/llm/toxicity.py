@@ -90,7 +90,7 @@ class Texts:
         del grams
         self.cuts = np.concatenate(([0], np.cumsum(self.size)))
         self.head, first_bag = bags(np.concatenate(([0], np.cumsum(counts))))
-        self.length = np.diff(np.append(self.head, len(word)))
+        self.length = np.diff(np.append(self.head, len(self.word)))
         full = np.diff(first_bag) > 0
         self.y, self.first_bag = labels[full].astype(np.float64), first_bag[:-1][full]
         self.many = np.diff(np.append(self.first_bag, len(self.head)))

@@ -15,6 +15,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Documents are handled in slices of about so many bytes.
 SLICE = 2 << 20
+HASHED = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,7 +80,7 @@ class _Powers:
     @classmethod
     def to(cls, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, 2 * len(cls.up))
+            size = 1 << (n - 1).bit_length()
             for name, base in (("up", BASE), ("down", U64(pow(int(BASE), -1, 1 << 64)))):
                 powers = np.full(size, base)
                 powers[0] = 1
@@ -104,11 +105,16 @@ def ranges(data: np.ndarray):
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, from all their bytes."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    low, high = int(starts.min()), int(ends.max())
-    return ranges(data[low:high])(starts - low, ends - low)
+    """64-bit hashes of the words, which are in their order, from all their bytes; about HASHED bytes at a time."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, low + HASHED)))
+        high = int(ends[j - 1])
+        out[i:j] = ranges(data[low:high])(starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
 
 
 def shingles(hashes: np.ndarray, word_offs: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

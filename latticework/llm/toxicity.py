@@ -45,8 +45,8 @@ def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     owner = np.searchsorted(head, char, "right") - 1
     last = np.searchsorted(char, head[1:])  # the words' ends among the characters
     char = np.append(char, total)
-    keys, owners = [tk.word_hashes(data, starts, ends)], [np.arange(n)]
     ranged = tk.ranges(text)
+    keys, owners = [ranged(head[:-1] + 1, head[1:] - 1)], [np.arange(n)]
     for k in GRAMS:
         at = np.flatnonzero(np.arange(len(owner)) + k <= last[owner])
         keys.append(ranged(char[at], char[at + k]))
@@ -154,7 +154,7 @@ class Model:
         t = Texts(data, offs, labels)
         if not len(t.word):
             return
-        seen_e, seen_w, seen_b = np.full(self.e.shape, 1e-20, np.float32), np.full(self.w.shape, 1e-8), np.full(2, 1e-8)
+        seen_e, seen_w, seen_b = np.full(self.e.shape, 1e-8, np.float32), np.full(self.w.shape, 1e-8), np.full(2, 1e-8)
         for epoch in range(EPOCHS):
             live, g_e, g_w, g_b = self.gradients(t, SHARP * SHARPER**epoch)
             for at in range(0, len(live), 4 * CHUNK):

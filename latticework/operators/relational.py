@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of ids that are ranked apart when ids become dense.
 RANGES = 4096
+#: Consecutive ids that are ranked together within a part.
+RUN = 10_000
 
 
 def dense_index(ids: DataFrame, column: str, name: str) -> DataFrame:
@@ -19,7 +21,7 @@ def dense_index(ids: DataFrame, column: str, name: str) -> DataFrame:
     """
     one = ids.select(F.col(column).cast("long").alias(column)).where(F.col(column).isNotNull()).distinct()
     ends = one.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    placed = one.crossJoin(F.broadcast(ends)).select(column, F.expr(f"cast(floor(({column} - lo) / ((hi - lo + 1) / {RANGES}D)) as int)").alias("r"))  # ends: one row
+    placed = one.crossJoin(F.broadcast(ends)).select(column, F.expr(f"cast(floor((cast({column} as double) - lo) / ((cast(hi as double) - lo + 1) / {RANGES}D)) as int)").alias("r"))  # ends: one row
     below = placed.groupBy("r").agg(F.count("*").alias("n"))  # at most RANGES rows
     below = below.select("r", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
     inside = F.row_number().over(Window.partitionBy("r").orderBy(column)) - 1
@@ -32,8 +34,16 @@ def reindex(rows: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def local_reindex(rows: DataFrame, part: str, column: str, name: str) -> DataFrame:
-    """Distinct (part, column) with the id's number within its part."""
-    return rows.select(part, column).distinct().withColumn(name, (F.row_number().over(Window.partitionBy(part).orderBy(column)) - 1).cast("long"))
+    """Distinct (part, column) with the id's number within its part. Rows with a null in either are dropped.
+
+    Runs of RUN ids that follow each other are ranked apart, so that no task sorts a whole part.
+    """
+    one = rows.select(part, column).where(F.col(part).isNotNull()).distinct()
+    placed = one.join(dense_index(one, column, "run"), column).withColumn("run", F.expr(f"run div {RUN}"))
+    below = placed.groupBy(part, "run").agg(F.count("*").alias("n"))
+    below = below.select(part, "run", F.coalesce(F.sum("n").over(Window.partitionBy(part).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
+    inside = F.row_number().over(Window.partitionBy(part, "run").orderBy(column)) - 1
+    return placed.join(below, [part, "run"]).select(part, column, (F.col("below") + inside).cast("long").alias(name))
 
 
 def drop_far(obs: DataFrame, pt: DataFrame, coordinates: Sequence[str], limit: float = 1e6) -> tuple[DataFrame, DataFrame]:
@@ -49,10 +59,10 @@ def gather(obs: DataFrame, cam: DataFrame, pt: DataFrame) -> DataFrame:
 
 
 def scatter(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """``old`` with the values of ``new`` where it has the key."""
-    renamed = new.select(key, *(F.col(c).alias(f"new_{c}") for c in columns))
+    """``old`` with the values of ``new``, nulls too, where it has the key."""
+    renamed = new.select(key, *(F.col(c).alias(f"new_{c}") for c in columns), F.lit(True).alias("in_new"))
     rest = [c for c in old.columns if c not in columns and c != key]
-    return old.join(renamed, key, "left").select(key, *rest, *(F.coalesce(f"new_{c}", c).alias(c) for c in columns))
+    return old.join(renamed, key, "left").select(key, *rest, *(F.when(F.col("in_new"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in columns))
 
 
 def range_parts(ids: DataFrame, column: str, parts: int) -> DataFrame:

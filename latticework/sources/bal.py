@@ -1,7 +1,7 @@
 """Bundle-adjustment text files (plain or bz2), raw parameter dumps, and Parquet checkpoints of problems.
 
 A text file has a line ``cameras landmarks observations``, a line ``cam pt x y`` for each observation, nine lines for each
-camera and three for each landmark. Lines are numbered in one pass over the file's splits and dealt by number.
+camera and three for each landmark. Lines are numbered from the counts of the file's splits and dealt by number.
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.operators.relational import dense_index
@@ -23,20 +22,32 @@ class Problem:
     pt: DataFrame
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, at: the lines of a text file, or of a folder's files by name, numbered from 0; no line goes through Python."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("m"))
+    splits = lines.groupBy("file", "start").agg(F.min("m").alias("first"), F.count("*").alias("n"))  # a row for each split
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(splits, ["file", "start"]).select("line", (F.col("before") + F.col("m") - F.col("first")).alias("at"))
+
+
 def read(spark: SparkSession, path: str, far: float | None = 1e6) -> Problem:
     """obs(res_id, cam_id, pt_id, x, y), cam(cam_id, p), pt(pt_id, q) of a text file.
 
     Landmarks with a squared norm beyond ``far`` go with their observations; the rest are numbered anew without gaps,
     as are landmarks no observation names. ``far=None`` keeps all and their numbers.
     """
-    head = spark.read.text(path).first()[0].split()
+    lines = numbered_lines(spark, path)
+    head = lines.where("at = 0").first().line.split()
     cameras, landmarks, n = map(int, head[:3])
-    lines = spark.sparkContext.textFile(path).zipWithIndex().toDF("line string, at long")
-    obs = lines.where((F.col("at") > 0) & (F.col("at") <= n)).select((F.col("at") - 1).alias("res_id"), F.split(F.trim("line"), r"\s+").alias("w"))
+    one = (F.col("at") > 0) & (F.col("at") <= n)
+    obs = lines.where(one).select((F.col("at") - 1).alias("res_id"), F.when(one, F.split(F.trim("line"), r"\s+")).alias("w"))  # other lines must not be parsed, wherever the filter is evaluated
     obs = obs.select("res_id", *(F.col("w")[i].cast(k).alias(c) for i, (c, k) in enumerate((("cam_id", "long"), ("pt_id", "long"), ("x", "double"), ("y", "double")))))
 
     def vectors(first: int, count: int, width: int, key: str, name: str) -> DataFrame:
-        rows = lines.where((F.col("at") >= first) & (F.col("at") < first + count * width)).select(F.floor((F.col("at") - first) / width).cast("long").alias(key), "at", F.trim("line").cast("double").alias("v"))
+        mine = (F.col("at") >= first) & (F.col("at") < first + count * width)
+        rows = lines.where(mine).select(F.floor((F.col("at") - first) / width).cast("long").alias(key), "at", F.when(mine, F.trim("line").cast("double")).alias("v"))
         packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("s"))
         return packed.select(key, F.transform("s", lambda e: e["v"]).alias(name))
 
@@ -81,15 +92,12 @@ def save_parts(obs_part: DataFrame, path: str) -> None:
     obs_part.write.mode("overwrite").partitionBy("part").parquet(path)
 
 
-def from_dump(spark: SparkSession, path: str, width: int, key: str, name: str) -> DataFrame:
-    """Rows of ``width`` doubles of a headerless file of float64, numbered by their place. A task reads the file, the driver does not."""
+def load_parts(spark: SparkSession, path: str) -> DataFrame:
+    """What ``save_parts`` wrote, each observation with its part again."""
+    return spark.read.parquet(path)
 
-    def numbers(batches):
-        for b in batches:
-            for raw in b.content:
-                values = np.frombuffer(raw, np.float64).reshape(-1, width)
-                for at in range(0, len(values), 10_000):
-                    part = values[at : at + 10_000]
-                    yield pd.DataFrame({key: np.arange(at, at + len(part)), name: list(part)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(numbers, f"{key} long, {name} array<double>")
+def from_dump(spark: SparkSession, path: str, width: int, key: str, name: str) -> DataFrame:
+    """Rows of ``width`` doubles of a headerless file of float64, numbered by their place. Tasks read splits of whole rows."""
+    rows = spark.sparkContext.binaryRecords(path, 8 * width).zipWithIndex()
+    return rows.map(lambda r: (r[1], np.frombuffer(r[0], np.float64).tolist())).toDF(f"{key} long, {name} array<double>")

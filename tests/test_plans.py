@@ -182,3 +182,21 @@ def test_duplicate_pairs_all_move(spark):
     rows = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 1, 0)], "cam_id long, pt_id long, part int")
     moves = spark.createDataFrame([(1, 1, 3)], "cam_id long, pt_id long, part int")
     assert sorted(r.part for r in relational.update_parts(rows, moves).collect()) == [0, 3, 3]
+
+
+def test_scatter_overwrites_with_nulls_too(spark):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (None, "c", 7)], "k long, o string, v int")
+    new = spark.createDataFrame([(2, None), (4, 1), (None, 8)], "k long, v int")
+    assert sorted(map(tuple, relational.scatter(old, new, "k", ["v"]).collect()), key=str) == [(1, "a", 5), (2, "b", None), (None, "c", 7)]
+
+
+def test_dense_numbers_of_far_ids_and_within_parts(spark, monkeypatch):
+    ids = [-(2**63), -5, 0, 1, 2, 2**62, 2**63 - 1]
+    got = relational.dense_index(spark.createDataFrame([(i,) for i in [*ids, 0, None]], "a long"), "a", "n").collect()
+    assert sorted((r.n, r.a) for r in got) == list(enumerate(ids))
+    monkeypatch.setattr(relational, "RUN", 7)
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 3)), int(rng.integers(0, 60)) ** 3) for _ in range(200)]
+    got = relational.local_reindex(spark.createDataFrame([*rows, (1, None), (None, 8)], "p int, a long"), "p", "a", "n").collect()
+    want = {(p, a): n for q in range(3) for n, (p, a) in enumerate(sorted({r for r in rows if r[0] == q}))}
+    assert {(r.p, r.a): r.n for r in got} == want and len(got) == len(want)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import decontaminate, line_dedup, lm_score, minhash, mixing, quality_model, quality_rules, secret_scan, span_dedup, toxicity
+from latticework.llm import decontaminate, line_dedup, lm_score, merkle, minhash, mixing, quality_model, quality_rules, secret_scan, span_dedup, token_file, toxicity, vector_codes
+from latticework.llm.shared import small, written
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -257,6 +259,93 @@ placed as (
     cast((passes + (2 * before + size <= 2 * rest)::int) * size as bigint) as taken from placed
 )"""
 
+A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root folded from it after some texts were tampered with.
+
+    A null doc_id is never tampered with; equal ids stand by leaf. Null and empty texts and repeated rows are leaves like others.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    hit = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 == 0
+    changed = F.when(hit, merkle.leaf(*(F.translate("text", A_Z, a_z) if c == "text" else F.col(c) for c in docs.columns)))
+    out = merkle.manifest(docs.withColumn("changed", changed), keep=["changed"])
+    folded = merkle.folded(F.coalesce("changed", "leaf"), F.col("path"), F.col("turns"))
+    out = out.select("doc_id", "leaf", "subroot", "root", F.sha2("path", 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql(height: int = 6) -> str:
+    """Trees of ``height`` levels at most; a tree that has come to one node stays as it is."""
+    leaf = " || ".join(f"coalesce(cast(strlen(cast({c} as varchar)) as varchar) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+    steps = []
+
+    def tree(t: str, key: str) -> None:
+        """CTEs of a forest {t}0(key, i, node, n): nodes {t}k and runs {t}r{k} of level k."""
+        for k in range(height):
+            steps.append(f"{t}r{k} as materialized (select {key}, i // 16 as run, n, list(node order by i) as nodes from {t}{k} group by {key}, i // 16, n)")
+            steps.append(f"{t}{k + 1} as materialized (select {key}, run as i, (n + 15) // 16 as n, case when n = 1 then nodes[1] else sha256(array_to_string(nodes, '')) end as node from {t}r{k})")
+
+    def climb(t: str, key: str, start: str) -> str:
+        """Folds ``fold`` and lengthens ``path`` of rows {start}(key, i, fold, path, ...) over the levels."""
+        at = start
+        for k in range(height):
+            run = f"(x.i // {16**k})"
+            place = f"({run} % 16)"
+            steps.append(
+                f"{t}c{k} as materialized (select x.* exclude (fold, path), case when r.n = 1 then fold else sha256(array_to_string(r.nodes[1:{place}], '') || fold || array_to_string(r.nodes[{place} + 2:], '')) end as fold, "
+                f"path || array_to_string(r.nodes[1:{place}], '') || array_to_string(r.nodes[{place} + 2:], '') as path from {at} x join {t}r{k} r on r.{key} = x.{key} and r.run = {run} // 16)")
+            at = f"{t}c{k}"
+        return at
+
+    steps.append(rf"""d as materialized (
+  select doc_id, coalesce('=' || source, '') as key, sha256({leaf.replace("{text}", "text")}) as leaf, case when crc % 5 = 0 then sha256({leaf.replace("{text}", f"translate(text, '{A_Z}', '{a_z}')")}) end as changed
+  from (select *, case when doc_id is not null then 4294967295 - list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast(doc_id as varchar), ''),
+    lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) end as crc from documents)
+), t0 as materialized (select *, row_number() over (partition by key order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by key) as n, leaf as node from d)""")
+    tree("t", "key")
+    steps.append(f"s0 as materialized (select 0 as one, key, node, row_number() over (order by encode(key)) - 1 as i, count(*) over () as n from t{height})")
+    tree("s", "one")
+    own = climb("t", "key", "(select *, coalesce(changed, leaf) as fold, '' as path from t0)")
+    steps.append(f"h as materialized (select 0 as one, x.doc_id, x.leaf, x.fold, x.path, s.node as subroot, s.i from {own} x join s0 s using (key))")
+    end = climb("s", "one", "h")
+    return "with " + ",\n".join(steps) + f"""
+select doc_id, leaf, subroot, z.node as root, sha256(path) as proof_sha256, fold as folded_root, fold = z.node as verified from {end}, (select node from s{height}) z"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all whole, finite embeddings, with their errors; equal ids in the first codebook stand by vector."""
+    found = vector_codes.compress(_table(spark, sf_dir, "embeddings"), keep=["label"])
+    by_label = written(found.rows.groupBy(F.col("label").alias("name")).agg(F.sum("error").alias("label_error")), "vector-labels")
+    out = found.rows.join(small(by_label, 100_000), F.col("label").eqNullSafe(F.col("name")))
+    return out.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def _vector_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    steps = [rf"""v as materialized (
+  select row_number() over (order by vec_id nulls last, embedding) - 1 as r, vec_id, label, embedding, len(embedding) // {parts} as width from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), x as materialized (select r, (k - 1) // width as p, (k - 1) % width as d, cast(floor(256 * cast(embedding[k] as double)) as bigint) as x from (select r, width, embedding, unnest(range(1, len(embedding) + 1)) as k from v)),
+b0 as materialized (select p, r as e, d, x as c from x where r < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"far{k} as (select r, p, e, cast(sum((x - c) * (x - c)) as bigint) as far from x join b{k} using (p, d) group by r, p, e)")
+        steps.append(f"a{k} as materialized (select r, p, min((far, e)) as best from far{k} group by r, p)")
+        if k < rounds:
+            steps.append(f"m{k} as (select p, best[2] as e, d, cast(sum(x) as bigint) as s, count(*) as n from x join a{k} using (r, p) group by p, best[2], d)")
+            steps.append(f"b{k + 1} as materialized (select p, e, d, coalesce((s - ((s % n) + n) % n) // n, c) as c from b{k} left join m{k} using (p, e, d))")
+    return "with " + ",\n".join(steps) + f"""
+, o as (select r, string_agg(lower(printf('%02x', cast(best[2] as integer))), '' order by p) as code, cast(sum(best[1]) as bigint) as error from a{rounds} group by r)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(cast(c as varchar), ',' order by p, e, d)) from b{rounds}) as codebooks_sha256 from v join o using (r)"""
+
+
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids begin in the files, how many there are, and their checksum, as read back from the files."""
+    files = token_file.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return files.rows().select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -269,6 +358,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_source_mixing": op10_source_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_ids": op13_token_ids,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": f"with recursive {line_dedup_sql('documents')} select * from deduped",
@@ -278,4 +370,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_secret_scan": OP6_SQL,
     "op8_decontamination": leak_sql("documents"),
     "op10_source_mixing": f"with {mix_sql('documents')} select doc_id, size, source_size, target, taken from mix",
+    "op11_merkle_manifest": _merkle_sql(),
+    "op12_vector_codes": _vector_sql(),
 }

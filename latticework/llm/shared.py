@@ -34,11 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if context.applicationId not in _own_dirs:
         _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="latticework-")
-        _at_exit(spark, _own_dirs[context.applicationId])
+        delete_at_exit(spark, _own_dirs[context.applicationId])
     return _own_dirs[context.applicationId]
 
 
-def _at_exit(spark: SparkSession, path: str) -> None:
+def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Has ``path`` deleted when the driver ends, if it is still there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -63,7 +63,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/latticework/{name}-{uuid.uuid4().hex}"
-    _at_exit(spark, path)
+    delete_at_exit(spark, path)
     with shuffles_dropped(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

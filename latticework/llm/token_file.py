@@ -9,6 +9,7 @@ four ids, the first in its lowest two bits; the data are the ranks' bytes withou
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -57,17 +58,40 @@ def unpacked(control: bytes, data: bytes, n: int) -> np.ndarray:
     return (raw[at] | raw[at + 1] << 8 | raw[at + 2] << 16 | raw[at + 3] << 24) & MASKS[LENGTHS[c].reshape(-1)[:n]]
 
 
+#: The normal form and the split of word-end BPE files for which ``WordIds`` may take words apart and join them.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: A stem that ends in a letter or digit, and marks behind it, which the split takes apart.
+TAIL = "^(?P<stem>.*[a-z0-9ß-öø-ÿ])(?P<tail>[.,;:!?*#$%&]+)$"
+#: Words that the normal form leaves as they are and the split leaves whole.
+WHOLE = "^[a-zß-öø-ÿ]+$"
+#: Words that are encoded together.
+JOINED = 200
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space, word by word: each distinct word is encoded once and remembered.
 
     Words end at U+0020 and U+0009 to U+000D. That gives the ids of whole texts for a tokenizer whose normal form and split
-    never reach over white space, as those of word-end BPE with white space dropped do.
+    never reach over white space, as those of word-end BPE with white space dropped do. Where the file has the normal form
+    and split above, fewer words are distinct: A-Z are lowered (not beside ``<``, where special tokens begin), marks behind
+    a word are a word, and words of letters alone are encoded many at a time, each ending at its first word-end id.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        kind = json.loads(self.tokenizer.to_str())
+        suffix = kind["model"].get("end_of_word_suffix")
+        split = (kind["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.parted = bool(suffix) and kind["normalizer"] == NORMAL and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": SPLIT}, "Removed", True)
+        if self.parted:
+            self.whole = Tokenizer.from_file(path)
+            self.whole.normalizer = normalizers.Sequence([])
+            self.whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -75,31 +99,68 @@ class WordIds:
         self.first, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         self.flat = np.zeros(1 << 16, np.uint32)
 
-    def learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        while self.used + size.sum() > len(self.flat):
+    def found(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat[self.used : self.used + size.sum()] = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
-        self.used += int(size.sum())
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
         self.slots.update(zip(words, range(len(self.slots), len(self.slots) + len(words))))
 
+    def learn(self, words: list[str]) -> None:
+        """Each by itself."""
+        for a in range(0, len(words), 10_000):
+            got = self.tokenizer.encode_batch_fast(words[a : a + 10_000], add_special_tokens=False)
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            self.found(words[a : a + 10_000], np.fromiter((i for e in got for i in e.ids), np.uint32, int(size.sum())), size)
+
+    def learn_whole(self, words: list[str]) -> None:
+        """Words of letters alone, many at a time."""
+        for a in range(0, len(words), 100 * JOINED):
+            some = words[a : a + 100 * JOINED]
+            got = self.whole.encode_batch_fast([" ".join(some[k : k + JOINED]) for k in range(0, len(some), JOINED)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                self.found(some, ids, np.diff(ends, prepend=0))
+            else:
+                self.learn(some)
+
+    def slots_of(self, words: pa.Array) -> np.ndarray:
+        """Where distinct or repeated words are kept, after the new ones are learned."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        get = self.slots.get
+        slot = np.fromiter((get(w, -1) for w in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            new = [distinct[k] for k in missing]
+            if self.parted:
+                whole = pc.match_substring_regex(pa.array(new), WHOLE).to_numpy(zero_copy_only=False)
+                self.learn_whole([new[k] for k in np.flatnonzero(whole)])
+                self.learn([new[k] for k in np.flatnonzero(~whole)])
+            else:
+                self.learn(new)
+            slot[missing] = np.fromiter((get(w) for w in new), np.int64, len(new))
+        return slot[coded.indices.to_numpy()]
+
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, and how many each has."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
         if len(self.slots) > REMEMBERED:
             self.forget()
-        if new := [w for w in words if w not in self.slots]:
-            self.learn(new)
-        slot = np.fromiter((self.slots[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()]
+        words, pieces = coded.dictionary, []
+        if self.parted:
+            words = pc.if_else(pc.match_substring(words, "<"), words, pc.ascii_lower(words))
+            both = pc.extract_regex(words, TAIL)
+            words, pieces = pc.if_else(both.is_valid(), pc.struct_field(both, "stem"), words), [pc.if_else(both.is_valid(), pc.struct_field(both, "tail"), "")]
+        slot = np.stack([self.slots_of(x) for x in (words, *pieces)], 1)[coded.indices.to_numpy()].reshape(-1)
         size = self.size[slot]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.first[slot] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        edge = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        edge = np.concatenate([[0], ends])[(1 + len(pieces)) * (split.offsets.to_numpy() - split.offsets[0].as_py())]
         return ids, np.diff(edge)
 
 
@@ -113,16 +174,22 @@ def encoder(path: str) -> WordIds:
     return _held[path]
 
 
+def width(path: str, end: int) -> str:
+    """The kind of integer that holds every id of a tokenizer and ``end``."""
+    return "<u2" if max(encoder(path).tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, path: str, end: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, ids): each text's ids and ``end``, as little-endian unsigned 32-bit integers. Null texts count as empty."""
+    """(id, ids): each text's ids and ``end``, as integers of ``width``. Null texts count as empty."""
+    kind = width(path, end)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         for b in batches:
             ids, size = words.encode(b["t"])
             edge = np.cumsum(size)
-            ids = np.insert(ids, edge, np.uint32(end)).astype("<u4")  # an end behind each text
-            ends = pa.array(np.concatenate([[0], 4 * (edge + 1 + np.arange(len(edge)))]), pa.int64())
+            ids = np.insert(ids.astype(kind), edge, end)  # an end behind each text
+            ends = pa.array(np.concatenate([[0], ids.itemsize * (edge + 1 + np.arange(len(edge)))]), pa.int64())
             raw = pa.Array.from_buffers(pa.large_binary(), len(b), [None, ends.buffers()[1], pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays([b["id"], raw.cast(pa.binary())], ["id", "ids"])
 
@@ -130,27 +197,32 @@ def encoded(docs: DataFrame, path: str, end: int, id: str = "doc_id", text: str
     return mapped(rows, go, "id long, ids binary")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(kind: str):
     """(token, n) of a task."""
-    n = np.zeros(0, np.int64)
-    for b in batches:
-        ids = np.frombuffer(b"".join(b["ids"].to_pylist()), "<u4")
-        now = np.bincount(ids, minlength=len(n))
-        now[: len(n)] += n
-        n = now
-    found = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n[found], pa.int64())], ["token", "n"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(0, np.int64)
+        for b in batches:
+            ids = np.frombuffer(b"".join(b["ids"].to_pylist()), kind)
+            now = np.bincount(ids, minlength=len(n))
+            now[: len(n)] += n
+            n = now
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n[found], pa.int64())], ["token", "n"])
+
+    return go
 
 
-def _segments(rank_of: np.ndarray):
+def _segments(rank_of: np.ndarray, kind: str):
     """Rows (id, ids) in their order as segments."""
+    each = np.dtype(kind).itemsize
 
     def block(ids: list, raw: list[bytes]) -> bytes:
-        values = np.frombuffer(b"".join(raw), "<u4")
+        values = np.frombuffer(b"".join(raw), kind)
         control, data = packed(rank_of[values])
         there = np.array([i is not None for i in ids], np.uint8)
         numbers = np.array([0 if i is None else i for i in ids], "<i8")
-        sizes = np.array([len(r) // 4 for r in raw], "<u4")
+        sizes = np.array([len(r) // each for r in raw], "<u4")
         return struct.pack(HEAD, MAGIC, len(ids), len(values)) + numbers.tobytes() + there.tobytes() + sizes.tobytes() + control + data
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +234,12 @@ def _segments(rank_of: np.ndarray):
 
         for b in batches:
             for i, r in zip(b["id"].to_pylist(), b["ids"].to_pylist(), strict=True):
-                if raw and held + len(r) // 4 > SEGMENT:
+                if raw and held + len(r) // each > SEGMENT:
                     yield row()
                     done, ids, raw, held = done + held, [], [], 0
                 ids.append(i)
                 raw.append(r)
-                held += len(r) // 4
+                held += len(r) // each
         if raw:
             yield row()
 
@@ -229,7 +301,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end: int = 1, i
     not read; an empty table gives empty tables. Ids are counted first, then sorted by range, so that no task holds more
     than its share, and written in segments.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, width(path, end)
     if folder is None:
         folder = f"{shared_dir(spark)}/latticework/tokens-{uuid.uuid4().hex}"
         delete_at_exit(spark, folder)
@@ -241,7 +313,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end: int = 1, i
 
     rows = written(encoded(docs, path, end, id, text).select("*", F.xxhash64("ids").alias("mark"), F.monotonically_increasing_id().alias("tie")), "token-ids")
     with shuffles_dropped(spark):
-        counts = mapped(rows.select("ids"), _counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary
+        counts = mapped(rows.select("ids"), _counted(kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary
     counts = counts.sort_values(["n", "token"], ascending=[False, True])
     order = counts["token"].to_numpy(np.int64)
     rank_of = np.zeros(int(order.max()) + 1 if len(order) else 0, np.uint32)

@@ -321,7 +321,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end: int = 1, i
     ranks = put(spark.createDataFrame([(k, int(t)) for k, t in enumerate(order)], "rank long, id long"), "ranks")
     keys = [F.col("id").asc_nulls_first(), "mark", "tie"]
     placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "ids")
-    segments = put(mapped(placed, _segments(rank_of), "shard long, first long, ids long, docs long, block binary"), "segments")
+    segments = put(mapped(placed, _segments(rank_of, kind), "shard long, first long, ids long, docs long, block binary"), "segments")
     discarded(rows)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task that wrote
     shards = segments.groupBy("shard").agg(F.sum("ids").alias("ids")).select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))

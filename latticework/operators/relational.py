@@ -13,6 +13,14 @@ RANGES = 4096
 RUN = 10_000
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, so that Spark shuffles it.
+
+    It is counted here, so ``df`` should be a checkpoint, a table, or a cheap view of one.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def dense_index(ids: DataFrame, column: str, name: str) -> DataFrame:
     """(column, name): the distinct integer ids numbered 0, 1, ... in their order.
 

@@ -25,12 +25,28 @@ def test_cost_matches_dense(spark, problem):
 
 def test_lm_fit_reaches_dense_cost(spark, problem):
     (obs, cam, pt), best, before = problem
-    fit = bundle.lm_fit(obs, cam, pt, 12, groups=3)
+    fit = bundle.lm_fit(obs, cam, pt, 3, groups=3, its=10)
     assert fit.costs[0] == pytest.approx(before, rel=1e-9)
     assert all(b <= a * (1 + 1e-12) for a, b in zip(fit.costs, fit.costs[1:]))
     assert fit.costs[-1] < best * 1.05
 
 
+def test_badly_scaled_cameras_need_the_scale(spark):
+    """Where derivatives differ by 1e11, a plain inverse takes the smallest for nothing and leaves that parameter as it is."""
+    from latticework.plans import reduced
+
+    cam, pt, ci, pi, xy = scene(3, 40, 3, 0.2, 5)
+    cam[:, 6] *= 1e9
+    obs, c, p = tables(spark, cam, pt, ci, pi, xy * 1e9)
+    rows, split = reduced.chunked(obs)
+    for scaled in (True, False):
+        system = reduced.Reduced.of(rows.join(c, "cam_id").join(p, "pt_id"), split, 0.1, scaled)
+        for r in system.cams.collect():
+            focal = (np.reshape(r.m, (9, 9)) @ np.reshape(r.u, (9, 9)))[6, 6]
+            assert focal > 0.5 if scaled else abs(focal) < 1e-3
+        system.released()
+
+
 @pytest.mark.parametrize("by", ["cam_id", "pt_id"])
 def test_consensus_lowers_cost(spark, problem, by):
     (obs, cam, pt), best, before = problem
@@ -47,22 +63,45 @@ def test_consensus_comes_near_the_whole_fit(spark, problem, memory):
     assert bundle.cost(obs, fit.cam, fit.pt).first().cost == pytest.approx(min(fit.costs), rel=1e-9)
 
 
-def test_reduced_pairs_match_the_dense_system():
+@pytest.mark.parametrize(("chunk", "sent", "scaled"), [(10_000, 100_000, True), (2, 0, False)])
+def test_products_and_steps_match_the_dense_system(spark, monkeypatch, chunk, sent, scaled):
+    """Landmarks in chunks, cameras too many to send, with and without a scale: the same as the matrix."""
     from latticework.functions import kernels as k
-
-    cam, pt, ci, pi, xy = scene(5, 40, 3, 0.5)
+    from latticework.plans import reduced
+
+    monkeypatch.setattr(reduced, "CHUNK", chunk)
+    monkeypatch.setattr(reduced, "MOST_SENT", sent)
+    cam, pt, ci, pi, xy = scene(3, 40, 3, 0.5)
+    ci, pi, xy = np.append(ci, ci[0]), np.append(pi, pi[0]), np.concatenate([xy, xy[:1] + 1])  # a pair that is seen twice
+    obs, c, p = tables(spark, cam, pt, ci, pi, xy)
+    rows, split = reduced.chunked(obs)
+    assert split == (chunk == 2)
+    system = reduced.Reduced.of(rows.join(c, "cam_id").join(p, "pt_id"), split, 0.1, scaled)
     r, jc, jl = k.residuals(cam[ci], pt[pi], xy, True)
-    n = k.Normal.of(r, jc, jl, ci, pi, 5, 40)
-    vi = k.block_inverse(n.v)
-    want = n.schur(vi, np.zeros_like(n.u)).reshape(5, 9, 5, 9)
-    for rows in (7, 50_000):
-        bundle.PAIR_ROWS, keep = rows, bundle.PAIR_ROWS
-        pairs, sums = bundle.reduced_pairs(jc, jl, vi, ci, pi, 5)
-        bundle.PAIR_ROWS = keep
-        got = np.zeros((5, 9, 5, 9))
-        for key, m in zip(pairs.tolist(), sums, strict=True):
-            got[key // 5, :, key % 5] += m
-        assert np.allclose(got, want, rtol=1e-8, atol=1e-6 * np.abs(want).max())
+    n = k.Normal.of(r, jc, jl, ci, pi, 3, 40)
+    u, v = n.u + 0.1 * n.u * np.eye(9), n.v + 0.1 * n.v * np.eye(3) + 1e-9 * k.block_largest(n.v)
+    vi = k.block_inverse(v)
+    dense = n.schur(vi, u)
+    x = np.random.default_rng(0).normal(size=(3, 9))
+    got = {r.cam_id: np.array(r.q) for r in system.product(spark.createDataFrame([(i, x[i].tolist()) for i in range(3)], "cam_id long, x array<double>")).collect()}
+    want = (dense @ x.ravel()).reshape(3, 9)
+    assert np.allclose(np.stack([got[i] for i in range(3)]), want, rtol=1e-7, atol=1e-9 * np.abs(want).max())
+    if not scaled:
+        return
+    dp, dq, slope, bend = system.steps(system.solve(40, 1e-9))
+    step = np.linalg.solve(dense, -(n.bp - n.w_times(np.einsum("pij,pj->pi", vi, n.bl))).ravel()).reshape(3, 9)
+    found = {r.cam_id: r.dp for r in dp.collect()}
+    assert np.allclose([found[i] for i in range(3)], step, rtol=1e-4, atol=1e-6 * np.abs(step).max())
+    back = -np.einsum("pij,pj->pi", vi, n.bl + n.wt_times(step))
+    land = {r.pt_id: r.dq for r in dq.collect()}
+    assert np.allclose([land[i] for i in range(40)], back, rtol=1e-4, atol=1e-6)
+    model = r + np.einsum("nki,ni->nk", jc, step[ci]) + np.einsum("nki,ni->nk", jl, back[pi])
+    assert system.cost + slope + bend == pytest.approx((model * model).sum(), rel=1e-5)
+    moved = rows.join(c, "cam_id").join(p, "pt_id").join(dp, "cam_id").join(dq, "pt_id")
+    at = reduced.costs_along(moved, (0.0, 0.5, 1.0))
+    for a, cost in zip((0.0, 0.5, 1.0), at):
+        assert cost == pytest.approx(np.square(k.residuals(cam[ci] + a * step[ci], pt[pi] + a * back[pi], xy)).sum(), rel=1e-5)
+    system.released()
 
 
 def test_extrapolation_of_rows(spark):

@@ -6,6 +6,7 @@ PARTS contiguous ranges of them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -556,6 +557,31 @@ def coupling_blocks(spark, d):
 
 # --- consensus, extrapolation, components: over the copies of landmarks in parts
 
+#: A step from the ids alone: of each camera parameter, and of each coordinate of a landmark.
+_STEP_C = {c: f"((cam_id * {k + 3}) % 5 - 2) * {'1e-4' if k < 6 else '1e-1' if k == 6 else '1e-6'}" for k, c in enumerate(g.CAMERA)}
+_STEP_L = {c: f"((pt_id * {k + 2}) % 7 - 3) * 1e-4" for k, c in enumerate(g.POINT)}
+_MODEL = {a: f"r{a}" + "".join(f" + j{a}_{k} * {s}" for k, s in enumerate(_STEP_C.values())) + "".join(f" + l{a}_{k} * {s}" for k, s in enumerate(_STEP_L.values())) for a in "xy"}
+_RATIO = "(b.before - a.after) / (b.before - b.model)"
+_RATIO_SQL = re.sub(r"\be(\d?)\b", r"z\1", _GEO.replace("join cam using", "join cam2 using").replace("join pt using", "join pt2 using"))
+
+
+@query(f"""{_BLOCKS}, cam2 as (select cam_id, {', '.join(f'{c} + {e} as {c}' for c, e in _STEP_C.items())} from cam), pt2 as (select pt_id, {', '.join(f'{c} + {e} as {c}' for c, e in _STEP_L.items())} from pt){_RATIO_SQL},
+b as (select part, sum(rx * rx + ry * ry) as before, sum(({_MODEL['x']}) * ({_MODEL['x']}) + ({_MODEL['y']}) * ({_MODEL['y']})) as model from j join cp using (cam_id) group by part),
+a as (select part, sum(rx * rx + ry * ry) as after from z3 join cp using (cam_id) group by part)
+select part, round(b.before / 1e6, 3) as before, round(b.model / 1e6, 3) as model, round(a.after / 1e6, 3) as after, round({_RATIO}, 3) as ratio from b join a using (part)""")
+def trust_region(spark, d):
+    """(part, before, model, after, ratio): squared residuals of each part, those that residuals plus derivatives times a step promise, and the real ones after it."""
+    parts = camera_parts(spark, d)
+    rows = differentiated(spark, d).selectExpr("cam_id", "rx * rx + ry * ry as b", *(f"{e} as m{a}" for a, e in _MODEL.items()))
+    before = rows.join(parts, "cam_id").groupBy("part").agg(F.sum("b").alias("before"), F.expr("sum(mx * mx + my * my)").alias("model"))
+    obs = t.observations(spark, d)
+    cam = t.cameras(obs).selectExpr("cam_id", *(f"{c} + {e} as {c}" for c, e in _STEP_C.items()))
+    pt = t.points(obs).selectExpr("pt_id", *(f"{c} + {e} as {c}" for c, e in _STEP_L.items()))
+    after = projected(relational.gather(obs, cam, pt)).join(parts, "cam_id").groupBy("part").agg(F.expr("sum(rx * rx + ry * ry)").alias("after"))
+    out = before.alias("b").join(after.alias("a"), "part").selectExpr("part", "b.before / 1e6 as before", "b.model / 1e6 as model", "a.after / 1e6 as after", f"{_RATIO} as ratio")
+    return rounded(out, 3, "before", "model", "after", "ratio")
+
+
 _DUP = "part, pt_id, x0 + part * 1e-2 as u0, x1 - part * 2e-2 as u1, x2 + part * 3e-2 as u2, 1 + part * 5e-1 as l, x0 + part * 2e-2 as s0, x1 as s1, x2 - part * 1e-2 as s2"
 _DUPS = f", dup as (select {_DUP} from (select distinct part, pt_id from op) join pt using (pt_id))"
 

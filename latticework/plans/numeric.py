@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from latticework.functions import geometry as g
 from latticework.functions import kernels
 from latticework.operators import graph, relational
-from latticework.plans import bundle, catalogue, partition, pose
+from latticework.plans import bundle, catalogue, merging, pose
 from latticework.session import ship
 from latticework.sources import tables as t
 
@@ -54,20 +54,15 @@ def palm_fit(spark, d):
 
 
 def partition_cameras(spark, d):
-    return partition.partition_cameras(t.pairs(spark, d), catalogue.PARTS)
+    """(cam_id, part) by rounds of mutual best merges."""
+    return merging.merged_cameras(t.pairs(spark, d), catalogue.PARTS)
 
 
 def recluster(spark, d):
-    """(pt_id, part) after moves that relieve parts of cameras with few landmarks; counts by landmark and camera are collected.
-
-    The limit fits the order graph, as that of ``weak_cameras`` does. The graph is dense, so that relief can empty whole parts.
-    """
+    """(pt_id, part) after moves that relieve parts of cameras with few landmarks; the limit fits the order graph, as that of ``weak_cameras`` does."""
     placed = catalogue.observed_parts(spark, d)
-    owner = {r.pt_id: r.part for r in graph.complete_landmarks(placed).collect()}
-    counts: dict[int, dict[int, int]] = {}
-    for r in placed.groupBy("pt_id", "cam_id").agg(F.count("*").alias("n")).collect():
-        counts.setdefault(r.pt_id, {})[r.cam_id] = r.n
-    return spark.createDataFrame(sorted(partition.recluster(counts, owner, most=100).items()), "pt_id long, part int")
+    counts = placed.groupBy("pt_id", "cam_id").agg(F.count("*").alias("n"))
+    return merging.relieved(counts, graph.complete_landmarks(placed), most=100, rounds=3)[0]
 
 
 def pose_monte_carlo(spark, d):

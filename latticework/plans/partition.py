@@ -1,7 +1,7 @@
-"""Partitioning cameras by greedy agglomeration, completing landmarks in order, and moving landmarks between parts.
+"""Roots of a graph, and the sequential forms of partitioning: greedy agglomeration, completion in order, single moves.
 
-The greedy steps are sequential by nature. They run on the driver over aggregates of the graph (cameras, edges,
-landmark sets of cameras), never over observations; MAX_EDGES refuses a graph that would not fit.
+The sequential forms take plain dictionaries and serve small graphs and as a measure for the forms over tables
+(``merging``, ``operators.graph``), which the queries run.
 """
 
 from __future__ import annotations
@@ -15,10 +15,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators.graph import covisible
-
-MAX_EDGES = 5_000_000
-
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder of ``spark.checkpoint.dir``; where that is unset a local one serves if the executors are the driver's threads."""
@@ -192,17 +188,6 @@ def agglomerate(
     return {c: p for p, root in enumerate(order) for c in member[root]}
 
 
-def partition_cameras(pairs: DataFrame, parts: int, most_volume: float = 4.0) -> DataFrame:
-    """(cam_id, part) by ``agglomerate``. ``pairs``: distinct (cam_id, pt_id)."""
-    edges = covisible(pairs).limit(MAX_EDGES + 1).toPandas()
-    if len(edges) > MAX_EDGES:
-        raise ValueError(f"more than {MAX_EDGES} covisibility edges: merge cameras before partitioning")
-    rows = pairs.groupBy("cam_id").agg(F.sort_array(F.collect_list("pt_id")).alias("seen")).toPandas()
-    seen = {int(c): np.asarray(v, np.int64) for c, v in zip(rows.cam_id, rows.seen, strict=True)}
-    found = agglomerate(sorted(zip(edges.src.tolist(), edges.dst.tolist(), edges.w.tolist(), strict=True)), seen, parts, most_volume)
-    return pairs.sparkSession.createDataFrame(sorted(found.items()), "cam_id long, part int")
-
-
 def complete_in_order(counts: dict[int, dict[int, int]], loads: dict[int, int]) -> dict[int, int]:
     """Landmark -> part, the sequential form: in ascending id to the part that misses fewest observations, ties by load.
 

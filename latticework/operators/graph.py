@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators.relational import best_of
+from latticework.operators.relational import best_of, bounded
+from latticework.session import kept
+
+
+#: Cameras of a landmark beyond which its pairs are made in several tasks, for blocks of so many cameras each.
+BLOCK = 2_000
 
 
 def covisible(pairs: DataFrame) -> DataFrame:
-    """(src, dst, w): cameras src < dst that share w landmarks. ``pairs``: distinct (cam_id, pt_id)."""
-    a, b = pairs.select("pt_id", F.col("cam_id").alias("src")), pairs.select("pt_id", F.col("cam_id").alias("dst"))
-    return a.join(b, "pt_id").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
+    """(src, dst, w): cameras src < dst that share w landmarks. ``pairs``: distinct (cam_id, pt_id).
+
+    A landmark of more than BLOCK cameras has them in blocks by hash, and every two blocks meet under a key of their own: the
+    pairs of 10^5 cameras spread over 2,500 keys.
+    """
+    a, b, key = pairs.select("pt_id", F.col("cam_id").alias("src")), pairs.select("pt_id", F.col("cam_id").alias("dst")), ["pt_id"]
+    hot = kept(pairs.groupBy("pt_id").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    if not hot.isEmpty():
+        blocks = bounded(hot.select("pt_id", F.expr(f"(n - 1) div {BLOCK} + 1").alias("m")), 100_000)
+        key = ["pt_id", "i", "j"]
+
+        def dealt(rows: DataFrame, cam: str, own: str, other: str) -> DataFrame:
+            m = F.coalesce("m", F.lit(1).cast("long"))
+            return rows.join(blocks, "pt_id", "left").select("pt_id", cam, F.pmod(F.xxhash64(cam), m).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), m - 1)).alias(other))
+
+        a, b = dealt(a, "src", "i", "j"), dealt(b, "dst", "j", "i")
+    return a.join(b, key).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

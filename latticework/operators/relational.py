@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.session import kept
+
 #: Ranges of ids that are ranked apart when ids become dense.
 RANGES = 4096
 #: Consecutive ids that are ranked together within a part.
@@ -54,6 +56,21 @@ def local_reindex(rows: DataFrame, part: str, column: str, name: str) -> DataFra
     return placed.join(below, [part, "run"]).select(part, column, (F.col("below") + inside).cast("long").alias(name))
 
 
+def places_within(rows: DataFrame, part: str, order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with their number, from 1, within their part in the order of ``order``, nulls first; equal rows in any order.
+
+    One sort by range over all parts; what a task has of each part is counted and added up over tasks, so no task sorts or
+    holds a part, however large. A null part is a part.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (part, *order)]
+    at = kept(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    runs = at.groupBy(F.col(part).alias("own"), F.shiftright("at", 33).alias("task")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("own").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))  # a row for each task that has some of the part
+    runs = kept(runs.select("own", "task", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift")))
+    placed = at.withColumn("task", F.shiftright("at", 33)).join(bounded(runs, RUN).withColumnRenamed("task", "run"), (F.col("task") == F.col("run")) & F.col(part).eqNullSafe(F.col("own")))
+    return placed.withColumn(name, F.col("at") + F.col("shift")).drop("at", "task", "run", "own", "shift")
+
+
 def drop_far(obs: DataFrame, pt: DataFrame, coordinates: Sequence[str], limit: float = 1e6) -> tuple[DataFrame, DataFrame]:
     """Landmarks with a squared norm up to ``limit``, and the observations of landmarks that are not beyond it."""
     norm = sum((F.col(c) * F.col(c) for c in coordinates[1:]), F.col(coordinates[0]) * F.col(coordinates[0]))

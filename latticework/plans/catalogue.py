@@ -325,10 +325,8 @@ def residual_move(spark, d):
 
 @query("select part, cam_id, pt_id, row_number() over (partition by part order by cam_id, pt_id) as place from (select distinct part, cam_id, pt_id from op)")
 def sorted_residuals(spark, d):
-    from pyspark.sql import Window
-
     one = observed_parts(spark, d).distinct()
-    return one.select("part", "cam_id", "pt_id", F.row_number().over(Window.partitionBy("part").orderBy("cam_id", "pt_id")).cast("long").alias("place"))
+    return relational.places_within(one, "part", ["cam_id", "pt_id"], "place").select("part", "cam_id", "pt_id", "place")
 
 
 @query("select cam_id, pt_id, cast(cam_id * 9 + j as bigint) as col from pr, (select unnest(range(9)) as j) union all select cam_id, pt_id, cast(9 * (select count(*) from cam) + pt_id * 3 + j as bigint) from pr, (select unnest(range(3)) as j)")

@@ -8,23 +8,13 @@ from __future__ import annotations
 
 import heapq
 import math
-import tempfile
 from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder of ``spark.checkpoint.dir``; where that is unset a local one serves if the executors are the driver's threads."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="latticework-"))
-    return df.checkpoint()
+from latticework.session import kept
 
 
 def roots(edges: DataFrame) -> DataFrame:

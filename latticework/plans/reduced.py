@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.kernels import block_inverse, block_largest, residuals
 from latticework.operators.relational import bounded
-from latticework.plans.partition import kept
-from latticework.session import ship
+from latticework.session import kept, ship
 
 #: Observations of a landmark beyond which they are worked in several chunks.
 CHUNK = 10_000

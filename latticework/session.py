@@ -1,4 +1,4 @@
-"""What a Spark session needs before Python functions of this package run on its executors."""
+"""What a Spark session needs before Python functions of this package run on its executors, and where lineage is cut."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -23,3 +23,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder of ``spark.checkpoint.dir``; where that is unset a local one serves if the executors are the driver's threads."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="latticework-"))
+    return df.checkpoint()

@@ -295,3 +295,31 @@ def test_moves_gain_and_empty_no_part(spark):
             assert real >= sum(gains) - 1e-9 and after != before
         assert sum(gains) >= gained
         gained = sum(gains)
+
+
+def test_pairs_of_a_hot_landmark_spread(spark, monkeypatch):
+    """One landmark seen by very many cameras: the same pairs, made under many keys."""
+    monkeypatch.setattr(graph, "BLOCK", 50)
+    seen = {1: range(400), 2: range(390, 410), 3: (5, 7), 4: (9,)}
+    edges = graph.covisible(spark.createDataFrame([(c, p) for p, cs in seen.items() for c in cs], "cam_id long, pt_id long"))
+    want = {}
+    for cs in seen.values():
+        for x in cs:
+            for y in cs:
+                if x < y:
+                    want[x, y] = want.get((x, y), 0) + 1
+    assert {(r.src, r.dst): r.w for r in edges.collect()} == want
+    assert edges.count() == len(want)
+
+
+def test_places_within_parts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 50 == 0 else int(k % 3 == 0), int(rng.integers(0, 40)), int(rng.integers(0, 9))) for k in range(900)]
+    frame = spark.createDataFrame(rows, "part int, a long, b long").repartition(5)
+    got = {}
+    for r in relational.places_within(frame, "part", ["a", "b"], "place").collect():
+        got.setdefault(r.part, []).append((r.place, r.a, r.b))
+    for part, found in got.items():
+        mine = sorted((a, b) for p, a, b in rows if p == part)
+        assert [(a, b) for _, a, b in sorted(found)] == mine and sorted(x for x, *_ in found) == list(range(1, len(mine) + 1))
+    assert len(got) == 3 and relational.places_within(frame.limit(0), "part", ["a"], "place").count() == 0

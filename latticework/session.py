@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,12 +26,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder of ``spark.checkpoint.dir``; where that is unset a local one serves if the executors are the driver's threads."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="latticework-"))
-    return df.checkpoint()
+    """``df`` written as Parquet in the shared folder of ``spark.checkpoint.dir`` and read back; lineage and plan end there.
+
+    Where that is unset a local folder serves if the executors are the driver's threads. Tables go when the driver ends. Unlike
+    a checkpoint a table brings no inferred constraints along, which would make plans of long loops ever slower.
+    """
+    spark = df.sparkSession
+    sc, shared = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not shared and sc.applicationId not in _own_dirs:
+        _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="latticework-")
+    path = f"{(shared or _own_dirs[sc.applicationId]).rstrip('/')}/latticework/kept-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from latticework.functions import geometry as g
 from latticework.functions import kernels
 from latticework.operators import graph, relational
-from latticework.plans import bundle, catalogue, merging, pose
+from latticework.plans import bundle, catalogue, merging, partition, pose
 from latticework.session import ship
 from latticework.sources import tables as t
 
@@ -54,8 +54,7 @@ def palm_fit(spark, d):
 
 
 def partition_cameras(spark, d):
-    """(cam_id, part) by rounds of mutual best merges."""
-    return merging.merged_cameras(t.pairs(spark, d), catalogue.PARTS)
+    return partition.partition_cameras(t.pairs(spark, d), catalogue.PARTS)
 
 
 def recluster(spark, d):

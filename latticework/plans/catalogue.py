@@ -148,6 +148,27 @@ def additional_observations(spark, d):
     return graph.borrowed(placed, graph.complete_landmarks(placed))
 
 
+@query("""select o.cam_id, o.pt_id, o.x, o.y, o.part, o.fc, o.fl from (
+  select cam_id, pt_id, x, y, cp.part, true as fc, own.part = cp.part as fl from obs join cp using (cam_id) join own using (pt_id)
+  union all
+  select cam_id, pt_id, x, y, own.part, false, true from obs join cp using (cam_id) join own using (pt_id) where own.part <> cp.part
+) o""")
+def residual_sets(spark, d):
+    """Each part's own residuals, and those that it borrows for its landmarks with the camera frozen."""
+    from latticework.plans.alternation import residual_sets as sets
+
+    owner = graph.complete_landmarks(observed_parts(spark, d)).select("pt_id", "part")
+    return sets(t.observations(spark, d), camera_parts(spark, d), owner)
+
+
+@query("select least(cp.part, own.part) as a, greatest(cp.part, own.part) as b, count(*) as n from obs join cp using (cam_id) join own using (pt_id) where cp.part <> own.part group by 1, 2")
+def part_conflicts(spark, d):
+    from latticework.plans.alternation import part_conflicts as conflicts
+
+    owner = graph.complete_landmarks(observed_parts(spark, d)).select("pt_id", "part")
+    return conflicts(t.observations(spark, d), camera_parts(spark, d), owner)
+
+
 @query("select part, count(*) filter (parts > 1) as covered, count(*) as owned from own join oc using (pt_id) group by 1")
 def covered_landmarks(spark, d):
     return graph.complete_landmarks(observed_parts(spark, d)).groupBy("part").agg(F.count_if("shared").alias("covered"), F.count("*").alias("owned"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from latticework.functions import geometry as g
 from latticework.functions import kernels
 from latticework.operators import graph, relational
-from latticework.plans import bundle, catalogue, merging, partition, pose
+from latticework.plans import alternation, bundle, catalogue, merging, partition, pose, quasi
 from latticework.session import ship
 from latticework.sources import tables as t
 
@@ -53,6 +53,24 @@ def palm_fit(spark, d):
     return bundle.palm_fit(obs, cam, pt, *_owners(obs), rounds=2).history()
 
 
+def ordered_palm_fit(spark, d):
+    """(step, cost) of one sweep over the colours of the parts."""
+    obs, cam, pt = planted(spark, d)
+    return alternation.ordered_palm(obs, cam, pt, *_owners(obs), sweeps=1, its=3).history()
+
+
+def lbfgs_fit(spark, d):
+    """(step, cost) of four steps from gradients alone."""
+    return quasi.lbfgs_fit(*planted(spark, d), steps=4, memory=3).history()
+
+
+def part_colours(spark, d):
+    """(part, colour) of parts that own cameras and landmarks, those in conflict apart."""
+    obs = t.observations(spark, d)
+    cams, pts = _owners(obs)
+    return alternation.part_colours(alternation.part_conflicts(obs, cams, pts), cams.select("part").distinct())
+
+
 def partition_cameras(spark, d):
     return partition.partition_cameras(t.pairs(spark, d), catalogue.PARTS)
 
@@ -121,4 +139,4 @@ def inner_solvers(spark, d):
     return rows.groupBy("part").applyInPandas(go, "part int, solver string, gap double")
 
 
-QUERIES = {f.__name__: f for f in (lm_step, lm_fit, drs_fit, drs_cameras_fit, palm_fit, partition_cameras, recluster, pose_monte_carlo, block_eigen, inner_solvers)}
+QUERIES = {f.__name__: f for f in (lm_step, lm_fit, drs_fit, drs_cameras_fit, palm_fit, ordered_palm_fit, lbfgs_fit, part_colours, partition_cameras, recluster, pose_monte_carlo, block_eigen, inner_solvers)}

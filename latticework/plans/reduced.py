@@ -36,24 +36,28 @@ def chunked(obs: DataFrame) -> tuple[DataFrame, bool]:
     return obs.join(bounded(hot, MOST_SENT), "pt_id", "left").withColumn("chunk", F.coalesce(at, F.lit(0))).drop("n"), True
 
 
-def _matrix(column: pa.Array, *shape: int) -> np.ndarray:
+def matrix(column: pa.Array, *shape: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, *shape)
 
 
-def _lists(x: np.ndarray) -> pa.Array:
+def lists(x: np.ndarray) -> pa.Array:
     x = np.ascontiguousarray(x.reshape(len(x), -1), np.float64)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
-def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, and sums of their rows."""
     found, at = np.unique(keys, return_inverse=True)
     order = np.argsort(at, kind="stable")
     return found, np.add.reduceat(values.reshape(len(values), -1)[order], np.searchsorted(at[order], np.arange(len(found))), axis=0)
 
 
-def _derived(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return residuals(_matrix(b["p"], 9), _matrix(b["q"], 3), np.stack([b["x"].to_numpy(), b["y"].to_numpy()], 1), True)
+def derived(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Residuals and derivatives of a batch; those of frozen cameras (fc false) and landmarks (fl) are 0."""
+    r, jc, jl = residuals(matrix(b["p"], 9), matrix(b["q"], 3), np.stack([b["x"].to_numpy(), b["y"].to_numpy()], 1), True)
+    if "fc" in b.schema.names:
+        jc, jl = (j * b[c].to_numpy(zero_copy_only=False).astype(float)[:, None, None] for j, c in ((jc, "fc"), (jl, "fl")))
+    return r, jc, jl
 
 
 def _diagonal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,13 +65,13 @@ def _diagonal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not len(b):
             continue
-        r, jc, jl = _derived(b)
+        r, jc, jl = derived(b)
         for kind, j in (("cam_id", jc), ("pt_id", jl)):
             n = j.shape[2]
             both = np.concatenate([np.einsum("nki,nkj->nij", j, j).reshape(-1, n * n), np.einsum("nki,nk->ni", j, r)], 1)
-            found, sums = _summed(b[kind].to_numpy(), both)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.string()), pa.array(found, pa.int64()), _lists(sums)], ["kind", "id", "m"])
-        yield pa.RecordBatch.from_arrays([pa.array(["cost"]), pa.array([0]), _lists(np.array([[(r * r).sum()]]))], ["kind", "id", "m"])
+            found, sums = summed(b[kind].to_numpy(), both)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.string()), pa.array(found, pa.int64()), lists(sums)], ["kind", "id", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array(["cost"]), pa.array([0]), lists(np.array([[(r * r).sum()]]))], ["kind", "id", "m"])
 
 
 _W = [f"w{k}" for k in range(27)]
@@ -76,7 +80,7 @@ _W = [f"w{k}" for k in range(27)]
 def _coupling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if len(b):
-            _, jc, jl = _derived(b)
+            _, jc, jl = derived(b)
             w = np.einsum("nki,nkj->ijn", jc, jl).reshape(27, -1)
             yield pa.RecordBatch.from_arrays([b["cam_id"], b["pt_id"], b["chunk"], *map(pa.array, w)], ["cam_id", "pt_id", "chunk", *_W])
 
@@ -112,13 +116,15 @@ class Reduced:
     def of(cls, rows: DataFrame, split: bool, damping: float, scaled: bool = True, parts: int | None = None) -> Reduced:
         """Linearised ``rows`` (cam_id, pt_id, chunk, x, y, p, q). Damping adds its share of the diagonals.
 
+        With columns fc and fl, which tell whether a row's camera and landmark move, the others' steps are 0.
+
         With a scale blocks are inverted in parameters that make each camera's and landmark's diagonal 1, so that parameters
         of any magnitude count alike; without, the small ones of a badly scaled camera fall below the inverse's threshold.
         """
         spark = rows.sparkSession
         ship(spark)
         parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.select("cam_id", "pt_id", "chunk", "x", "y", "p", "q")
+        rows = rows.select("cam_id", "pt_id", "chunk", "x", "y", "p", "q", *(["fc", "fl"] if "fc" in rows.columns else []))
         sums = kept(rows.mapInArrow(_diagonal, "kind string, id long, m array<double>"))
         total = lambda kind, n: sums.where(F.col("kind") == kind).groupBy(F.col("id").alias(kind)).agg(F.array(*(F.sum(F.col("m")[k]) for k in range(n))).alias("s"))
         cost = sums.where("kind = 'cost'").agg(F.sum(F.col("m")[0])).first()[0] or 0.0
@@ -132,10 +138,10 @@ class Reduced:
         def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if len(b):
-                    s = _matrix(b["s"], 12)
+                    s = matrix(b["s"], 12)
                     v = s[:, :9].reshape(-1, 3, 3)
                     full = v + damping * v * np.eye(3) + 1e-9 * block_largest(v)
-                    yield pa.RecordBatch.from_arrays([b["pt_id"], *map(_lists, (inverse(full, v), v, s[:, 9:]))], ["pt_id", "vi", "v0", "g"])
+                    yield pa.RecordBatch.from_arrays([b["pt_id"], *map(lists, (inverse(full, v), v, s[:, 9:]))], ["pt_id", "vi", "v0", "g"])
 
         land = total("pt_id", 12).mapInArrow(inverted, "pt_id long, vi array<double>, v0 array<double>, g array<double>").repartition(parts, "pt_id").persist()
         keys = ["pt_id", "chunk"] if split else ["pt_id"]
@@ -147,10 +153,10 @@ class Reduced:
             for b in batches:
                 if len(b):
                     m = np.stack([b[c].to_numpy() for c in _W], 1).reshape(-1, 9, 3)
-                    mv = m @ _matrix(b["vi"], 3, 3)
-                    both = np.concatenate([(mv @ m.transpose(0, 2, 1)).reshape(-1, 81), np.einsum("nik,nk->ni", mv, _matrix(b["g"], 3))], 1)
-                    found, sums = _summed(b["cam_id"].to_numpy(), both)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), _lists(sums)], ["cam_id", "e"])
+                    mv = m @ matrix(b["vi"], 3, 3)
+                    both = np.concatenate([(mv @ m.transpose(0, 2, 1)).reshape(-1, 81), np.einsum("nik,nk->ni", mv, matrix(b["g"], 3))], 1)
+                    found, sums = summed(b["cam_id"].to_numpy(), both)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), lists(sums)], ["cam_id", "e"])
 
         left = w.join(land.hint("shuffle_hash") if not split else bounded(land, MOST_SENT), "pt_id").select("cam_id", *_W, "vi", "g")
         left = left.mapInArrow(gone, "cam_id long, e array<double>").groupBy("cam_id").agg(F.array(*(F.sum(F.col("e")[k]) for k in range(90))).alias("e"))
@@ -158,11 +164,11 @@ class Reduced:
         def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if len(b):
-                    s, e = _matrix(b["s"], 90), _matrix(b["e"], 90)
+                    s, e = matrix(b["s"], 90), matrix(b["e"], 90)
                     u0, g = s[:, :81].reshape(-1, 9, 9), s[:, 81:]
                     u = u0 + (damping * u0 + (1e-12 * u0 if scaled else 1e-12)) * np.eye(9)
                     m = inverse(u - e[:, :81].reshape(-1, 9, 9), u0)
-                    yield pa.RecordBatch.from_arrays([b["cam_id"], *map(_lists, (u0, g, u, m, e[:, 81:] - g))], ["cam_id", "u0", "g", "u", "m", "b"])
+                    yield pa.RecordBatch.from_arrays([b["cam_id"], *map(lists, (u0, g, u, m, e[:, 81:] - g))], ["cam_id", "u0", "g", "u", "m", "b"])
 
         kinds = "cam_id long, " + ", ".join(f"{c} array<double>" for c in ("u0", "g", "u", "m", "b"))
         cams = kept(total("cam_id", 90).join(left, "cam_id").select("cam_id", "s", "e").mapInArrow(prepared, kinds))
@@ -245,7 +251,7 @@ def costs_along(rows: DataFrame, places: tuple[float, ...]) -> list[float]:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                p, q, dp, dq = _matrix(b["p"], 9), _matrix(b["q"], 3), _matrix(b["dp"], 9), _matrix(b["dq"], 3)
+                p, q, dp, dq = matrix(b["p"], 9), matrix(b["q"], 3), matrix(b["dp"], 9), matrix(b["dq"], 3)
                 xy = np.stack([b["x"].to_numpy(), b["y"].to_numpy()], 1)
                 yield pa.RecordBatch.from_arrays([pa.array([float(np.square(residuals(p + a * dp, q + a * dq, xy)).sum())]) for a in places], names)
 

@@ -47,12 +47,16 @@ def volumes(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("cam_id").agg(F.count_distinct("pt_id").alias("volume"))
 
 
+#: Weights of a merge's balance of sizes (its scale and its share) and of its volume.
+BALANCE_SCALE, BALANCE, VOLUME = -1.32, 0.5, 0.1
+
+
 def gain(w: str, wi: str, wj: str, si: str, sj: str, vi: str, vj: str, cameras: str, landmarks: str, target: str) -> str:
     """SQL for the merit of merging two parts: cut weight, balance of sizes, and volume against the target."""
     a = f"({si} / cast({si} + {sj} as double))"
-    balance = f"(-1.32 * (({si} + {sj}) / cast({cameras} as double)) * {a} * (1 - {a}))"
+    balance = f"({BALANCE_SCALE} * (({si} + {sj}) / cast({cameras} as double)) * {a} * (1 - {a}))"
     volume = f"(({target} / cast({landmarks} as double)) * ln(greatest(1e-6, ({vi} + {vj}) / (cast({vi} as double) * {vj}))))"
-    return f"({w} / cast(least({wi}, {wj}) as double) + 0.5 * {balance} + 0.1 * {volume})"
+    return f"({w} / cast(least({wi}, {wj}) as double) + {BALANCE} * {balance} + {VOLUME} * {volume})"
 
 
 def occurrences(placed: DataFrame) -> DataFrame:

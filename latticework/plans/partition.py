@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators.graph import covisible
+from latticework.operators.graph import BALANCE, BALANCE_SCALE, VOLUME, covisible
 from latticework.session import kept
 
 MAX_EDGES = 5_000_000
@@ -41,9 +41,9 @@ def roots(edges: DataFrame) -> DataFrame:
 
 def merge_gain(w: float, wi: float, wj: float, si: int, sj: int, vi: int, vj: int, cameras: int, landmarks: int, target: float) -> float:
     a = si / (si + sj)
-    balance = -1.32 * ((si + sj) / cameras) * a * (1 - a)
+    balance = BALANCE_SCALE * ((si + sj) / cameras) * a * (1 - a)
     volume = target / landmarks * math.log(max(1e-6, (vi + vj) / (vi * vj)))
-    return w / min(wi, wj) + 0.5 * balance + 0.1 * volume
+    return w / min(wi, wj) + BALANCE * balance + VOLUME * volume
 
 
 def random_merges(edges: list[tuple[int, int, int]], seen: dict[int, np.ndarray], parts: int, merges: int, seed: int, cut: set[tuple[int, int]] = frozenset()) -> dict[int, int]:

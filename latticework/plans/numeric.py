@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from latticework.functions import geometry as g
 from latticework.functions import kernels
 from latticework.operators import graph, relational
-from latticework.plans import alternation, bundle, catalogue, merging, partition, pose, quasi
+from latticework.plans import alternation, bundle, catalogue, merging, pose, quasi
 from latticework.session import ship
 from latticework.sources import tables as t
 
@@ -72,7 +72,8 @@ def part_colours(spark, d):
 
 
 def partition_cameras(spark, d):
-    return partition.partition_cameras(t.pairs(spark, d), catalogue.PARTS)
+    """(cam_id, part): cameras merged in rounds over tables."""
+    return merging.merged_cameras(t.pairs(spark, d), catalogue.PARTS)
 
 
 def recluster(spark, d):

@@ -14,11 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators.graph import BALANCE, BALANCE_SCALE, VOLUME, covisible
+from latticework.operators.graph import BALANCE, BALANCE_SCALE, VOLUME
 from latticework.session import kept
 
-MAX_EDGES = 5_000_000
-
 
 def roots(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id that edges (src, dst) lead to, for every id on an edge between two.
@@ -181,17 +179,6 @@ def agglomerate(
     return {c: p for p, root in enumerate(order) for c in member[root]}
 
 
-def partition_cameras(pairs: DataFrame, parts: int, most_volume: float = 4.0) -> DataFrame:
-    """(cam_id, part) by ``agglomerate`` on the driver. ``pairs``: distinct (cam_id, pt_id); more than MAX_EDGES edges are refused."""
-    edges = covisible(pairs).limit(MAX_EDGES + 1).toPandas()
-    if len(edges) > MAX_EDGES:
-        raise ValueError(f"more than {MAX_EDGES} covisibility edges: use merging.merged_cameras")
-    rows = pairs.groupBy("cam_id").agg(F.sort_array(F.collect_list("pt_id")).alias("seen")).toPandas()
-    seen = {int(c): np.asarray(v, np.int64) for c, v in zip(rows.cam_id, rows.seen, strict=True)}
-    found = agglomerate(sorted(zip(edges.src.tolist(), edges.dst.tolist(), edges.w.tolist(), strict=True)), seen, parts, most_volume)
-    return pairs.sparkSession.createDataFrame(sorted(found.items()), "cam_id long, part int")
-
-
 def complete_in_order(counts: dict[int, dict[int, int]], loads: dict[int, int]) -> dict[int, int]:
     """Landmark -> part, the sequential form: in ascending id to the part that misses fewest observations, ties by load.
 

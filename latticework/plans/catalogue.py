@@ -7,13 +7,17 @@ PARTS contiguous ranges of them.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions import geometry as g
 from latticework.operators import graph, relational
+from latticework.plans.reduced import derived, lists, summed
+from latticework.session import ship
 from latticework.sources import tables as t
 
 PARTS = 4
@@ -538,11 +542,47 @@ _LAND_SLOPES = " ; ".join(f"{_product(f'l_{a}', 'r_0')} / 1e3 as b{a}" for a in
 _COUPLE = " ; ".join(f"{_product(f'j_{a}', f'l_{b}')} as w{a}{b}" for a in range(9) for b in range(3))
 
 
+#: Keys of which a task holds sums before it passes them on.
+HELD = 20_000
+_UPPER = [(a, b) for a in range(9) for b in range(a, 9)]
+_UPPER_L = [(a, b) for a in range(3) for b in range(a, 3)]
+
+
+def _arrays(spark, d) -> DataFrame:
+    """Gathered observations with parameters as arrays, as the kernels take them."""
+    ship(spark)
+    return gathered(spark, d).select("cam_id", "pt_id", "x", "y", F.array(*g.CAMERA).alias("p"), F.array(*g.POINT).alias("q"))
+
+
+def _key_sums(rows: DataFrame, key: str, products: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, m): sums over an observation's ``products`` of (r, jc, jl). A task adds up what it has of up to HELD keys before the shuffle."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda ids, sums: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(sums)], [key, "m"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            if len(b):
+                held.append(summed(b[key].to_numpy(), products(*derived(b))))
+                if sum(len(i) for i, _ in held) > HELD:
+                    held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    if 2 * len(held[0][0]) > HELD:
+                        yield out(*held.pop())
+        if held:
+            yield out(*summed(*map(np.concatenate, zip(*held, strict=True))))
+
+    return rows.mapInArrow(go, f"{key} long, m array<double>")
+
+
 def _summed(rows: DataFrame, keys: list[str], sums: str, digits: int) -> DataFrame:
     parts = [x.rsplit(" as ", 1) for x in sums.split(" ; ")]
     return rounded(rows.groupBy(*keys).agg(*(F.expr(e).alias(n) for e, n in parts)), digits, *(n for _, n in parts))
 
 
+def _named(rows: DataFrame, keys: list[str], sums: list[tuple[str, str, str]], digits: int) -> DataFrame:
+    """Sums (name, column, unit) over ``keys``, rounded."""
+    return rounded(rows.groupBy(*keys).agg(*(F.expr(f"sum({c}) / {u}").alias(n) for n, c, u in sums)), digits, *(n for n, _, _ in sums))
+
+
 @query(f"{_BLOCKS} select distinct cam_id, pt_id, {near_zero(' ; '.join(f'{c} / {_unit(c)} as {c}' for c in _DERIVATIVES), 8)} from j")
 def derivatives(spark, d):
     rows = differentiated(spark, d).selectExpr("cam_id", "pt_id", *(f"{c} / {_unit(c)} as {c}" for c in _DERIVATIVES))
@@ -551,27 +591,43 @@ def derivatives(spark, d):
 
 @query(f"{_BLOCKS} select cam_id, {near_zero(_GRAM, 5)} from j group by 1")
 def block_gram(spark, d):
-    return _summed(differentiated(spark, d), ["cam_id"], _GRAM, 5)
+    a, b = map(list, zip(*_UPPER, strict=True))
+    sums = _key_sums(_arrays(spark, d), "cam_id", lambda r, jc, jl: (jc[:, :, a] * jc[:, :, b]).sum(1))
+    return _named(sums, ["cam_id"], [(f"g{a}{b}", f"m[{k}]", f"{_UNIT[a]} / {_UNIT[b]}") for k, (a, b) in enumerate(_UPPER)], 5)
 
 
 @query(f"{_BLOCKS} select pt_id, {near_zero(_LAND, 6)} from j group by 1")
 def landmark_gram(spark, d):
-    return _summed(differentiated(spark, d), ["pt_id"], _LAND, 6)
+    a, b = map(list, zip(*_UPPER_L, strict=True))
+    sums = _key_sums(_arrays(spark, d), "pt_id", lambda r, jc, jl: (jl[:, :, a] * jl[:, :, b]).sum(1))
+    return _named(sums, ["pt_id"], [(f"h{a}{b}", f"m[{k}]", "1e2 / 1e2") for k, (a, b) in enumerate(_UPPER_L)], 6)
 
 
 @query(f"{_BLOCKS} select cam_id, {near_zero(_SLOPES, 5)} from j group by 1")
 def block_gradient(spark, d):
-    return _summed(differentiated(spark, d), ["cam_id"], _SLOPES, 5)
+    sums = _key_sums(_arrays(spark, d), "cam_id", lambda r, jc, jl: (jc * r[:, :, None]).sum(1))
+    return _named(sums, ["cam_id"], [(f"b{a}", f"m[{a}]", f"{_UNIT[a]} / 1e3") for a in range(9)], 5)
 
 
 @query(f"{_BLOCKS} select pt_id, {near_zero(_LAND_SLOPES, 5)} from j group by 1")
 def landmark_gradient(spark, d):
-    return _summed(differentiated(spark, d), ["pt_id"], _LAND_SLOPES, 5)
+    sums = _key_sums(_arrays(spark, d), "pt_id", lambda r, jc, jl: (jl * r[:, :, None]).sum(1))
+    return _named(sums, ["pt_id"], [(f"b{a}", f"m[{a}]", "1e2 / 1e3") for a in range(3)], 5)
 
 
 @query(f"{_BLOCKS} select cam_id, pt_id, {near_zero(_COUPLE, 6)} from j group by 1, 2")
 def coupling_blocks(spark, d):
-    return _summed(differentiated(spark, d), ["cam_id", "pt_id"], _COUPLE, 6)
+    names = [f"w{a}{b}" for a in range(9) for b in range(3)]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if len(x):
+                _, jc, jl = derived(x)
+                w = np.einsum("nka,nkb->abn", jc, jl).reshape(27, -1)
+                yield pa.RecordBatch.from_arrays([x["cam_id"], x["pt_id"], *map(pa.array, w)], ["cam_id", "pt_id", *names])
+
+    rows = _arrays(spark, d).mapInArrow(go, f"cam_id long, pt_id long, {', '.join(f'{n} double' for n in names)}")
+    return _named(rows, ["cam_id", "pt_id"], [(n, n, f"{_UNIT[int(n[1])]} / 1e2") for n in names], 6)
 
 
 # --- consensus, extrapolation, components: over the copies of landmarks in parts

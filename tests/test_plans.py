@@ -333,3 +333,21 @@ def test_places_within_parts(spark):
         mine = sorted((a, b) for p, a, b in rows if p == part)
         assert [(a, b) for _, a, b in sorted(found)] == mine and sorted(x for x, *_ in found) == list(range(1, len(mine) + 1))
     assert len(got) == 3 and relational.places_within(frame.limit(0), "part", ["a"], "place").count() == 0
+
+
+def test_sums_of_keys_pass_on_what_is_held(spark, monkeypatch):
+    """Few keys held at once: sums over batches and tasks are those of the whole."""
+    from latticework.functions import kernels as k
+
+    monkeypatch.setattr(catalogue, "HELD", 6)
+    cam, pt, ci, pi, xy = scene(5, 40, 3, 0.5)
+    obs, c, p = tables(spark, cam, pt, ci, pi, xy)
+    rows = obs.join(c, "cam_id").join(p, "pt_id").repartition(3)
+    _, _, jl = k.residuals(cam[ci], pt[pi], xy, True)
+    want = np.zeros((40, 9))
+    np.add.at(want, pi, np.einsum("nka,nkb->nab", jl, jl).reshape(-1, 9))
+    sums = catalogue._key_sums(rows, "pt_id", lambda r, jc, jl: np.einsum("nka,nkb->nab", jl, jl).reshape(-1, 9))
+    got = {}
+    for r in sums.collect():
+        got[r.pt_id] = got.get(r.pt_id, 0) + np.array(r.m)
+    assert sorted(got) == list(range(40)) and np.allclose(np.stack([got[i] for i in range(40)]), want, rtol=1e-9)

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from latticework.llm.shared import WORD, written
+from latticework.plans.partition import roots
+from latticework.session import ship
 
 #: No document is taken more often.
 REPEATS = 3
-#: Membership patterns and their plan are held on the driver; more than so many are refused.
-MAX_PATTERNS = 20_000
+#: Rows of a plan up to which it is broadcast; a longer one is joined by pattern and salt.
+MOST_SENT = 20_000
+#: Leading hex digits of the seeded key that salt that join.
+SALT_DIGITS = 2
 #: Hex digits of the seeded key that make a bucket; only one bucket of a pattern is ever sorted.
 BUCKET_DIGITS = 3
 
@@ -101,6 +105,63 @@ def route(patterns: dict[tuple, int], quota: dict[str | None, int], repeats: int
             caps[e ^ 1] += step
 
 
+def goals(patterns: DataFrame, weights: Sequence[int] = (1, 2, 3), repeats: int = REPEATS) -> DataFrame:
+    """(pattern, at, source_size, target) of each source, its name as a pattern of one: ``targets`` over a table of any length.
+
+    ``patterns``: (pattern, n). Sources are ranked by one range sort. Full sources are those below the level of water, which rises
+    from round to round as what they cannot take is shared again; a round is one aggregate.
+    """
+    one = patterns.select(F.explode("pattern").alias("source"), "n").groupBy("source").agg(F.sum("n").alias("n"))
+    order = written(one.orderBy(F.asc_nulls_last("source")).withColumn("id", F.monotonically_increasing_id()), "mixing-sources")
+    piece = F.shiftright("id", 33)
+    starts = order.groupBy(piece.alias("piece")).agg(F.count("*").alias("n"))  # a row for each task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(starts.select("piece", before.alias("before")))
+    at = F.col("before") + F.col("id") - F.shiftleft("piece", 33)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (at % len(weights) + 1).cast("int")).cast("long")
+    rows = written(order.withColumn("piece", piece).join(starts, "piece").select("source", "n", at.alias("at"), weight.alias("weight")), "mixing-weights")
+    size, all_weight = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    rest, free, known = size, all_weight, 0
+    wide = lambda c: F.lit(c).cast("decimal(19,0)")
+    while True:
+        full = (F.col("n") * repeats).cast("decimal(18,0)") * wide(free) < F.col("weight").cast("decimal(18,0)") * wide(rest)
+        found, taken, held = rows.where(full).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if found == known:
+            break
+        rest, free, known = size - repeats * taken, all_weight - held, found
+    share = (F.lit(rest) * F.col("weight")).cast("double") / float(max(1, free))
+    return rows.select(F.array("source").alias("pattern"), "at", F.col("n").alias("source_size"), F.when(full, (F.col("n") * repeats).cast("double")).otherwise(share).alias("target"))
+
+
+def flows(patterns: DataFrame, goal: DataFrame, repeats: int = REPEATS) -> DataFrame:
+    """(pattern, flow): words wanted of each pattern.
+
+    Where no pattern of several sources meets a source, its own pattern gives its quota. Sources that such patterns link form
+    components, and each is a flow problem of its own (``route``), solved in a task; its memory is that of its patterns.
+    """
+    quota = goal.select("pattern", "at", F.col("target").cast("long").alias("quota"))
+    several = patterns.where(F.size("pattern") > 1)
+    if several.isEmpty():
+        return quota.select("pattern", F.col("quota").alias("flow"))
+    ship(patterns.sparkSession)
+    members = several.select(F.col("pattern").alias("whole"), F.explode("pattern").alias("source")).select("whole", F.array("source").alias("pattern"))
+    ids = written(members.join(quota, "pattern").select("whole", "at"), "mixing-members")
+    first = ids.groupBy("whole").agg(F.min("at").alias("src"))
+    linked = roots(ids.join(first, "whole").select("src", F.col("at").alias("dst"))).select(F.col("id").alias("at"), "root")
+    wanted = quota.join(linked, "at")
+    own = patterns.where(F.size("pattern") == 1).join(wanted.select("pattern", "root"), "pattern")
+    many = patterns.join(first.withColumnRenamed("whole", "pattern"), "pattern").join(linked.withColumnRenamed("at", "src"), "src")
+    rows = own.select("root", "pattern", "n", F.lit(False).alias("goal")).union(many.select("root", "pattern", "n", F.lit(False))).union(wanted.select("root", "pattern", "quota", F.lit(True)))
+
+    def solve(block: pd.DataFrame) -> pd.DataFrame:
+        sizes, wanted = ({tuple(p): int(n) for p, n in zip(b.pattern, b.n, strict=True)} for b in (block[~block.goal], block[block.goal]))
+        found = route(sizes, {p[0]: n for p, n in wanted.items()}, repeats)
+        return pd.DataFrame({"pattern": [list(p) for p in found], "flow": [sum(to.values()) for to in found.values()]})
+
+    routed = rows.groupBy("root").applyInPandas(solve, "pattern array<string>, flow long")
+    return quota.join(linked, "at", "left_anti").select("pattern", F.col("quota").alias("flow")).union(routed)
+
+
 def mixed(docs: DataFrame, members, weights: Sequence[int] = (1, 2, 3), seed: int = 17, keep: Sequence[str] = ()) -> DataFrame:
     """How often each document is taken so that every source comes near its target.
 
@@ -108,13 +169,17 @@ def mixed(docs: DataFrame, members, weights: Sequence[int] = (1, 2, 3), seed: in
     (null is a source; repeated names count once; a null or empty array belongs to none and is never taken).
     Returns doc_id, the columns ``keep``, pattern, size (words, null text: 0), times, taken (times * size).
 
-    Sizes are summed by pattern and routed by ``route``. A pattern's flow is so many whole passes over it and a
-    rest; the rest takes documents in the order of md5(seed|doc_id) (ties: doc_id, size) as long as a document's
-    middle lies within it, so a pattern misses its flow by half a document at most. The order decides only through
+    Sizes are summed by pattern, targets found by ``goals`` and routed by ``flows``, all as tables. A pattern's flow is so many
+    whole passes over it and a rest; the rest takes documents in the order of md5(seed|doc_id) (ties: doc_id, size) as long as a
+    document's middle lies within it, so a pattern misses its flow by half a document at most. The order decides only through
     a histogram of key prefixes and one sorted bucket of each pattern, never a whole source in one task.
     Reruns agree. Empty tables give empty results.
     """
-    spark = docs.sparkSession
+    return _taken(docs, members, weights, seed, keep).select("doc_id", *keep, "pattern", "size", "times", "taken")
+
+
+def _taken(docs: DataFrame, members, weights: Sequence[int], seed: int, keep: Sequence[str]) -> DataFrame:
+    """``mixed`` with goal_size and goal, a source's own size and target, for documents of one source."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     pattern = F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
     sized = docs.select(
@@ -122,34 +187,32 @@ def mixed(docs: DataFrame, members, weights: Sequence[int] = (1, 2, 3), seed: in
         F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
     )
     sized = written(sized.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), "mixing-sized")
-    found = sized.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    patterns = {tuple(r.pattern): r.n for r in found}
-    sizes: dict[str | None, int] = {}
-    for p, n in patterns.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    wanted = targets(sizes, weights) if sizes else {}
-    flow = route(patterns, {s: int(t) for s, t in wanted.items()})
-    plan = [(list(p), patterns[p], *divmod(sum(flow[p].values()), max(1, patterns[p]))) for p in patterns]
-    kind = T.StructType([T.StructField("pattern", T.ArrayType(T.StringType())), *(T.StructField(c, T.LongType()) for c in ("pattern_size", "passes", "rest"))])
-    plan = F.broadcast(spark.createDataFrame(plan, kind))  # at most MAX_PATTERNS rows
-
-    by_key = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = sized.groupBy("pattern", "bucket").agg(F.sum("size").alias("n")).join(plan, "pattern")
-    cut = cut.withColumn("before", F.coalesce(F.sum("n").over(by_key), F.lit(0)))
-    cut = cut.where("before < rest and rest < before + n").select("pattern", F.col("bucket").alias("cut"), "before")
-    ends = sized.groupBy("pattern", "bucket").agg(F.sum("size").alias("n")).join(plan, "pattern")
-    ends = ends.withColumn("before", F.coalesce(F.sum("n").over(by_key), F.lit(0))).where("before + n <= rest").groupBy("pattern").agg(F.max("bucket").alias("whole"))
-    rows = sized.join(plan, "pattern").join(F.broadcast(written(ends, "mixing-ends")), "pattern", "left").join(F.broadcast(written(cut, "mixing-cut")), "pattern", "left")
+    buckets = written(sized.groupBy("pattern", "bucket").agg(F.sum("size").alias("n")), "mixing-buckets")
+    patterns = written(buckets.groupBy("pattern").agg(F.sum("n").alias("n")), "mixing-patterns")
+    goal = written(goals(patterns, weights), "mixing-goals")
+    flow, n = F.coalesce("flow", F.lit(0)), F.greatest("n", F.lit(1))
+    plan = patterns.join(flows(patterns, goal), "pattern", "left").select("pattern", F.expr("coalesce(flow, 0) div greatest(n, 1)").alias("passes"), (flow % n).alias("rest"))
+    plan = written(plan, "mixing-plan")
+    sent = plan.count() <= MOST_SENT
+    by_key = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 16 ** BUCKET_DIGITS rows
+    cut = buckets.join(F.broadcast(plan) if sent else plan, "pattern").withColumn("before", F.coalesce(F.sum("n").over(by_key), F.lit(0)))
+    inner = F.expr("before < rest and rest < before + n")
+    cut = cut.groupBy("pattern").agg(
+        F.max(F.when(inner, F.col("bucket"))).alias("cut"), F.max(F.when(inner, F.col("before"))).alias("before"), F.max(F.when(F.expr("before + n <= rest"), F.col("bucket"))).alias("whole"))
+    own = goal.select("pattern", F.col("source_size").alias("goal_size"), F.col("target").alias("goal"))
+    plan = written(plan.join(cut, "pattern", "left").join(own, "pattern", "left"), "mixing-cuts")
+    if sent:
+        rows = sized.join(F.broadcast(plan), "pattern")
+    else:
+        salt = [f"{i:0{SALT_DIGITS}x}" for i in range(16**SALT_DIGITS)]
+        rows = sized.withColumn("salt", F.substring("key", 1, SALT_DIGITS)).join(plan.withColumn("salt", F.explode(F.array(*map(F.lit, salt)))), ["pattern", "salt"]).drop("salt")
     inside = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
     within = Window.partitionBy("pattern").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     sorted_ = rows.where(inside).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     sorted_ = sorted_.withColumn("once", (2 * F.col("at") + F.col("size") <= 2 * F.col("rest")).cast("long")).drop("at")
     others = rows.where(~inside).withColumn("once", F.coalesce(F.col("bucket") <= F.col("whole"), F.lit(False)).cast("long"))
     both = others.unionByName(sorted_).withColumn("times", F.when(F.size("pattern") > 0, F.col("passes") + F.col("once")).otherwise(0).cast("long"))
-    return both.select("doc_id", *keep, "pattern", "size", "times", (F.col("times") * F.col("size")).alias("taken"))
+    return both.withColumn("taken", F.col("times") * F.col("size"))
 
 
 def mix_by_source(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: int = 17) -> DataFrame:
@@ -157,11 +220,5 @@ def mix_by_source(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: int
 
     Returns doc_id, source, size, source_size, target, times, taken, one row per input row.
     """
-    spark = docs.sparkSession
-    own = mixed(docs, F.array(F.col("source").cast("string")), weights, seed, keep=["source"])
-    own = written(own, "mixing-taken")
-    sizes = {r.source: r.n for r in own.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()}
-    wanted = targets(sizes, weights) if sizes else {}
-    goals = spark.createDataFrame([(s, sizes[s], float(wanted[s])) for s in sizes], "name string, source_size long, target double")
-    out = own.join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("name")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "times", "taken")
+    own = _taken(docs, F.array(F.col("source").cast("string")), weights, seed, ["source"])
+    return own.select("doc_id", "source", "size", F.col("goal_size").alias("source_size"), F.col("goal").alias("target"), "times", "taken")

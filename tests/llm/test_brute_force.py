@@ -229,6 +229,37 @@ def test_mix_of_overlapping_members(spark):
     assert abs(sum(r.taken for r in one) - total) < 30
 
 
+def test_goals_and_flows_match_the_plain_forms(spark):
+    """Targets and routes over tables, the longer way of joining too: as dictionaries give them."""
+    rng = random.Random(5)
+    names = [*(f"s{i:02d}" for i in range(40)), None]
+    sizes = {(s,): rng.choice([0, 1, 3, 50, 400, 9000]) for s in names} | {("s01", "s05"): 70, ("s05", "s07"): 30, ("s20", None): 11}
+    patterns = spark.createDataFrame([(list(p), n) for p, n in sizes.items()], "pattern array<string>, n long").repartition(5)
+    by_source = Counter()
+    for p, n in sizes.items():
+        for s in p:
+            by_source[s] += n
+    goal = mixing.goals(patterns)
+    got = {r.pattern[0]: r for r in goal.collect()}
+    want = mixing.targets(dict(by_source))
+    assert {s: r.source_size for s, r in got.items()} == by_source and all(got[s].target == pytest.approx(want[s], rel=1e-12) for s in want)
+    flow = {tuple(r.pattern): r.flow for r in mixing.flows(patterns, goal).collect()}
+    plain = mixing.route(sizes, {s: int(x) for s, x in want.items()})
+    assert set(flow) == set(sizes) and sum(flow.values()) == sum(sum(to.values()) for to in plain.values())
+    linked = {"s01", "s05", "s07", "s20", None}
+    assert all(flow[p] == sum(to.values()) for p, to in plain.items() if not linked & set(p))
+    fresh = lambda f: sum(min(f[p], sizes[p]) for p in sizes)
+    assert fresh(flow) == fresh({p: sum(to.values()) for p, to in plain.items()})
+    assert mixing.goals(patterns.limit(0)).count() == 0
+
+
+def test_mix_is_the_same_when_plans_are_not_sent(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 13}" if i % 11 else None) for i in range(400)], "doc_id long, text string, source string")
+    sent = sorted(map(repr, mixing.mix_by_source(docs).collect()))
+    monkeypatch.setattr(mixing, "MOST_SENT", 3)
+    assert sorted(map(repr, mixing.mix_by_source(docs).collect())) == sent
+
+
 def test_language_counts_match_plain(spark):
     rng = random.Random(8)
     docs = [(i, " ".join(rng.choice(["the", "cat", "Dog", "ran", "Fäst", f"w{rng.randrange(30)}"]) for _ in range(rng.randint(0, 40)))) for i in range(60)]

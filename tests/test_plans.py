@@ -351,3 +351,31 @@ def test_sums_of_keys_pass_on_what_is_held(spark, monkeypatch):
     for r in sums.collect():
         got[r.pt_id] = got.get(r.pt_id, 0) + np.array(r.m)
     assert sorted(got) == list(range(40)) and np.allclose(np.stack([got[i] for i in range(40)]), want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("pulled", [False, True])
+def test_parts_fit_together_as_each_in_a_task(spark, monkeypatch, pulled):
+    """One step of two parts that no task holds whole: costs and parameters of the fits in tasks, with pulls and with frozen cameras."""
+    from latticework.plans import together
+
+    cam, pt, ci, pi, xy = scene(6, 20, 6, 0.5)
+    obs, c, p = tables(spark, *shaken(cam, pt, size=0.01), ci, pi, xy)
+    rows = obs.selectExpr("cast(cam_id div 3 as long) as part", "cam_id", "100 * (cam_id div 3) + pt_id as pt_id", "x", "y")
+    c, p = c.selectExpr("cam_id", "cast(cam_id div 3 as long) as part", "p", "p as still_p"), rows.selectExpr("pt_id as id", "part").distinct().selectExpr("id", "part", "id % 100 as pt_id").join(p, "pt_id").selectExpr("id as pt_id", "part", "q", "q as still_q")
+    pull = p.selectExpr("pt_id", "array(1e3, 0, 0, 0, 1e3, 0, 0, 0, 1e3) as r", "transform(q, x -> x + 1e-2) as s") if pulled else None
+    if not pulled:
+        rows = rows.selectExpr("*", "cam_id % 3 > 0 as fc", "true as fl")
+    else:
+        c, p = c.drop("still_p"), p.drop("still_q")
+    found = []
+    for most in (0, 1000):
+        monkeypatch.setattr(together, "IN_TASK", most)
+        held, *how = together.dealt(rows)
+        assert how[1] == (most > 0)
+        a, b, costs, damping = together.fit_parts(held, *how, c, p, 1, None, pull, eps=1e-8)
+        found.append((costs, np.array([r.p for r in a.orderBy("cam_id").collect()]), np.array([r.q for r in b.orderBy("pt_id").collect()])))
+    (one, a, b), (two, x, y) = found
+    print(one, two, np.abs(b - y).max())
+    assert {k: v[0] for k, v in one.items()} == pytest.approx({k: v[0] for k, v in two.items()}, rel=1e-9)
+    assert all(abs(v[1] - two[k][1]) < 1e-3 * v[0] and v[1] < v[0] for k, v in one.items())
+    assert not pulled or np.abs(b - y).max() < 1e-3

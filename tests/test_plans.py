@@ -379,3 +379,27 @@ def test_parts_fit_together_as_each_in_a_task(spark, monkeypatch, pulled):
     assert {k: v[0] for k, v in one.items()} == pytest.approx({k: v[0] for k, v in two.items()}, rel=1e-9)
     assert all(abs(v[1] - two[k][1]) < 1e-3 * v[0] and v[1] < v[0] for k, v in one.items())
     assert not pulled or np.abs(b - y).max() < 1e-3
+
+
+def test_weights_without_edges_and_counts_in_more_tasks(spark, monkeypatch):
+    """Weights from landmarks alone are those of the edges; edges are counted in more tasks where more cameras meet."""
+    rng = np.random.default_rng(3)
+    pairs = spark.createDataFrame([*{(int(c), int(q)) for c, q in zip(rng.integers(0, 12, 150), rng.integers(0, 30, 150), strict=True)}, (99, 77)], "cam_id long, pt_id long")
+    few = graph.covisible(pairs)
+    want = {tuple(r) for r in few.collect()}
+    assert {tuple(r) for r in graph.pair_weights(pairs).collect()} == {tuple(r) for r in graph.vertex_weights(few).collect()}
+    monkeypatch.setattr(graph, "MEETINGS", 10)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        many = graph.covisible(pairs)
+        assert many.rdd.getNumPartitions() > 20 and {tuple(r) for r in many.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_observations_are_dealt_to_more_tasks_where_there_are_more(spark, sf, monkeypatch):
+    """Pairs are joined in tasks of a bounded number of observations, and what depends on ids alone is worked out once for each pair."""
+    monkeypatch.setattr(catalogue, "DEALT", 100)
+    assert catalogue.tasks(spark, sf) > 50
+    pairs = catalogue.gathered_pairs(spark, sf)
+    assert pairs.count() == pairs.select("cam_id", "pt_id").distinct().count() and pairs.agg({"seen": "sum"}).first()[0] == catalogue.gathered(spark, sf).count()

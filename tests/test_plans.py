@@ -397,6 +397,7 @@ def test_weights_without_edges_and_counts_in_more_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_observations_are_dealt_to_more_tasks_where_there_are_more(spark, sf, monkeypatch):
     """Pairs are joined in tasks of a bounded number of observations, and what depends on ids alone is worked out once for each pair."""
     monkeypatch.setattr(catalogue, "DEALT", 100)

@@ -404,3 +404,18 @@ def test_observations_are_dealt_to_more_tasks_where_there_are_more(spark, sf, mo
     assert catalogue.tasks(spark, sf) > 50
     pairs = catalogue.gathered_pairs(spark, sf)
     assert pairs.count() == pairs.select("cam_id", "pt_id").distinct().count() and pairs.agg({"seen": "sum"}).first()[0] == catalogue.gathered(spark, sf).count()
+
+
+def test_sums_are_dealt_by_their_key_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Tasks grow in number with the lines, joins do not undo that, and a camera's sums come from few tasks however many there are."""
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalogue, "DEALT", 200)
+    n = catalogue.tasks(spark, sf)
+    assert n > 20 and catalogue.gathered(spark, sf).rdd.getNumPartitions() == n
+    counted = []
+    real = catalogue._key_sums
+    monkeypatch.setattr(catalogue, "_key_sums", lambda *a: counted.append(real(*a)) or counted[-1])
+    for run in (catalogue.block_gram, catalogue.block_gradient, catalogue.landmark_gram, numeric.block_eigen):
+        run(spark, sf)
+        rows = counted[-1]
+        assert rows.count() <= catalogue.SHARES * rows.select(rows.columns[0]).distinct().count()

@@ -406,6 +406,34 @@ def test_observations_are_dealt_to_more_tasks_where_there_are_more(spark, sf, mo
     assert pairs.count() == pairs.select("cam_id", "pt_id").distinct().count() and pairs.agg({"seen": "sum"}).first()[0] == catalogue.gathered(spark, sf).count()
 
 
+def test_solvers_over_blocks_leave_what_they_leave_in_one_task(spark):
+    """No part is held in a task: landmarks are, in blocks, and all solvers come from the directions of one run of products."""
+    from latticework.functions import kernels as k
+    from latticework.plans import inner
+
+    cam, pt, ci, pi, xy = scene(6, 60, 4, 0.3, 5)
+    cam, pt = shaken(cam, pt)
+    obs, c, p = tables(spark, cam, pt, ci, pi, xy)
+    parts = spark.createDataFrame([(i, i // 3) for i in range(6)], "cam_id long, part int")
+    rows = obs.join(parts, "cam_id").join(c, "cam_id").join(p, "pt_id").repartition(3, "pt_id")
+    names = [n for n in k.SOLVERS if n != "direct"]
+    assert inner.blocks(rows).count() == len({(a // 3, b) for a, b in zip(ci, pi)})
+    got = {(r.part, r.solver): r.gap for r in inner.gaps(rows, parts, names).collect()}
+    assert len(got) == 2 * len(names)
+    for part in (0, 1):
+        at = ci // 3 == part
+        lc, lp = (np.unique(x[at], return_inverse=True)[1] for x in (ci, pi))
+        r, jc, jl = k.residuals(cam[ci[at]], pt[pi[at]], xy[at], True)
+        n = k.Normal.of(r, jc, jl, lc, lp, lc.max() + 1, lp.max() + 1)
+        u, v = n.u + 0.5 * n.u * np.eye(9) + 1e-3 * np.eye(9), n.v + 0.5 * n.v * np.eye(3) + 1e-3 * np.eye(3)
+        ui, vi = k.block_inverse(u), k.block_inverse(v)
+        b = -(n.bp - n.w_times(np.einsum("pij,pj->pi", vi, n.bl)))
+        for name in names:
+            x = k.SOLVERS[name](n, ui, vi, u, b)
+            gap = np.linalg.norm(np.einsum("cij,cj->ci", u, x) - n.w_times(np.einsum("pij,pj->pi", vi, n.wt_times(x))) - b) / np.linalg.norm(b)
+            assert got[part, name] == pytest.approx(gap, rel=0.3, abs=1e-10), name
+
+
 def test_sums_are_dealt_by_their_key_in_tasks_of_bounded_size(spark, monkeypatch):
     """Tasks grow in number with the lines, joins do not undo that, and a camera's sums come from few tasks however many there are."""
     sf = "/root/testdata/sf0.001"

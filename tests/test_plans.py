@@ -447,3 +447,17 @@ def test_sums_are_dealt_by_their_key_in_tasks_of_bounded_size(spark, monkeypatch
         run(spark, sf)
         rows = counted[-1]
         assert rows.count() <= catalogue.SHARES * rows.select(rows.columns[0]).distinct().count()
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_marks_are_counted_and_renamed_where_they_are(spark, sent):
+    """A landmark's parts in one row: landmarks shared by the parts of a pair, and parts after merges."""
+    rng = np.random.default_rng(4)
+    seen = {p: sorted({int(x) for x in rng.integers(0, 9, rng.integers(1, 9))}) for p in range(40)}
+    marks = spark.createDataFrame(list(seen.items()), "pt_id long, roots array<long>")
+    ends = spark.createDataFrame([(0, 0), (0, 5), (2, 2), (2, 7), (3, 3), (3, 100)], "pair long, root long")
+    want = {a: sum(a in v and b in v for v in seen.values()) for a, b in ((0, 5), (2, 7))}
+    assert {r.src: r.shared for r in merging.shared_landmarks(marks, ends, sent).collect()} == {k: n for k, n in want.items() if n}
+    goes = spark.createDataFrame([(5, 0), (7, 2)], "root long, to long")
+    got = {r.pt_id: sorted(r.roots) for r in merging.relabelled(marks, goes, sent).collect()}
+    assert got == {p: sorted({{5: 0, 7: 2}.get(x, x) for x in v}) for p, v in seen.items()}

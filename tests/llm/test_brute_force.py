@@ -1,8 +1,11 @@
 """Operators against plain versions on small tables, round trips and held-out accuracy."""
 
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -331,6 +334,28 @@ def test_attention_gradients():
         assert grads[name][at] == pytest.approx((up - down) / 2e-2, rel=2e-2, abs=2e-4), name
 
 
+def test_attention_batches_bring_no_pages_in_anew():
+    """Pages that a pass over 16 batches brings in after a first one: 31,589 without memory_kept."""
+    code = """
+import resource
+import numpy as np
+from latticework.llm import attention_lm as a
+a.memory_kept()
+rng = np.random.default_rng(0)
+words, n = rng.integers(0, 3000, 16 * a.BATCH * a.SPAN - 1), 3000
+vocabulary = a.Vocabulary(rng.integers(0, 500, 2 * n + 2), np.arange(0, 2 * n + 3, 2))
+model = a.Model(500, np.full(8, 1 / 8), 1)
+learner, parts = a.Learner(model, 0.01, 1), a.windows(words, np.array([0, len(words)]), n, rng.random((n + 1, 8)).astype(np.float32))
+for _ in range(3):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    learner.learn(*parts[:5], vocabulary)
+    made = resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before
+print(made)
+"""
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert int(found.stdout) < 1000
+
+
 def test_experts_are_distributions():
     rng = random.Random(13)
     pieces = [[rng.randrange(12) for _ in range(rng.randint(1, 4))] for _ in range(60)]

@@ -381,6 +381,38 @@ def test_experts_are_distributions():
             assert rows[b, k] == pytest.approx(n / (total + len(seen) + 1) + rest * x.begin[b], rel=1e-4)
 
 
+def test_all_words_are_in_the_experts(spark, monkeypatch):
+    """What every word gets, by blocks and joins, is what one tree of all words gives, and so for words that were not learned."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcü1") for _ in range(rng.randint(1, 7)))
+    texts = [(" ".join(word() for _ in range(rng.randint(0, 60))), i % 4 == 0) for i in range(120)]
+    texts += [("aaaa " * 3 + "zzzzzzzzzzzzzzzzzzzzqqqqqqqqqqqqqqqqqqqqxyxyxyxyxy" * 4, False), (None, False)]
+    docs = spark.createDataFrame(texts, "text string, held_out boolean").repartition(3)
+    log_kinds = lm_score.kinds_of_text(docs.where("not held_out"))
+    counts = lm_score.word_counts(docs, log_kinds)
+    rows, ends = counts.where("word is not null").collect(), np.zeros(experts.KINDS)
+    for r in counts.where("word is null").collect():
+        ends[r.h] = r.k0
+    want = Counter(w for t, held in texts if not held for w in words(t or ""))
+    assert {r.word.decode(): sum(r[k] for k in lm_score.COUNTS) for r in rows} == {w: want[w] for t, _ in texts for w in words(t or "")} and 0 in {want[w] for t, _ in texts for w in words(t or "")}
+    with open(lm_score.vocabulary_path(), "rb") as f:
+        proto = f.read()
+    coder = lm_score.Coder(proto)
+    taught = [r for r in rows if want[r.word.decode()]]
+    n = np.array([[r[k] for k in lm_score.COUNTS] for r in taught], float)
+    plain = experts.Experts(*coder.coded([r.word.decode() for r in taught]), n, ends, coder.ids)
+    pieces, offs = coder.coded([r.word.decode() for r in rows])
+    logs = dict(zip((r.h for r in rows), zip(plain.words(pieces, offs), np.split(pieces, offs[1:-1]), strict=True), strict=True))
+    for block in (7, 1 << 15):
+        monkeypatch.setattr(lm_score, "BLOCK", block)
+        table, end = lm_score.word_experts(counts.where("word is not null"), ends, proto)
+        got = table.toArrow().combine_chunks()
+        known = lm_score.Known(got["info"].combine_chunks())
+        assert np.allclose(end, plain.end(), rtol=1e-5) and sorted(got["h"].to_pylist()) == sorted(logs)
+        for i, h in enumerate(got["h"].to_pylist()):
+            assert np.allclose(known.logs[i], logs[h][0], rtol=1e-4, atol=1e-4) and known.pieces[known.offs[i] : known.offs[i + 1]].tolist() == logs[h][1].tolist()
+
+
 def test_kinds_tell_languages_apart():
     rng = random.Random(14)
     tongues = [[f"{t}{i}" for i in range(40)] for t in "abc"]

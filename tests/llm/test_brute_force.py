@@ -413,6 +413,55 @@ def test_all_words_are_in_the_experts(spark, monkeypatch):
             assert np.allclose(known.logs[i], logs[h][0], rtol=1e-4, atol=1e-4) and known.pieces[known.offs[i] : known.offs[i + 1]].tolist() == logs[h][1].tolist()
 
 
+def test_lm_scoring_discards_words_before_texts_are_shuffled(spark, monkeypatch):
+    """Words, and what their join shuffles, take no disk when texts are shuffled and written; a fit goes when it has been added up."""
+    rng = random.Random(16)
+    docs = [(i, " ".join(f"w{rng.randrange(90)}" for _ in range(rng.randint(0, 20)))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    at, keep = {}, lm_score.written
+    there = lambda: sorted(name for name, path in at.items() if os.path.exists(path))
+
+    def watched(df, name, *codec):
+        assert name != "lm-texts" or there() == ["lm-rest", "lm-tokens"]
+        out = keep(df, name, *codec)
+        at[name] = out._written_at.removeprefix("file:")
+        return out
+
+    monkeypatch.setattr(lm_score, "written", watched)
+    monkeypatch.setattr(lm_score, "MAX_BROADCAST_WORDS", 3)
+    assert lm_score.language_scores(df, F.col("doc_id") % 7 == 2).count() == 60 and "lm-fits" in at and there() == ["lm-texts"]
+
+
+def test_lm_scoring_sends_words_in_small_batches(spark, monkeypatch):
+    """Counted words go to Spark in batches, and blocks of words to Python one at a time, in bytes that their counts need."""
+    docs = spark.createDataFrame([(" ".join(f"v{i * j}" for j in range(40)), False) for i in range(30)], "text string, held_out boolean").repartition(2)
+    keep, most = lm_score.mapped, 20
+
+    def watched(df, fn, schema):
+        counted, blocks = schema.startswith("h long, word"), "block" in df.columns
+
+        def checked(batches):
+            def each():
+                for x in batches:
+                    assert not blocks or len(x) == 1
+                    assert not blocks or len(x.column("n")[0].as_py()) == len(x.column("h")[0].as_py())  # eight kinds, a byte each
+                    yield x
+
+            for x in fn(each()):
+                assert not counted or len(x) <= most
+                yield x
+
+        return keep(df, checked, schema)
+
+    monkeypatch.setattr(lm_score, "mapped", watched)
+    monkeypatch.setattr(lm_score, "SENT", most, raising=False)
+    monkeypatch.setattr(lm_score, "BLOCK", 7)
+    counts = lm_score.word_counts(docs, lm_score.kinds_of_text(docs))
+    with open(lm_score.vocabulary_path(), "rb") as f:
+        table, _ = lm_score.word_experts(counts.where("word is not null"), np.zeros(experts.KINDS), f.read())
+    assert table.agg(F.sum("c")).first()[0] == 1200 and table.count() == len({i * j for i in range(30) for j in range(40)})
+
+
 def test_kinds_tell_languages_apart():
     rng = random.Random(14)
     tongues = [[f"{t}{i}" for i in range(40)] for t in "abc"]

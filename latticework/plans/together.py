@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from latticework.functions.kernels import Local, block_largest, residuals
 from latticework.operators.relational import bounded
+from latticework.plans import lands
 from latticework.plans.reduced import MOST_SENT, Reduced, Sums, chunked, derived, lists, matrix
-from latticework.session import kept, ship
+from latticework.session import dropped, kept, ship
 
 
 #: Observations of the largest part up to which every part is fitted in a task.
@@ -26,11 +27,16 @@ IN_TASK = 250_000
 
 
 def dealt(rows: DataFrame) -> tuple[DataFrame, bool, bool]:
-    """``rows`` in chunks, dealt by landmark and written; whether any landmark has several chunks; and whether all parts are small."""
-    rows, split = chunked(kept(rows))
-    rows = kept(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pt_id", *(["chunk"] if split else [])))
-    most = rows.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return rows, split, most <= IN_TASK
+    """``rows`` written by landmark (``lands``), or where that does not serve as observations; whether landmarks have chunks; whether all parts are small."""
+    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = kept(lands.lined(rows, groups))
+    most = at.groupBy("part").agg(F.sum(F.size("cams")).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= IN_TASK:
+        return lands.opened(at).withColumn("chunk", F.lit(0)), False, True
+    if lands.whole(at) and at.select(F.explode("cams")).distinct().count() <= lands.MOST_SENT:
+        return at, False, False
+    rows, split = chunked(lands.opened(at))
+    return kept(rows.repartition(groups, "pt_id", *(["chunk"] if split else []))), split, False
 
 
 def placed(rows: DataFrame, cam: DataFrame, pt: DataFrame) -> DataFrame:
@@ -82,6 +88,13 @@ def curvature(rows: DataFrame, key: str) -> DataFrame:
     return found.mapInArrow(raised, f"{key} long, r array<double>")
 
 
+def curved(rows: DataFrame, cam: DataFrame, pt: DataFrame, key: str) -> DataFrame:
+    """``curvature`` of ``rows`` from ``dealt``."""
+    if "cams" in rows.columns:
+        return lands.curvature(lands.with_points(rows, pt.select("pt_id", "q")), cam, key)
+    return curvature(placed(rows, cam, pt), key)
+
+
 def _pulled(m: str, d: str, n: int) -> list[str]:
     """SQL for the entries of a matrix of n * n times the array ``d``."""
     return [f"aggregate(zip_with(slice({m}, {n * i + 1}, {n}), {d}, (a, b) -> a * b), 0D, (t, z) -> t + z)" for i in range(n)]
@@ -122,6 +135,77 @@ def _in_tasks(rows: DataFrame, cam: DataFrame, pt: DataFrame, steps: int, dampin
     return cam, pt, {k: (x[0], x[1]) for k, x in found.items()}, {k: x[2] for k, x in found.items()}
 
 
+def _by_landmark(rows: DataFrame, cam: DataFrame, pt: DataFrame, steps: int, damping: dict[int, float], pull: DataFrame | None, by: str, its: int, eps: float):
+    """``fit_parts`` over rows of landmarks, which carry their own parameters and pulls; and these rows after the steps."""
+    spark = rows.sparkSession
+    costs, (n, x) = {}, (9, "p") if by == "cam_id" else (3, "q")
+    damping = damping or {r.part: 1e-3 for r in rows.select("part").distinct().collect()}  # a row for each part
+    points = pt.select("pt_id", "q", *([F.col("still_q").alias("still")] if "still_q" in pt.columns else []))
+    if pull is not None and by == "pt_id":
+        points = points.join(pull.select("pt_id", F.concat("r", "s").alias("pull")), "pt_id", "left").withColumn("pull", F.coalesce("pull", F.expr("array_repeat(0D, 12)")))
+    at, first = kept(lands.with_points(rows, points)), cam
+    part_of = kept(cam.select("cam_id", F.col("part").cast("long").alias("part")))
+    for _ in range(steps):
+        of_part = F.broadcast(spark.createDataFrame(list(damping.items()), "part long, l double"))  # a row for each part
+        terms = part_of.join(of_part, "part").select("cam_id", "l")
+        if pull is not None and by == "cam_id":
+            off = cam.select("cam_id", "p").join(pull, "cam_id").withColumn("d", F.expr("zip_with(p, s, (a, b) -> a - b)"))
+            off = off.select("cam_id", F.expr(f"concat(r, array({', '.join(_pulled('r', 'd', n))}))").alias("pull"))
+            terms = terms.join(off, "cam_id", "left").withColumn("pull", F.coalesce("pull", F.expr("array_repeat(0D, 90)")))
+        system = lands.Lined.at(at, cam, damping, True, terms)
+        step = system.solve(its, eps)
+        along, model = system.along(step, (1.0,)), system.slope_and_bend(step, part_of)
+        found = {k: [v[0], v[1], v[2], v[3], -(v[4] + v[5] + sum(model.get(k, (0.0,))))] for k, v in along.items()}
+        if pull is not None and by == "cam_id":
+            off = cam.select("cam_id", "p").join(pull, "cam_id").join(part_of, "cam_id").join(step, "cam_id").selectExpr(
+                "part", "r", "zip_with(p, s, (a, b) -> a - b) as d", "zip_with(zip_with(p, x, (a, b) -> a + b), s, (a, b) -> a - b) as e")
+            whole = lambda d: " + ".join(f"{m} * {d}[{i}]" for i, m in enumerate(_pulled("r", d, n)))
+            for r in off.groupBy("part").agg(F.expr(f"sum({whole('d')})").alias("d"), F.expr(f"sum({whole('e')})").alias("e")).collect():  # a row for each part
+                found[r.part][2] += r.d
+                found[r.part][3] += r.e
+        taken = _taken(found, damping, costs)
+        if taken:
+            old, was = at, cam
+            at = kept(system.moved(step, dict.fromkeys(taken, 1.0)))
+            going = part_of.where(F.col("part").isin(taken)).select("cam_id").join(step, "cam_id")
+            cam = kept(cam.join(going, "cam_id", "left").withColumn("p", F.expr("if(x is null, p, zip_with(p, x, (a, b) -> a + b))")).drop("x"))
+            dropped(old, *([was] if was is not first else []))
+        dropped(step)
+        system.released()
+        if all(found[p][2] - found[p][3] <= 1e-12 * found[p][2] for p in taken) and len(taken) == len(found):
+            break
+    pt = kept(pt.join(at.where("fl").select("pt_id", F.col("q").alias("new")), "pt_id", "left").withColumn("q", F.coalesce("new", "q")).drop("new"))
+    dropped(part_of)
+    return cam, pt, costs, damping, at
+
+
+def _taken(found: dict[int, list[float]], damping: dict[int, float], costs: dict[int, tuple[float, float]]) -> list[int]:
+    """Parts that take their step. ``found``: squared residuals before and after, the same with pulls, and the model's decrease. Dampings and costs are set."""
+    taken = []
+    for part, (plain, new_plain, full, new_full, model) in found.items():
+        first = costs.get(part, (plain, plain))[0]
+        if np.isfinite(new_full) and new_full <= full:
+            ratio = (full - new_full) / max(model, 1e-300)
+            damping[part] = damping[part] / 2 if ratio > 0.8 else damping[part] * 2 if ratio < 0.25 else damping[part]
+            taken.append(part)
+            costs[part] = first, new_plain
+        else:
+            damping[part] *= 2
+            costs[part] = first, plain
+    return taken
+
+
+def fit_parts_curved(rows: DataFrame, split: bool, small: bool, cam: DataFrame, pt: DataFrame, steps: int, damping: dict[int, float] | None, pull: DataFrame | None, by: str):
+    """``fit_parts``, and ``curved`` at where it ends, by ``by``."""
+    if "cams" not in rows.columns:
+        *out, last = fit_parts(rows, split, small, cam, pt, steps, damping, pull, by)
+        return *out, last, kept(curved(rows, *out[:2], by))
+    *out, at = _by_landmark(rows, cam, pt, steps, dict(damping or {}), pull, by, 50, 1e-3)
+    r = kept(lands.curvature(at, out[0], by))
+    dropped(at)
+    return *out, r
+
+
 def fit_parts(
     rows: DataFrame, split: bool, small: bool, cam: DataFrame, pt: DataFrame, steps: int, damping: dict[int, float] | None = None, pull: DataFrame | None = None, by: str = "pt_id",
     its: int = 50, eps: float = 1e-3,
@@ -135,6 +219,10 @@ def fit_parts(
     """
     if small:
         return _in_tasks(rows, cam, pt, steps, damping or {}, pull, by)
+    if "cams" in rows.columns:
+        *out, at = _by_landmark(rows, cam, pt, steps, dict(damping or {}), pull, by, its, eps)
+        dropped(at)
+        return tuple(out)
     spark = rows.sparkSession
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     damping, costs = dict(damping or {}), {}
@@ -170,17 +258,7 @@ def fit_parts(
             for r in off.groupBy("part").agg(F.expr(f"sum({whole('d')})").alias("d"), F.expr(f"sum({whole('e')})").alias("e")).collect():  # a row for each part
                 found[r.part][2] += r.d
                 found[r.part][3] += r.e
-        taken = []
-        for part, (plain, new_plain, full, new_full, model) in found.items():
-            first = costs.get(part, (plain, plain))[0]
-            if np.isfinite(new_full) and new_full <= full:
-                ratio = (full - new_full) / max(model, 1e-300)
-                damping[part] = damping[part] / 2 if ratio > 0.8 else damping[part] * 2 if ratio < 0.25 else damping[part]
-                taken.append(part)
-                costs[part] = first, new_plain
-            else:
-                damping[part] *= 2
-                costs[part] = first, plain
+        taken = _taken(found, damping, costs)
         if taken:
             going = F.broadcast(spark.createDataFrame([(p, True) for p in taken], "go long, going boolean"))  # a row for each part
             cam, pt = (

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from latticework.functions.kernels import residuals
 from latticework.operators.relational import bounded
+from latticework.plans import lands
 from latticework.plans.bundle import Fit, cost
 from latticework.plans.reduced import MOST_SENT, Reduced, chunked, costs_along, lists, matrix, summed
-from latticework.session import kept, ship
+from latticework.session import dropped, kept, ship
 
 
 def residual_sets(obs: DataFrame, cam_owner: DataFrame, pt_owner: DataFrame) -> DataFrame:
@@ -83,6 +84,54 @@ def _moved(now: DataFrame, key: str, x: str, step: DataFrame, share: str) -> Dat
     return now.join(step, key, "left").select(key, F.expr(f"case when d is null then {x} else zip_with({x}, d, (a, b) -> a + {share} * b) end").alias(x))
 
 
+def _by_landmark(
+    at: DataFrame, every: DataFrame, cam: DataFrame, pt: DataFrame, cam_owner: DataFrame, parts: dict[int, DataFrame], sweeps: int, its: int, eps: float, damping: float, push: bool, places: tuple[float, ...],
+) -> Fit:
+    """``ordered_palm`` where cameras go to every task and every landmark of a part has one row: steps are passes over these rows.
+
+    ``at``: rows of the parts' landmarks and ``every``: of all, without parameters, ``parts``: (part) of each colour.
+    """
+    still = lambda x: f"transform({x}, a -> 0D) as d{x}"
+    here = lambda: lands.costs(every, cam.selectExpr("cam_id", "p", still("p")), pt.selectExpr("pt_id", "q", still("q")), (0.0,))[0]
+    dampings, costs, delta = dict.fromkeys(parts, damping), [here()], None
+    for sweep in range(1, sweeps + 1):
+        old_cam, old_pt = cam, pt
+        for k, own in parts.items():
+            rows = kept(lands.with_points(at.join(F.broadcast(own), "part"), pt.selectExpr("pt_id", "q", "q as still")))  # own: a row for each part
+            system = lands.Lined.at(rows, cam.selectExpr("cam_id", "p", "p as still_p"), dampings[k])
+            step = system.solve(its, eps)
+            shares = {p: (0.0, *places)[int(np.argmin(np.where(np.isfinite(c), c, np.inf)[: len(places) + 1]))] for p, c in system.along(step, places).items()}
+            moved = system.moved(step, shares).where("fl").select("pt_id", F.col("q").alias("new"))
+            was = [t for t in (cam, pt) if t is not old_cam and t is not old_pt]
+            pt = kept(pt.join(moved, "pt_id", "left").select("pt_id", F.coalesce("new", "q").alias("q")))
+            going = cam.sparkSession.createDataFrame([(p, float(a)) for p, a in shares.items() if a > 0], "part long, share double")  # a row for each part
+            going = step.withColumnRenamed("x", "d").join(cam_owner, "cam_id").join(F.broadcast(going), "part").select("cam_id", "d", "share")
+            cam = kept(_moved(cam, "cam_id", "p", going, "share"))
+            dropped(rows, step, *was)
+            system.released()
+            least = min(shares.values(), default=1.0)
+            dampings[k] *= 0.5 if least == 1 else 2 if least < 0.5 else 1
+        ahead = (sweep - 1) / (sweep + 2)
+        if push and delta is not None:
+            dc, dl = delta
+            tries = (ahead, ahead * 2 / 3, ahead / 3, 0.0)
+            found = lands.costs(every, cam.join(dc.withColumnRenamed("d", "dp"), "cam_id"), pt.join(dl.withColumnRenamed("d", "dq"), "pt_id"), tries)
+            share = next(a for a, c in zip(tries, found, strict=True) if c <= found[-1])
+            costs.append(min(found[tries.index(share)], found[-1]))
+            if share:
+                was = cam, pt
+                cam, pt = kept(_moved(cam, "cam_id", "p", dc, f"{share!r}D")), kept(_moved(pt, "pt_id", "q", dl, f"{share!r}D"))
+                dropped(*was)
+        else:
+            costs.append(here())
+        if push:
+            minus, old = "zip_with({0}, o, (a, b) -> a - b) as d", delta or ()
+            delta = tuple(kept(a.join(b.withColumnRenamed(x, "o"), key).selectExpr(key, minus.format(x))) for a, b, key, x in ((cam, old_cam, "cam_id", "p"), (pt, old_pt, "pt_id", "q")))
+            dropped(*old)
+        dropped(*(t for t in (old_cam, old_pt) if t is not cam and t is not pt))
+    return Fit(cam, pt, costs)
+
+
 def ordered_palm(
     obs: DataFrame, cam: DataFrame, pt: DataFrame, cam_owner: DataFrame, pt_owner: DataFrame, sweeps: int = 5, its: int = 10, eps: float = 1e-2,
     damping: float = 1e-3, push: bool = True, places: tuple[float, ...] = (1.0, 0.5, 0.25, 0.0625), groups: int | None = None,
@@ -95,14 +144,21 @@ def ordered_palm(
     the last sweep moved, of which the largest of three shares that does not raise the cost is taken, from one pass.
     Cameras and landmarks without an owner stay as they are. Costs are those after each sweep, the start first.
     """
-    obs, cam, pt = kept(obs), kept(cam), kept(pt)
+    cam, pt = kept(cam), kept(pt)
+    obs = kept(obs.join(cam.select("cam_id"), "cam_id", "left_semi"))
     cam_owner, pt_owner = kept(cam_owner.select("cam_id", F.col("part").cast("long"))), kept(pt_owner.select("pt_id", F.col("part").cast("long")))
     groups = groups or int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = residual_sets(obs, cam_owner, pt_owner)
     colour = kept(part_colours(part_conflicts(obs, cam_owner, pt_owner), sets.select("part").distinct()))
+    colours = [r.colour for r in colour.select("colour").distinct().orderBy("colour").collect()]
+    at = kept(lands.lined(sets.select("part", "cam_id", "pt_id", "x", "y", "fc", "fl"), groups))
+    every = kept(lands.lined(obs.select("cam_id", "pt_id", "x", "y"), groups))  # also those of no part
+    if cam.count() <= lands.MOST_SENT and lands.whole(every):
+        parts = {k: colour.where(F.col("colour") == k).select("part") for k in colours}
+        return _by_landmark(at, every, cam, pt, cam_owner, parts, sweeps, its, eps, damping, push, places)
+    dropped(at, every)
     rows, split = chunked(kept(sets.join(bounded(colour, MOST_SENT), "part")))
     rows = kept(rows.repartition(groups, "pt_id", *(["chunk"] if split else [])).sortWithinPartitions("colour"))
-    colours = [r.colour for r in colour.select("colour").distinct().orderBy("colour").collect()]
     dampings, costs, delta = dict.fromkeys(colours, damping), [cost(obs, cam, pt).first().cost], None
     for sweep in range(1, sweeps + 1):
         old_cam, old_pt = cam, pt

@@ -155,7 +155,7 @@ def _by_landmark(rows: DataFrame, cam: DataFrame, pt: DataFrame, steps: int, dam
         system = lands.Lined.at(at, cam, damping, True, terms)
         step = system.solve(its, eps)
         along, model = system.along(step, (1.0,)), system.slope_and_bend(step, part_of)
-        found = {k: [v[0], v[1], v[2], v[3], -(v[4] + v[5] + sum(model.get(k, (0.0,))))] for k, v in along.items()}
+        found = {k: [*map(float, v[:4]), -float(v[4] + v[5] + sum(model.get(k, (0.0,))))] for k, v in along.items()}
         if pull is not None and by == "cam_id":
             off = cam.select("cam_id", "p").join(pull, "cam_id").join(part_of, "cam_id").join(step, "cam_id").selectExpr(
                 "part", "r", "zip_with(p, s, (a, b) -> a - b) as d", "zip_with(zip_with(p, x, (a, b) -> a + b), s, (a, b) -> a - b) as e")
